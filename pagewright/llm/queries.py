@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat_format, mixing, simhash_dedup
+import public_tokenizers
+
+from pagewright.llm import arc_warc, chat_format, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ordinal_quality.score(docs, ordinal_quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col("__pw_expected").alias("expected_grade"), F.col("__pw_tail").alias("tail_probability"), F.col("__pw_kept").alias("kept"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -26,6 +38,18 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.examples(turns.union(planted)))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,13 +97,34 @@ from placed group by conv_id
 """
 
 
+_OP9_SQL = r"""
+with hashed as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+digested as (
+  select page_id, payload_bytes,
+         list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (5 * i + 1)::int, 5))::bigint >> s) & 31) + 1)::int, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest
+  from hashed),
+ranked as (select *, max(page_id) over (partition by payload_digest) as best from digested)
+select page_id, payload_bytes, payload_digest,
+       case when best is null or page_id is not distinct from best then 'response' else 'revisit' end as record_type,
+       case when best is null or page_id is not distinct from best then null else best end as refers_to
+from ranked
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op3_mix": op3_mix,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_chat": op5_chat,
+        "op7_token_counts": op7_token_counts,
+        "op8_packing": op8_packing,
+        "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL}
+    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op9_warc": _OP9_SQL}
