@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagewright.llm import arc_warc, chat_format, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, token_counts
+from pagewright.llm import arc_warc, chat_format, embedding_dedup, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.examples(turns.union(planted)))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix": op3_mix,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_chat": op5_chat,
+        "op6_embeddings": op6_embeddings,
         "op7_token_counts": op7_token_counts,
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
