@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagewright.llm import arc_warc, chat_format, embedding_dedup, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, token_counts
+from pagewright.llm import arc_warc, chat_format, embedding_dedup, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), "sources")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -120,6 +125,7 @@ from ranked
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_mix": op3_mix,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_chat": op5_chat,
