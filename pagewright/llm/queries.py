@@ -64,6 +64,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _OP3_SQL = r"""
 with sized as (
   select doc_id, source is null as no_source, coalesce(source, '') as src,
@@ -134,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
+        "pipeline": pipeline,
     }
 
 

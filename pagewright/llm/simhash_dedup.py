@@ -23,6 +23,8 @@ from pagewright.llm.common import bound_batches, connected_components, materiali
 
 SEED = 42
 BITS = 64
+#: Pairs of longs that may be sent to all tasks, about 10 MB.
+BROADCAST_ROWS = 200_000
 _BLOCK = 1 << 16  # shingles whose bits are held at once
 
 
@@ -54,7 +56,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed long. One pass, no shuffle; null texts are empty."""
+    """(doc_id, fp, tid): the fingerprint as a signed long and a hash of the text. One pass, no shuffle; null texts are empty."""
     import pyarrow as pa
 
     def run(batches):
@@ -62,10 +64,14 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
         for batch in batches:
             values = [fingerprint(text.as_py(), words) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], ["doc_id", "fp", "tid"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key()).mapInArrow(run, "doc_id long, fp long, tid long")
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -103,7 +109,7 @@ def _signed(mask: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
+    """(doc_id, fp, component_id, tid) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``component_id`` is the smallest doc_id that chains of links reach, itself included. Null and
     empty texts share fingerprint 0 and so one component. A null doc_id takes part, but names no
@@ -119,4 +125,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     shared = salted_join(linked.select("fp", "root"), lowest, ["root"], ["fp"], how="inner").select("fp", "component_id").union(members.where("root is null and n > 1").select("fp", F.col("first").alias("component_id")))
     out = salted_join(prints, shared, ["fp"], ["doc_id"])
-    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), "tid")
+
+
+def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """``docs``, all its columns, with one document of each component: that of the smallest doc_id.
+
+    Rows that share this doc_id all stay, as do the rows of a component that has no doc_id at all: nothing
+    tells which of them came first. Rows that go are named by doc_id and a hash of their text; up to
+    BROADCAST_ROWS of these are sent to the documents, beyond that both sides are shuffled.
+    """
+    found = materialize(near_duplicates(docs, words, distance), "simhash-components-of-rows")
+    goes = found.where("component_id is not null and not (doc_id <=> component_id)")
+    goes = materialize(goes.select(F.col("doc_id").alias("__pw_doc"), F.col("tid").alias("__pw_tid")).distinct(), "simhash-gone")
+    small = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__pw_doc")) & (_text_key() == F.col("__pw_tid"))
+    return docs.join(small, same, "left_anti")
