@@ -8,12 +8,13 @@ synthesises what WARC asks for: a record identifier made from the record's own c
 timestamp, the record type, the content type and SHA-1 digests.
 
 Archives are single columns of text written by Spark, one record per row: each record ends in a
-line feed, which is the separator that Spark's text writer puts after it. They are read as whole
+line feed, which is the separator that Spark's text writer puts after it. They are read as whole gzip
 files, whose number follows the bytes to write, so that one file holds about ``archive_bytes``.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import bound_batches, materialize, salted_join, shared_path
 
 ARCHIVE_BYTES = 16 << 20
+#: Rows of a 32-character digest and a number, about 10 MB.
+BROADCAST_DIGESTS = 100_000
 
 #: Header fields of ARC versions 1 and 2. Fixed values.
 ARC_FIELDS = {
@@ -147,8 +150,12 @@ def warc_record(kind: str, page_id: str, url: str, date: str, digest: str, paylo
 
 
 def _write(records: DataFrame, path: str) -> None:
-    """Writes the column ``record`` (text, with its last line feed left to the writer), one file a partition."""
-    records.select("record").write.text(path)
+    """Writes the column ``record`` (text, with its last line feed left to the writer), one gzip file a partition."""
+    records.select("record").write.option("compression", "gzip").text(path)
+
+
+def _read(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
 def _archives(total: int, archive_bytes: int) -> int:
@@ -187,7 +194,7 @@ def read_arc(spark, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for header, payload in arc_records(data.as_py()):
+                for header, payload in arc_records(gzip.decompress(data.as_py())):
                     url = header["URL"].decode("utf-8", "replace")
                     if "Checksum" in header:
                         page = header["Checksum"].decode()
@@ -204,12 +211,11 @@ def read_arc(spark, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == binary else pa.string()) for k in range(len(names))], names)
 
     bound_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "page_id string, url string, date string, digest string, html binary")
+    return _read(spark, path).mapInArrow(run, "page_id string, url string, date string, digest string, html binary")
 
 
-def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes records (page_id, url, date, digest, html, kind, refers_to) as WARC archives."""
+def write_warc(records: DataFrame, path: str) -> None:
+    """Writes records (page_id, url, date, digest, html, kind, refers_to) as WARC archives, one for each partition."""
     import pyarrow as pa
 
     def run(batches):
@@ -219,10 +225,8 @@ def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     bound_batches(records.sparkSession, 200)
-    total = records.agg(F.sum(F.when(F.col("kind") == "response", F.octet_length("html")).otherwise(0) + 700).cast("long")).first()[0] or 0
     columns = ["page_id", "url", "date", "digest", "html", "kind", "refers_to"]
-    dealt = records.select(columns).repartition(_archives(total, archive_bytes), F.xxhash64("page_id", "digest"))
-    _write(dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record")), path)
+    _write(records.select(columns).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record")), path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -241,7 +245,7 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for h, block in warc_records(data.as_py()):
+                for h, block in warc_records(gzip.decompress(data.as_py())):
                     digest, size, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), h["WARC-Type"]
                     if kind == "response" and (digest != sha1_base32(block) or size != len(block)):
                         raise ArchiveError(f"payload of {h['WARC-Record-ID']}")
@@ -256,29 +260,31 @@ def read_warc(spark, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     bound_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return _read(spark, path).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds kind and refers_to: of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is the response.
 
-    Only digests that occur twice or more go into the join, which is salted: one payload may be a
-    third of all records. Repeated rows of the largest page_id are all responses, as a page doesn't
+    Only digests that occur twice or more go into the join. Up to BROADCAST_DIGESTS of them are sent to the
+    records; beyond that the join is salted, as one payload may be a third of all records. Repeated rows of the largest page_id are all responses, as a page doesn't
     refer to itself; null page_ids come below all others.
     """
     number = F.expr("try_cast(page_id as bigint)")
     long_enough = F.octet_length("html") >= least_bytes
     best = records.where(long_enough).groupBy("digest").agg(F.max(number).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").select("digest", "best")
-    out = salted_join(records, best, ["digest"], ["page_id", "url"])
+    best = materialize(best, "warc-originals")
+    if best.count() <= BROADCAST_DIGESTS:
+        out = records.join(F.broadcast(best), "digest", "left")
+    else:
+        out = salted_join(records, best, ["digest"], ["page_id", "url"])
     revisit = long_enough & F.col("best").isNotNull() & ~F.col("best").eqNullSafe(number)
     return out.select(*records.columns, F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("best").cast("string")).alias("refers_to"))
 
 
-def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Converts the ARC archives in ``arc_path`` to WARC archives in ``warc_path``."""
-    records = materialize(read_arc(spark, arc_path), "arc-records")
-    write_warc(mark_revisits(records, least_bytes), warc_path, archive_bytes)
+def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
+    """Converts the ARC archives in ``arc_path`` to WARC archives in ``warc_path``; reads them twice, once for the digests alone."""
+    write_warc(mark_revisits(read_arc(spark, arc_path), least_bytes), warc_path)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -290,5 +296,5 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = A
     spark = pages.sparkSession
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages, arc, archive_bytes)
-    convert(spark, arc, warc, least_bytes, archive_bytes)
+    convert(spark, arc, warc, least_bytes)
     return read_warc(spark, warc)
