@@ -23,6 +23,11 @@ def normalize_with_offsets(text: str) -> tuple[str, list[int], list[int]]:
     White space and zero-width characters go; a character and the marks that compose with it are folded together by
     NFKC and lower case; white space that folding made goes too.
     """
+    if unicodedata.is_normalized("NFKC", text) and _COMBINING.isdisjoint(text) and "Σ" not in text:  # nothing to fold but case
+        starts = [i for i, c in enumerate(text) if c not in _DROPPED]
+        low = "".join([text[i] for i in starts]).lower()
+        if len(low) == len(starts):
+            return low, starts, [i + 1 for i in starts]
     held = [(i, c) for i, c in enumerate(text) if c not in _DROPPED]
     out, starts, ends = [], [], []
     at = 0

@@ -90,19 +90,15 @@ def exact_search(index: DataFrame, query: str) -> DataFrame:
     wanted = normalize_with_offsets(query)[0]
     if not wanted:
         raise ValueError("empty_query")
+    def hit(start: Column) -> Column:
+        first, last = F.element_at("source_start", start + 1), F.element_at("source_end", start + len(wanted))
+        ranges = item_ranges(F.col("owner_item"), F.col("owner_offset"), first, last)
+        return F.struct(start.alias("search_start"), ranges.alias("ranges"), preview(F.col("original_text"), first, last).alias("preview_text"))
+
+    # hits are made within the page's row, so its arrays aren't repeated for each
     pages = index.where(F.contains("search_text", F.lit(wanted)))
-    hits = pages.select("*", F.explode(starts_of(F.col("search_text"), wanted)).alias("search_start"))
-    first = F.element_at("source_start", F.col("search_start") + 1)
-    last = F.element_at("source_end", F.col("search_start") + len(wanted))
-    placed = hits.withColumn("first", first).withColumn("last", last)
-    return placed.select(
-        "document_id",
-        "page_number",
-        hit_key(F.col("page_number"), F.col("search_start")).alias("hit_key"),
-        "search_start",
-        item_ranges(F.col("owner_item"), F.col("owner_offset"), F.col("first"), F.col("last")).alias("ranges"),
-        preview(F.col("original_text"), F.col("first"), F.col("last")).alias("preview_text"),
-    )
+    hits = pages.select("document_id", "page_number", F.explode(F.transform(starts_of(F.col("search_text"), wanted), hit)).alias("h"))
+    return hits.select("document_id", "page_number", hit_key(F.col("page_number"), F.col("h.search_start")).alias("hit_key"), "h.search_start", "h.ranges", "h.preview_text")
 
 
 def count_hits(texts: DataFrame, query: str) -> DataFrame:

@@ -47,7 +47,9 @@ _PAGES = (
     + f""",
 drawn as (select * from lines where str <> ''),
 pages_of as (
-  select document_id, page_number, string_agg({_NORM}, '' order by item_index) as t, string_agg(str, chr(10) order by item_index) as o from drawn group by 1, 2)
+  select document_id, page_number, string_agg({_NORM}, '' order by item_index) as t, string_agg(str, chr(10) order by item_index) as o from drawn group by 1, 2),
+letters as (select *, string_split(o, '') as c from pages_of),
+kept_of as (select document_id, page_number, list_filter(range(1, len(c) + 1), lambda i: not regexp_matches(c[i], '[{_S}{_Z}]')) as kept from letters)
 """
 )
 
@@ -65,8 +67,6 @@ hits as (
     )
 
 
-#: Source places of the characters of a page that search keeps: the i-th of them stands at kept[i].
-_KEPT = f"list_filter(range(1, length(o) + 1), lambda i: not regexp_matches(substr(o, i, 1), '[{_S}{_Z}]'))"
 _CODES = (
     "['invalid_request','query_empty','query_too_long','segments_empty','too_many_segments','malformed_segment_id','duplicate_segment_id','segment_text_empty','segment_text_too_long',"
     "'extracted_text_too_long','request_body_too_large','challenge_failed','rate_limited','capacity_exhausted','provider_unavailable','provider_timeout','provider_malformed_response','incomplete_evaluation','internal_error']"
@@ -129,12 +129,12 @@ def oracle_sql() -> dict[str, str]:
             i as (select *, sum(starts) over (partition by document_id order by k) as island from j)
             select document_id, island::bigint as island, min(item_index)::bigint as item_index, min(s)::bigint as start_offset, max(e)::bigint as end_offset from i group by 1, 2""",
         "normalize_text": f"select doc_id, lower(regexp_replace(text, '[{_S}{_Z}]', '', 'g')) as search_text from documents",
-        "exact_hits": f"with {_hits('the')}, k as (select *, {_KEPT} as kept from hits) select document_id, page_number, printf('p%03d-o%06d', page_number, search_start) as hit_key, search_start, (1 + (length(substr(o, kept[search_start + 1], kept[search_start + 3] - kept[search_start + 1] + 1)) - length(replace(substr(o, kept[search_start + 1], kept[search_start + 3] - kept[search_start + 1] + 1), chr(10), ''))))::int as n_ranges from k",
+        "exact_hits": f"with {_hits('the')}, k as (select * from hits join kept_of using (document_id, page_number)) select document_id, page_number, printf('p%03d-o%06d', page_number, search_start) as hit_key, search_start, (1 + (length(substr(o, kept[search_start + 1], kept[search_start + 3] - kept[search_start + 1] + 1)) - length(replace(substr(o, kept[search_start + 1], kept[search_start + 3] - kept[search_start + 1] + 1), chr(10), ''))))::int as n_ranges from k",
         "exact_hit_counts": f"with t as (select doc_id, lower(regexp_replace(text, '[{_S}{_Z}]', '', 'g')) as t from documents) select doc_id as document_id, 1::int as page_number, (len(string_split(t, 'the')) - 1)::int as hits from t where contains(t, 'the')",
-        "exact_preview": f"""with {_hits('license')}, k as (select *, {_KEPT} as kept from hits),
+        "exact_preview": f"""with {_hits('license')}, k as (select * from hits join kept_of using (document_id, page_number)),
             w as (select *, greatest(kept[search_start + 1] - 1 - 60, 0) as a, least(kept[search_start + 7] + 60, length(o)) as b from k)
             select document_id, page_number, search_start, case when a > 0 then '…' else '' end || regexp_replace(regexp_replace(substr(o, a + 1, b - a), '[{_S}]+', ' ', 'g'), '^ | $', '', 'g') || case when b < length(o) then '…' else '' end as preview_text from w""",
-        "exact_straddle": f"""with {_hits('.th')}, k as (select *, {_KEPT} as kept from hits),
+        "exact_straddle": f"""with {_hits('.th')}, k as (select * from hits join kept_of using (document_id, page_number)),
             s as (select *, substr(o, 1, kept[search_start + 1] - 1) as before, substr(o, kept[search_start + 1], kept[search_start + 3] - kept[search_start + 1] + 1) as inside from k),
             numbered as (select document_id, page_number, item_index, row_number() over (partition by document_id, page_number order by item_index) - 1 as line from drawn),
             found as (select document_id, page_number, search_start, length(before) - length(replace(before, chr(10), '')) + length(inside) - length(ltrim(inside, chr(10))) as line from s where contains(inside, chr(10)))
