@@ -44,7 +44,7 @@ def page_index(pages: DataFrame) -> DataFrame:
     owned = F.flatten(F.transform("lines", lambda line, k: F.when(k > 0, F.concat(gap, owners(line))).otherwise(owners(line))))
     text = F.array_join(F.transform("lines", lambda line: line["text"]), "\n")
     made = pages.select("document_id", "page_number", text.alias("original_text"), owned.alias("o"))
-    made = made.withColumn("f", fold("original_text"))
+    made = made.withColumn("f", fold.asNondeterministic()("original_text"))  # so that no filter on it moves below it
     return made.select("document_id", "page_number", "original_text", F.col("f.text").alias("search_text"), "f.source_start", "f.source_end", F.col("o.item").alias("owner_item"), F.col("o.at").alias("owner_offset"))
 
 

@@ -129,16 +129,16 @@ def order_by_column(pages: DataFrame) -> DataFrame:
 def page_facts(items: DataFrame, pages: DataFrame, rotations: DataFrame | None = None) -> DataFrame:
     """[A2, D8] (document_id, page_number, character_count, is_rotated, has_no_text, is_multi_column).
 
-    Pages of ``rotations`` (document_id, page_number, rotate) that stand sideways have no characters and count as rotated, not as empty.
+    Pages of ``rotations`` (document_id, page_number, rotate) that stand sideways have no characters and count as rotated, not as empty; pages it doesn't list stand upright.
     """
     facts = pages.select("document_id", "page_number", F.aggregate("lines", F.lit(0).cast("long"), lambda n, line: n + F.char_length(line["text"])).alias("chars"), looks_multi_column(F.col("lines")).alias("many"))
     every = items.select("document_id", "page_number").distinct()
     joined = every.join(facts, ["document_id", "page_number"], "left")
     if rotations is not None:
-        joined = rotations.select("document_id", "page_number", "rotate").join(joined, ["document_id", "page_number"], "left")
+        joined = joined.join(rotations.select("document_id", "page_number", "rotate"), ["document_id", "page_number"], "full_outer")
     else:
         joined = joined.withColumn("rotate", F.lit(0))
-    turned = F.pmod(F.col("rotate"), F.lit(180)) != 0
+    turned = F.pmod(F.coalesce("rotate", F.lit(0)), F.lit(180)) != 0
     chars = F.when(turned, 0).otherwise(F.coalesce("chars", F.lit(0)))
     return joined.select("document_id", "page_number", chars.cast("long").alias("character_count"), turned.alias("is_rotated"), (~turned & (chars == 0)).alias("has_no_text"), (~turned & F.coalesce("many", F.lit(False))).alias("is_multi_column"))
 
