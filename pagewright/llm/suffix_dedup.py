@@ -3,15 +3,16 @@
 Only suffixes that begin at minimisers are retained. Of every run of ``passage`` words, the anchor is
 the place whose next ``gram`` words have the smallest hash; equal runs choose the same anchor wherever
 they stand, so a sample of about one suffix in 20 meets every repeated passage. The retained suffixes are sorted
-by the hash of their first words, and those equal to a neighbour are kept. Such a suffix is then extended:
-it stands for the runs of ``passage`` words that chose it as their anchor, each reaching so many words to
-its left and the rest to its right; their hashes are sorted again, and neighbours that are equal are matches of
-that extension. A maximal match is the union of the extensions that hold.
+by the hash of their first words, and those equal to a neighbour are kept. Such a suffix is then extended to both
+sides: it stands for the runs of ``passage`` words that chose it as their anchor, each reaching so many words to
+its left and the rest to its right. Where the whole reach equals that of an earlier document, all of these
+runs match at once; for what is left, the runs' hashes are sorted, and neighbours that are equal are matches
+of that extension. A maximal match is the union of the extensions that hold.
 
 The first occurrence of a run (smallest doc_id, then place) stays, the others go. A text that is equal to
 another document's needs no suffixes: all its words go if there are ``passage`` or more. No group of equal
 runs is gathered anywhere: groups are counted and their first occurrence found by aggregation, and
-occurrences meet it in a salted join.
+occurrences meet it in a join that adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -49,21 +50,31 @@ class _Hasher:
         size = sum(map(len, texts))
         return np.fromiter((h for own in texts for h in map(known.__getitem__, own)), np.uint64, size)
 
+    def lay(self, words) -> None:
+        """Takes the word hashes of the texts at hand, for ``runs`` and ``between``."""
+        import numpy as np
+
+        powers = []
+        for base in (_M, pow(_M, -1, 1 << 64)):
+            power = np.full(len(words) + 1, base, np.uint64)
+            power[0] = 1
+            powers.append(np.multiply.accumulate(power))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[0][:-1], dtype=np.uint64)])
+        self.back = powers[1]
+
+    def runs(self, width: int):
+        """The hash of the ``width`` words from each place."""
+        n = max(0, len(self.total) - width)
+        return self._mixed((self.total[width:] - self.total[:n]) * self.back[:n]) if n else self.total[:0]
+
+    def between(self, start, end):
+        """The hashes of the words from ``start`` to ``end``."""
+        return self._mixed((self.total[end] - self.total[start]) * self.back[start])
+
     @staticmethod
-    def runs(words, width: int):
-        """The hash of the ``width`` words from each place; all of 64 bits are mixed."""
+    def _mixed(out):
         import numpy as np
 
-        out = np.zeros(max(0, len(words) - width + 1), np.uint64)
-        if not len(out):
-            return out
-        power = np.full(len(words), _M, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power, dtype=np.uint64)])
-        back = np.full(len(out), pow(_M, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        out = (total[width:] - total[:-width]) * np.multiply.accumulate(back)
         for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
             out ^= out >> np.uint64(shift)
             out *= np.uint64(by)
@@ -89,9 +100,9 @@ def _places(texts, hasher: _Hasher, passage: int, gram: int):
     """(text number, its first place, start of run, anchor, gram hashes, run hashes) of every run within a text, laid end to end."""
     import numpy as np
 
-    flat = hasher.words(texts)
+    hasher.lay(hasher.words(texts))
     sizes = np.array([len(t) for t in texts], np.int64)
-    grams, runs = hasher.runs(flat, gram), hasher.runs(flat, passage)
+    grams, runs = hasher.runs(gram), hasher.runs(passage)
     owner = np.repeat(np.arange(len(texts)), sizes)
     begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     start = np.nonzero(owner[: len(runs)] == owner[passage - 1 :])[0] if len(runs) else np.zeros(0, np.int64)
@@ -104,13 +115,16 @@ def _id(column: str = "doc_id"):
 
 
 def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(did, tid, n_words, grams array<long>, places array<int>): each text's retained suffixes. One pass, no shuffle.
+    """(did, tid, n_words, entries array<struct<gram, context, place, first, last>>): each text's retained suffixes. One pass, no shuffle.
 
-    ``did`` is the doc_id, null as the largest number; ``tid`` is a hash of the text.
+    ``did`` is the doc_id, null as the largest number; ``tid`` is a hash of the text. ``first`` and ``last`` are the
+    starts of the runs that chose the anchor at ``place``, ``context`` is the hash of all words that
+    such runs may reach, where the text has them: equal contexts have chosen equally.
     """
     import pyarrow as pa
 
-    names = ["did", "tid", "n_words", "grams", "places"]
+    names = ["did", "tid", "n_words", "entries"]
+    kinds = [("gram", pa.int64()), ("context", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]
 
     def run(batches):
         import numpy as np
@@ -118,19 +132,24 @@ def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
         hasher = _Hasher()
         for batch in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in batch.column(2)]
-            owner, begins, _, anchor, grams, _ = _places(texts, hasher, passage, gram)
-            first = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, bool)
-            if len(anchor):  # an anchor's runs are consecutive
-                owner, anchor = owner[first], anchor[first]
+            owner, begins, start, anchor, grams, _ = _places(texts, hasher, passage, gram)
+            n = np.array([len(t) for t in texts], np.int64)
+            head = np.nonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))[0] if len(anchor) else np.zeros(0, np.int64)
+            tail = np.concatenate([head[1:], [len(anchor)]])[: len(head)] - 1
+            owner, place, first, last = owner[head], anchor[head], start[head], start[tail]  # an anchor's runs are consecutive
+            left = np.minimum(passage - gram, place - begins[owner])
+            right = np.minimum(passage, begins[owner] + n[owner] - place)
+            context = hasher.between(place - left, place + right) ^ (left * 1009 + right).astype(np.uint64) * np.uint64(_M)
             cut = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-            chosen = grams[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
-            places = (anchor - begins[owner]).astype(np.int32) if len(anchor) else np.zeros(0, np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v)) for v in (chosen, places)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), *lists], names)
+            base = begins[owner] if len(owner) else owner
+            values = [grams[place].view(np.int64) if len(place) else place, context.view(np.int64), *[(x - base).astype(np.int32) for x in (place, first, last)]]
+            flat = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, kinds)], [c for c, _ in kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.ListArray.from_arrays(pa.array(cut), flat)], names)
 
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(_id(), F.xxhash64(text), text).mapInArrow(run, "did long, tid long, n_words long, grams array<long>, places array<int>")
+    entry = "struct<gram: bigint, context: bigint, place: int, first: int, last: int>"
+    return docs.select(_id(), F.xxhash64(text), text).mapInArrow(run, f"did long, tid long, n_words long, entries array<{entry}>")
 
 
 def extensions(candidates: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -163,41 +182,50 @@ def extensions(candidates: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
 def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(found, spans): ``found`` (did, tid, n_words) has every row; ``spans`` (did, tid, spans, sources) has a row for each did and tid with repeats.
 
-    ``spans`` are disjoint runs of words [from, to) in order, ``sources`` the doc_ids of first occurrences.
+    ``spans`` are disjoint runs of words [from, to) in order, ``sources`` doc_ids of earlier documents that have them.
     """
     import pyarrow as pa
 
     sparse = materialize(suffixes(docs, passage, gram), "suffixes")
-    texts = sparse.groupBy("tid").agg(F.min("did").alias("first"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
-    copied = materialize(texts.where(F.col("n") > 1).where(F.col("n_words") >= passage).select("tid", "first"), "suffix-copies")
-    own = salted_join(sparse, copied, ["tid"], ["did"]).withColumn("is_copy", F.coalesce(F.col("did") != F.col("first"), F.lit(False)))
-    own = materialize(own, "suffix-owners")
-    entries = own.where("not is_copy").select("did", "tid", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("did", "tid", F.col("s.grams").alias("gram"), F.col("s.places").alias("place")).distinct()
-    entries = materialize(entries, "suffix-array")
+    doc = ["did", "tid"]
+    texts = sparse.groupBy("tid").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.max("n_words").alias("n_words"))
+    copied = materialize(texts.where(F.col("first") < F.col("last")).where(F.col("n_words") >= passage).select("tid", "first"), "suffix-copies")
+    copies = materialize(salted_join(sparse.select(*doc, "n_words"), copied, ["tid"], ["did"], how="inner").where("did <> first").distinct(), "suffix-copy-rows")
+    # joins from here on are by stored tables: both sides are exchanged, so adaptive execution can split a hot key
+    entries = sparse.join(copies.select(*doc), doc, "left_anti").select(*doc, F.explode("entries").alias("e")).select(*doc, "e.*")
     equal = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "suffix-neighbours")
-    held = salted_join(entries, equal, ["gram"], ["did", "place"], how="inner").groupBy("did", "tid").agg(F.collect_list("place").alias("places"))
+    near = materialize(entries.join(equal, "gram"), "suffix-array")
+    place = F.struct(*doc, "place")
+    same = near.groupBy("context").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other").select("context", "kept")
+    met = near.join(materialize(same, "suffix-contexts"), "context", "left")
+    elsewhere = F.col("kept").isNotNull() & ((F.col("kept.did") != F.col("did")) | (F.col("kept.tid") != F.col("tid")))
+    met = materialize(met.withColumn("elsewhere", F.coalesce(elsewhere, F.lit(False))), "suffix-matches")
+    whole = met.where("elsewhere").select(*doc, F.struct(F.col("first").alias("from"), (F.col("last") + passage).alias("to")).alias("gone"), F.lit(None).cast("int").alias("stays"), F.col("kept.did").alias("source"))
+    held = met.where("not elsewhere").groupBy(*doc).agg(F.collect_set("place").alias("places"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(_id().alias("did"), F.xxhash64(text).alias("tid"), text.alias("text"))
-    runs = materialize(extensions(named.join(held, ["did", "tid"]), passage, gram).distinct(), "suffix-extensions")
-    place = F.struct("did", "tid", "at")
-    firsts = runs.groupBy("run").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "kept")
-    matched = salted_join(runs, firsts, ["run"], ["did", "at"], how="inner").where(place != F.col("kept"))
-    same = (F.col("kept.did") == F.col("did")) & (F.col("kept.tid") == F.col("tid"))
-    matched = matched.select("did", "tid", "at", F.when(same, F.col("kept.at")).alias("stays"), F.when(~same, F.col("kept.did")).alias("source"))
-    lists = matched.groupBy("did", "tid").agg(F.collect_list("at").alias("at"), F.collect_set("stays").alias("stays"), F.collect_set(F.when(F.col("source") != _NO_ID, F.col("source"))).alias("sources"))
+    runs = materialize(extensions(named.join(held, doc), passage, gram), "suffix-extensions")
+    at = F.struct(*doc, "at")
+    firsts = materialize(runs.groupBy("run").agg(F.min(at).alias("kept"), F.max(at).alias("other")).where("kept <> other").select("run", "kept"), "suffix-firsts")
+    matched = runs.join(firsts, "run").where(at != F.col("kept"))
+    own = (F.col("kept.did") == F.col("did")) & (F.col("kept.tid") == F.col("tid"))
+    matched = matched.select(*doc, F.struct(F.col("at").alias("from"), (F.col("at") + passage).alias("to")).alias("gone"), F.when(own, F.col("kept.at")).alias("stays"), F.when(~own, F.col("kept.did")).alias("source"))
+    named_source = F.when(F.col("source") != _NO_ID, F.col("source"))
+    lists = matched.union(whole).groupBy(*doc).agg(F.collect_set("gone").alias("gone"), F.collect_set("stays").alias("stays"), F.collect_set(named_source).alias("sources"))
 
     def merge(batches):
         import numpy as np
 
         for batch in batches:
             spans = []
-            for at, stays in zip(batch.column(2), batch.column(3)):
-                at, stays = at.values.to_numpy(), stays.values.to_numpy()
-                gone = np.zeros(int(max(at.max(), stays.max(initial=0))) + passage + 1, np.int32)
+            for found, stays in zip(batch.column(2), batch.column(3)):
+                start, end = (found.values.field(k).to_numpy() for k in (0, 1))
+                stays = stays.values.to_numpy()
+                gone = np.zeros(int(max(end.max(), stays.max(initial=0) + passage)) + 1, np.int32)
                 kept = gone.copy()
-                for places, edge in ((at, gone), (stays, kept)):
-                    np.add.at(edge, places, 1)
-                    np.add.at(edge, places + passage, -1)
+                for edge, a, b in ((gone, start, end), (kept, stays, stays + passage)):
+                    np.add.at(edge, a, 1)
+                    np.add.at(edge, b, -1)
                 removed = (np.cumsum(gone) > 0) & (np.cumsum(kept) == 0)
                 edges = np.nonzero(np.diff(removed.astype(np.int8), prepend=0, append=0))[0]
                 spans.append([{"from": a, "to": b} for a, b in edges.reshape(-1, 2).tolist()])
@@ -207,8 +235,8 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[
     schema = "did long, tid long, spans array<struct<from: int, to: int>>, sources array<long>"
     bound_batches(docs.sparkSession)
     partly = lists.mapInArrow(merge, schema)
-    copies = own.where("is_copy").select("did", "tid", F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"), F.when(F.col("first") != _NO_ID, F.array("first")).otherwise(F.array().cast("array<long>")).alias("sources")).distinct()
-    return own.select("did", "tid", "n_words"), materialize(partly.where("size(spans) > 0").union(copies), "suffix-spans")
+    full = copies.select(*doc, F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"), F.when(F.col("first") != _NO_ID, F.array("first")).otherwise(F.array().cast("array<long>")).alias("sources"))
+    return sparse.select(*doc, "n_words"), materialize(partly.where("size(spans) > 0").union(full), "suffix-spans")
 
 
 def find_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -219,7 +247,7 @@ def find_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> D
     are judged alike; an empty table gives no rows.
     """
     found, spans = repeats(docs, passage, gram)
-    out = salted_join(found, spans, ["did", "tid"], ["n_words"], salts=1)
+    out = found.join(spans, ["did", "tid"], "left")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return out.select(
         F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"),

@@ -92,6 +92,9 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
 
 def test_run_hashes_depend_on_their_words_alone():
     hasher = suffix_dedup._Hasher()
-    flat = hasher.words([[b"a", b"b", b"c", b"d"], [b"x", b"b", b"c", b"d"]])
-    runs = hasher.runs(flat, 3)
+    hasher.lay(hasher.words([[b"a", b"b", b"c", b"d"], [b"x", b"b", b"c", b"d"]]))
+    runs = hasher.runs(3)
     assert runs[1] == runs[5] and runs[0] != runs[4]
+    import numpy as np
+
+    assert (hasher.between(np.array([1, 5]), np.array([4, 8])) == runs[1]).all()
