@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import patterns
-from pagewright.functions.characters import SPACE, ZERO_WIDTH
+from pagewright.functions.characters import SPACE
 from pagewright.limits import MIN_SEGMENT_CHARACTERS
 
-_COMBINING = {"゙", "゚", "ﾞ", "ﾟ"}
+_COMBINING = {"\u3099", "\u309a", "\uff9e", "\uff9f"}
 _DROPPED = {chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)}
 
 
@@ -55,12 +55,12 @@ def _python_normalize():
 
 
 def is_ascii(text: Column) -> Column:
-    return ~text.rlike("[^\\x00-\\x7F]")
+    return F.char_length(text) == F.octet_length(text)
 
 
 def normalize_for_search(text: Column) -> Column:
     """[H1] Search form of a text. ASCII texts stay in the JVM; only others are sent to Python."""
-    plain = F.lower(F.regexp_replace(text, f"[{SPACE}{ZERO_WIDTH}]", ""))
+    plain = F.lower(F.translate(text, "\t\n\x0b\f\r ", ""))
     return F.when(is_ascii(text), plain).otherwise(_python_normalize()(F.when(~is_ascii(text), text)))
 
 
