@@ -90,7 +90,8 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
         for bit in range(width)
     ]
     index = prints.select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.place", "v.rest")
-    x, y = index.alias("x"), index.alias("y")
+    # each fingerprint has a row per bit: the sizes of the stored fingerprints say nothing about the index, so no broadcast
+    x, y = index.alias("x").hint("merge"), index.alias("y")
     differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     within = [differ.bitwiseAND(_signed((1 << width) - 1 << low)) for low, width in cut]
     first = F.lit(False)
