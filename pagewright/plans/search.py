@@ -73,3 +73,12 @@ def search(corpus: Corpus, queries: DataFrame, scorer: Scorer) -> tuple[DataFram
     refused = asked.where("code is not null").select("document_id", "request_id", F.lit(None).cast("string").alias("status"), F.col("code").alias("error_code"), F.lit(0).cast("long").alias("evaluated_segment_count"))
     complete = outcomes.where("error_code is null").select("document_id", "request_id")
     return outcomes.union(refused), rank.top_results(judged.join(complete, ["document_id", "request_id"], "left_semi"))
+
+
+def search_metrics(responses: DataFrame, estimates: DataFrame) -> DataFrame:
+    """[A15] What may be logged of searches: (document_id, request_id, outcome, evaluated_segment_count, requests, tokens); never a query or a text.
+
+    ``estimates`` has a row for each document: requests and tokens.
+    """
+    outcome = F.coalesce("status", "error_code")
+    return responses.join(estimates, "document_id", "left").select("document_id", "request_id", outcome.alias("outcome"), "evaluated_segment_count", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
