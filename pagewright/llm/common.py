@@ -7,6 +7,8 @@ or on the driver.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="pagewright-"))
+        folder = tempfile.mkdtemp(prefix="pagewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir.append(f"file://{folder}")
     return _own_dir[0]
 
 
