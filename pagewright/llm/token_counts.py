@@ -46,10 +46,11 @@ class Trie:
         self.scores, self.max_nodes = scores, max_nodes
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - BYTE_MARGIN
-        self.ends = {}  # pieces by last character and length: which lengths are worth looking up
+        ends: dict[str, set[int]] = {}  # by the last two characters, the lengths of pieces that are worth looking up
         for piece in scores:
-            self.ends.setdefault(piece[-1], set()).add(len(piece))
-        self.ends = {c: sorted(n) for c, n in self.ends.items()}
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.ends = {c: sorted(n) for c, n in ends.items()}
         self.clear()
 
     def clear(self) -> None:
@@ -73,7 +74,9 @@ class Trie:
             score, n = best[path[end - 1]]
             size = len(c.encode("utf-8", "surrogatepass"))
             found = (score + self.byte * size, -(n + size))
-            for length in self.ends.get(c, ()):
+            if (own := scores.get(c)) is not None:
+                found = max(found, (score + own, -(n + 1)))
+            for length in self.ends.get(word[end - 2 : end], ()) if end > 1 else ():
                 if length > end:
                     break
                 if (own := scores.get(word[end - length : end])) is not None:
@@ -102,7 +105,9 @@ def long_count(trie: Trie, word: str) -> int:
         size = len(c.encode("utf-8", "surrogatepass"))
         score, n = best[-1]
         found = (score + trie.byte * size, -(n + size))
-        for length in trie.ends.get(c, ()):
+        if (own := trie.scores.get(c)) is not None:
+            found = max(found, (score + own, -(n + 1)))
+        for length in trie.ends.get(word[end - 2 : end], ()) if end > 1 else ():
             if length > end:
                 break
             if (own := trie.scores.get(word[end - length : end])) is not None:
