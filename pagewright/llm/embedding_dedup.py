@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import connected_components, materialize, salted_join
+from pagewright.llm.common import bound_batches, connected_components, materialize, salted_join
 
 LEAST = 0.9
 WINDOW = 64
@@ -87,6 +87,7 @@ def signatures(classes: DataFrame, passes: int, bits: int = BITS) -> DataFrame:
                     sign = ((unit @ planes[dim][k]) > 0) @ weight
                     yield pa.RecordBatch.from_arrays([pa.array([dim] * len(unit), pa.int32()), pa.array([k] * len(unit), pa.int32()), pa.array(sign), own.column(0), own.column(1)], names)
 
+    bound_batches(classes.sparkSession, 10_000)
     kind = classes.schema["vector"].dataType.simpleString()
     return classes.select("cid", "vector", F.size("vector").alias("dim")).mapInArrow(run, f"dim int, pass int, sign long, cid long, vector {kind}")
 
