@@ -115,7 +115,7 @@ def fit(features: list[list[int]], grades: list[int]) -> Model:
     weights = np.zeros(DIMENSIONS)
     if n == 0 or len(set(grades)) < 2:
         return Model(weights, cuts.tolist())
-    flat = np.fromiter((f for row in features for f in row), np.int64)
+    flat = np.concatenate([np.asarray(row, np.int32) for row in features])
     wide = np.array([len(row) for row in features])
     owner = np.repeat(np.arange(n), wide)
     often, told = np.bincount(flat, minlength=DIMENSIONS), np.zeros(DIMENSIONS, bool)
@@ -153,8 +153,8 @@ def fit(features: list[list[int]], grades: list[int]) -> Model:
     return Model(weights, cuts.tolist())
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[int, int, list[int]]]:
-    """(doc_id, grade, features) of at most ``rows`` rated documents, by doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[int, int, object]]:
+    """(doc_id, grade, features as an array) of at most ``rows`` rated documents, by doc_id.
 
     Ratings that are null in all columns are left out; a document rated more than once has its
     lowest grade; of rows with the same doc_id the smallest text counts.
@@ -172,7 +172,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
     bound_batches(docs.sparkSession)
     found = texts.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow()
-    return sorted(zip(*(found.column(k).to_pylist() for k in range(3))))
+    if not found.num_rows:
+        return []
+    lists = found.column("features").combine_chunks()
+    edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    rows = sorted(zip(found.column("doc_id").to_pylist(), found.column("grade").to_pylist(), edges.tolist(), edges[1:].tolist()))
+    return [(doc_id, grade_, flat[a:b]) for doc_id, grade_, a, b in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

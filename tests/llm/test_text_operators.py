@@ -138,7 +138,8 @@ def test_classifier_gradient_and_ties(spark):
     docs = spark.createDataFrame([(1, "b a"), (1, "a a"), (3, None), (2, "c")], "doc_id long, text string")
     found = ordinal_quality.training_rows(docs, labels)
     assert [(i, g) for i, g, _ in found] == [(1, 1), (3, 2)]
-    assert found == ordinal_quality.training_rows(docs, labels)
+    again = ordinal_quality.training_rows(docs, labels)
+    assert [(i, g, f.tolist()) for i, g, f in found] == [(i, g, f.tolist()) for i, g, f in again]
 
 
 def test_token_counts_equal_a_plain_search(spark):
