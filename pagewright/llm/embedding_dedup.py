@@ -4,9 +4,11 @@ A vector's signature in a pass is the signs of its products with that pass's ran
 concatenated into one number. Every pass orders all vectors by signature, so vectors at a small angle tend to
 share a long prefix and to lie close together. Each vector is compared with the ``WINDOW`` that follow
 it; pairs of cosine >= ``least`` are links, and links of all passes are united into components.
-The number of passes follows the number of vectors, so that a pair right at the threshold is
-still met with probability ``RECALL``: to lie within a window, it must share about
-log2(vectors / window) bits, each of which it shares with probability 1 - angle / pi.
+The first log2(vectors / window) bits of a signature, rounded up, name a run. Runs of evenly spread vectors
+fit a window; a run that holds more (a group of similar vectors crowds it) is compared whole, in blocks of at
+most ``BLOCK`` by ``BLOCK`` vectors. So every pair that shares a run in any pass is compared, however
+vectors are spread, and the number of passes follows the number of vectors so that a pair right at the threshold, which
+shares each bit with probability 1 - angle / pi, shares a run with probability ``RECALL``.
 
 Equal vectors are collapsed before the passes. A window is bounded but a group is not: the links of
 each vector are therefore counted afterwards among all members of its component, without emitting pairs.
@@ -33,10 +35,14 @@ SEED = 7
 _MARGIN = 1e-9
 
 
+def run_bits(vectors: int, window: int = WINDOW) -> int:
+    """Leading bits of a signature that name a run: of evenly spread vectors, no more than a window share them."""
+    return min(BITS, max(0, math.ceil(math.log2(max(vectors, 1) / window))))
+
+
 def passes_for(vectors: int, least: float = LEAST, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes that meet a pair at the threshold with probability ``recall``."""
-    bits = max(0.0, math.log2(max(vectors, 1) / window))
-    once = (1 - math.acos(least) / math.pi) ** bits
+    """Passes in which a pair at the threshold shares a run with probability ``recall``."""
+    once = (1 - math.acos(least) / math.pi) ** run_bits(vectors, window)
     return 1 if once >= recall else math.ceil(math.log(1 - recall) / math.log1p(-once))
 
 
@@ -193,6 +199,50 @@ def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW)
     return parts.where("a is not null").select("a", "b").union(between)
 
 
+def _forest_of(linked):
+    """Places (i, j) of a spanning forest of a bipartite graph, from its boolean matrix; each row is expanded once."""
+    import numpy as np
+
+    rows, columns = linked.any(axis=1), linked.any(axis=0)
+    while rows.any():
+        frontier = np.nonzero(rows)[0][:1]
+        while len(frontier):
+            rows[frontier] = False
+            near = linked[frontier] & columns
+            new = np.nonzero(near.any(axis=0))[0]
+            yield from zip(frontier[near[:, new].argmax(axis=0)].tolist(), new.tolist())
+            columns[new] = False
+            more = linked[:, new] & rows[:, None]
+            frontier = np.nonzero(more.any(axis=1))[0]
+            yield from zip(frontier.tolist(), new[more[frontier].argmax(axis=1)].tolist() if len(frontier) else [])
+
+
+def run_links(signed: DataFrame, bits: int, least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """(a, b): verified links that connect what links within the runs of more than ``window`` vectors connect."""
+    import pyarrow as pa
+
+    keys = ["dim", "pass", "run"]
+    signed = signed.withColumn("run", F.shiftright("sign", BITS - bits))
+    crowded = signed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > window)
+    crowded = materialize(crowded.select(*keys, F.ceil(F.col("rows") / BLOCK).cast("int").alias("m")), "vector-runs")
+    met = salted_join(signed, crowded, keys, ["cid"], how="inner").withColumn("own", F.pmod(F.xxhash64("cid", "pass"), F.col("m")).cast("int"))
+    dealt = met.select(*keys, "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"), "cid", "vector")
+    dealt = dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "vector")
+
+    def compare(table):
+        import numpy as np
+
+        ids, own = (table.column(c).to_numpy() for c in ("cid", "own"))
+        unit = _matrix(table.column("vector").combine_chunks())
+        left = own == table.column("i")[0].as_py()
+        right = own == table.column("j")[0].as_py()
+        linked = (unit[left] @ unit[right].T >= least) & (ids[left][:, None] != ids[right][None])
+        found = list(_forest_of(linked))
+        return pa.table({"a": pa.array(ids[left][[x[0] for x in found]] if found else [], pa.int64()), "b": pa.array(ids[right][[x[1] for x in found]] if found else [], pa.int64())})
+
+    return dealt.groupBy(*keys, "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def mean_directions(members: DataFrame) -> DataFrame:
     """(root, mean array<double>): the sum of the members' unit vectors, added up in parts."""
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -254,8 +304,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, window: int = WIND
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).withColumn("valid", valid(F.col("vector")))
     grouped = rows.where("valid").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "vector", "first", "n"), "vector-classes")
-    passes = passes or passes_for(classes.count(), least, window)
-    links = window_links(signatures(classes.select("cid", "vector"), passes), least, window)
+    count = classes.count()
+    signed = signatures(classes.select("cid", "vector"), passes or passes_for(count, least, window))
+    links = window_links(signed, least, window).union(run_links(signed, run_bits(count, window), least, window))
     roots = materialize(connected_components(links, "vector-components"), "vector-roots")
     members = materialize(classes.join(roots, classes.cid == roots.node).select("root", "cid", "n", "first", "vector"), "vector-members")
     lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))

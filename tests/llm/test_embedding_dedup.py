@@ -84,6 +84,39 @@ def test_recall_at_the_threshold(spark):
     assert all(r.n_links == 0 for r in got if r.vec_id >= 10_000)
 
 
+@pytest.mark.parametrize("mutual", [0.7, 0.8, 0.85])
+def test_recall_in_a_hot_group(spark, mutual):
+    """A third of the vectors are similar to each other below the threshold, and hold pairs right above it."""
+    rng, dim, pairs = np.random.default_rng(9), 64, 750
+    center = np.eye(dim)[0]
+    aside = rng.standard_normal((2, pairs, dim))
+    aside[:, :, 0] = 0
+    aside /= np.linalg.norm(aside, axis=2, keepdims=True)
+    # of two vectors sqrt(mutual) * center + sqrt(1 - mutual) * aside, the cosine is mutual + (1 - mutual) * their asides' cosine
+    near = (0.902 - mutual) / (1 - mutual)
+    other = aside[1] - aside[0] * (aside[0] * aside[1]).sum(axis=1, keepdims=True)
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    other = near * aside[0] + np.sqrt(1 - near**2) * other
+    hot = [(np.sqrt(mutual) * center + np.sqrt(1 - mutual) * a).tolist() for pair in zip(aside[0], other) for a in pair]
+    rows = [(i, v, 0, 0) for i, v in enumerate(hot + rng.standard_normal((4 * pairs, dim)).tolist())]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(pairs)) / pairs >= 0.95
+
+
+def test_forest_of_a_matrix():
+    rng = np.random.default_rng(3)
+    for density in (0.0, 0.005, 0.02, 0.3, 1.0):
+        linked = rng.random((90, 70)) < density
+
+        def roots(edges):
+            joined = embedding_dedup._Union()
+            kept = [joined.join(i, 1000 + j) for i, j in edges]
+            return all(kept), [joined.find(x) for x in [*range(90), *range(1000, 1070)]]
+
+        spanning, found = roots(embedding_dedup._forest_of(linked))
+        assert spanning and found == roots(zip(*map(np.ndarray.tolist, np.nonzero(linked))))[1]
+
+
 def test_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
