@@ -352,7 +352,7 @@ def budget_ledger(spark, sf_dir):
 
 
 def retry_after(spark, sf_dir):
-    headers = table(spark, sf_dir, "events").where("event_id < 200").select("event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" "), (F.col("event_id") / 2).cast("string"))).when(F.col("event_id") % 5 == 1, "Wed, 21 Oct 2015 07:28:00 GMT").when(F.col("event_id") % 5 == 2, "soon").when(F.col("event_id") % 5 == 3, "-3").alias("header"))
+    headers = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" "), (F.col("event_id") / 2).cast("string"))).when(F.col("event_id") % 5 == 1, "Wed, 21 Oct 2015 07:28:00 GMT").when(F.col("event_id") % 5 == 2, "soon").when(F.col("event_id") % 5 == 3, "-3").alias("header"))
     ms = tx.retry_after_ms(F.col("header"), F.timestamp_millis(F.lit(1445412400000)))
     return headers.select("event_id", ms.alias("ms"), tx.wait_seconds(ms).alias("seconds"))
 
