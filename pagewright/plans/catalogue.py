@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright import limits
+from pagewright.functions import patterns
 from pagewright.functions import text as tx
 from pagewright.functions.statistics import median_or_zero, weighted_lower_median
 from pagewright.operators import admission, batches, evaluate, exact_search, highlight, lines, rank, segments, validate
@@ -214,13 +215,25 @@ def question_keys(spark, sf_dir):
 
 
 def instructions(spark, sf_dir):
-    rows = _full(spark, sf_dir).where("doc_ordinal <= 2")
+    rows = _full(spark, sf_dir)
     name = F.format_string("p%03d-s%03d", F.col("page_number"), F.col("seq"))
     return rows.select("document_id", name.alias("segment_id"), batches.instructions(name, F.col("doc_ordinal") == 2).alias("instructions"))
 
 
+def _split(spark, sf_dir):
+    """Like _full, but lines over the length limit are passages by parts, cut where segments.split_long cuts."""
+    from pyspark.sql import Window
+
+    most = limits.MAX_SEGMENT_CHARACTERS
+    parts = F.regexp_extract_all("str", F.lit(f"(?s).{{1,{most}}}\\z|.{{1,{most - 1}}}{patterns.SENTENCE_BREAK}|.{{{most}}}"), F.lit(0))
+    rows = _lines(spark, sf_dir).where(tx.trim_space(F.col("str")) != "")
+    rows = rows.select("document_id", "page_number", "k", F.posexplode(parts).alias("part", "str"))
+    page = Window.partitionBy("document_id", "page_number").orderBy("k", "part")
+    return rows.withColumn("seq", F.row_number().over(page)).withColumn("doc_ordinal", F.row_number().over(Window.partitionBy("document_id").orderBy("k", "part")))
+
+
 def request_bodies(spark, sf_dir):
-    rows = _full(spark, sf_dir).where(F.char_length("str") <= 800)
+    rows = _split(spark, sf_dir)
     named = rows.select("document_id", "doc_ordinal", F.format_string("p%03d-s%03d", F.col("page_number"), F.col("seq")).alias("id"), F.col("str").alias("text"), F.lit(None).cast("string").alias("context_before"), F.lit(None).cast("string").alias("context_after"))
     packed = batches.pack_batches(rows.groupBy("document_id").agg(F.max("doc_ordinal").alias("n")), ["document_id"])
     states = packed.join(named, ["document_id", "doc_ordinal"]).withColumn("request_id", F.lit("r1")).withColumn("query", F.lit(QUERY))
