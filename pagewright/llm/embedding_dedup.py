@@ -28,6 +28,8 @@ from pagewright.llm.common import bound_batches, connected_components, materiali
 
 LEAST = 0.9
 WINDOW = 64
+#: Windows of rows that a task has on average, so that none has less than one although ranges are sampled.
+PART_WINDOWS = 8
 BITS = 40
 RECALL = 0.98
 BLOCK = 1024
@@ -131,19 +133,21 @@ def _compare(ids, unit, least: float, window: int, joined: _Union):
                 yield a, b
 
 
-def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
-    """(a, b): verified links that connect what the windows of all passes connect.
+def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW, rows: int | None = None) -> DataFrame:
+    """(a, b): verified links that connect what the windows of all passes connect; ``rows`` is how many ``signed`` has.
 
     Vectors are range-partitioned and sorted by dimension, pass and signature. A task slides its window over its
     sorted rows, in parts with an overlap of one window; its first and last rows are set aside and
-    meet those of the neighbouring tasks afterwards, two windows at a time.
+    meet those of the neighbouring tasks afterwards, two windows at a time. Tasks are so few that each has
+    several windows of rows, as only neighbours meet.
     """
     import pyarrow as pa
 
     spark = signed.sparkSession
     kind = signed.schema["vector"].dataType.simpleString()
     order = ["dim", "pass", "sign", "cid"]
-    ranged = signed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    tasks = (signed.count() if rows is None else rows) // (PART_WINDOWS * window)
+    ranged = signed.repartitionByRange(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)), *order).sortWithinPartitions(*order)
     names = ["a", "b", "border", "dim", "pass", "sign", "cid", "vector"]
     schema = f"a long, b long, border long, dim int, pass int, sign long, cid long, vector {kind}"
 
@@ -305,8 +309,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, window: int = WIND
     grouped = rows.where("valid").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "vector", "first", "n"), "vector-classes")
     count = classes.count()
-    signed = signatures(classes.select("cid", "vector"), passes or passes_for(count, least, window))
-    links = window_links(signed, least, window).union(run_links(signed, run_bits(count, window), least, window))
+    passes = passes or passes_for(count, least, window)
+    signed = signatures(classes.select("cid", "vector"), passes)
+    links = window_links(signed, least, window, count * passes).union(run_links(signed, run_bits(count, window), least, window))
     roots = materialize(connected_components(links, "vector-components"), "vector-roots")
     members = materialize(classes.join(roots, classes.cid == roots.node).select("root", "cid", "n", "first", "vector"), "vector-members")
     lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -103,6 +103,23 @@ def test_recall_in_a_hot_group(spark, mutual):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(pairs)) / pairs >= 0.95
 
 
+def test_windows_do_not_depend_on_the_number_of_partitions(spark):
+    rng = np.random.default_rng(10)
+    vectors = [v for _ in range(40) for v in cluster(rng, 0.22, 5)]
+    signed = embedding_dedup.signatures(spark.createDataFrame(list(enumerate(vectors)), "cid long, vector array<float>"), 2)
+    was, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("1", "100"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            joined = embedding_dedup._Union()
+            for a, b in embedding_dedup.window_links(signed).collect():
+                joined.join(a, b)
+            found.append([joined.find(x) for x in range(len(vectors))])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1] and len(set(found[0])) < len(vectors)
+
+
 def test_forest_of_a_matrix():
     rng = np.random.default_rng(3)
     for density in (0.0, 0.005, 0.02, 0.3, 1.0):
