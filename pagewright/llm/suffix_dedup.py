@@ -1,13 +1,13 @@
-"""Removal of repeated passages by a sparse suffix array.
+"""Removal of repeated passages by sparse suffixes, grouped by hashes in place of a suffix array's sort.
 
 Only suffixes that begin at minimisers are retained. Of every run of ``passage`` words, the anchor is
 the place whose next ``gram`` words have the smallest hash; equal runs choose the same anchor wherever
-they stand, so a sample of about one suffix in 20 meets every repeated passage. The retained suffixes are sorted
-by the hash of their first words, and those equal to a neighbour are kept. Such a suffix is then extended to both
+they stand, so a sample of about one suffix in 20 meets every repeated passage. The retained suffixes are grouped
+by the hash of their first words, and those that aren't alone are kept. Such a suffix is then extended to both
 sides: it stands for the runs of ``passage`` words that chose it as their anchor, each reaching so many words to
 its left and the rest to its right. Where the whole reach equals that of an earlier document, all of these
-runs match at once; for what is left, the runs' hashes are sorted, and neighbours that are equal are matches
-of that extension. A maximal match is the union of the extensions that hold.
+runs match at once; for what is left, the runs are grouped by hash, and those of equal hash are matches
+of that extension; their words are not compared again. A maximal match is the union of the extensions that hold.
 
 The first occurrence of a run (smallest doc_id, then place) stays, the others go. A text that is equal to
 another document's needs no suffixes: all its words go if there are ``passage`` or more. No group of equal
