@@ -92,9 +92,36 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
 
 def test_run_hashes_depend_on_their_words_alone():
     hasher = suffix_dedup._Hasher()
-    hasher.lay(hasher.words([[b"a", b"b", b"c", b"d"], [b"x", b"b", b"c", b"d"]]))
-    runs = hasher.runs(3)
+    runs = hasher.runs(hasher.words([[b"a", b"b", b"c", b"d"], [b"x", b"b", b"c", b"d"]]), 3)
     assert runs[1] == runs[5] and runs[0] != runs[4]
-    import numpy as np
 
-    assert (hasher.between(np.array([1, 5]), np.array([4, 8])) == runs[1]).all()
+
+def test_a_hot_passage_over_many_segments_and_partitions(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst")
+    hot, warm = [word() for _ in range(70)], [word() for _ in range(55)]
+    texts = [" ".join([word() for _ in range(rng.randrange(45))] + hot[rng.randrange(3) :] + (warm if k % 5 == 0 else []) + [word() for _ in range(rng.randrange(45))]) for k in range(300)]
+    rows = rows_of(texts)
+    want = brute(rows, 50)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {r.doc_id: r for r in suffix_dedup.find_repeats(spark.createDataFrame(rows, SCHEMA), segment=16).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for i, *_ in rows:
+        assert {k for s in got[i].spans for k in range(s["from"], s["to"])} == want[i], i
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(400)}" for _ in range(60_000)]
+    rows = rows_of([" ".join(long), " ".join(["x", *long[59_000:59_060], "y"]), "z " * 300])
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: 0, 1: 60, 2: 250}
+
+
+def test_neighbours_are_compared_word_by_word():
+    row = lambda right, left, least, most, did: (right.encode(), left.encode(), least, most, did, 0, 20)
+    rows = sorted([row("a b c d ", "x y ", 0, 2, 1), row("a b c d ", "x z ", 0, 2, 2), row("a b d d ", "x y ", 0, 2, 0)])
+    found = sorted(suffix_dedup.settle(rows, 4, False, False))
+    assert found == [(1, 0, 20, (2, 2), (0, 0, 20)), (2, 0, 20, (0, 1), (1, 0, 20))]
