@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound_batches, materialize, salted_join, shared_path
+from pagewright.llm.common import bounded, materialize, salted_join, shared_path
 
 ARCHIVE_BYTES = 16 << 20
 #: Rows of a 32-character digest and a number, about 10 MB.
@@ -191,7 +191,7 @@ def read_arc(spark, path: str) -> DataFrame:
     names = ["page_id", "url", "date", "digest", "html"]
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             for data in batch.column(0):
                 rows = []
                 for header, payload in arc_records(gzip.decompress(data.as_py())):
@@ -210,7 +210,6 @@ def read_arc(spark, path: str) -> DataFrame:
     def _batch(rows, names, binary):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == binary else pa.string()) for k in range(len(names))], names)
 
-    bound_batches(spark)
     return _read(spark, path).mapInArrow(run, "page_id string, url string, date string, digest string, html binary")
 
 
@@ -219,12 +218,11 @@ def write_warc(records: DataFrame, path: str) -> None:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 200):
             rows = batch.to_pylist()
             out = [warc_record(r["kind"], r["page_id"], r["url"], r["date"], r["digest"], r["html"], r["refers_to"])[:-1] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    bound_batches(records.sparkSession, 200)
     columns = ["page_id", "url", "date", "digest", "html", "kind", "refers_to"]
     _write(records.select(columns).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record")), path)
 
@@ -242,7 +240,7 @@ def read_warc(spark, path: str) -> DataFrame:
         return None if text in (None, "null") else int(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             for data in batch.column(0):
                 rows = []
                 for h, block in warc_records(gzip.decompress(data.as_py())):
@@ -259,7 +257,6 @@ def read_warc(spark, path: str) -> DataFrame:
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    bound_batches(spark)
     return _read(spark, path).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 

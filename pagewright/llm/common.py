@@ -8,6 +8,7 @@ or on the driver.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,16 +26,20 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 _own_dir: list[str] = []
+_written: dict[str, set[str]] = {}  # by application, the paths of tables that are still there
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one set by ``setCheckpointDir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Only where neither is set and all runs on one machine, as in tests, a temporary folder takes its place. On a
+    cluster that raises, as executors would not see each other's files.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         folder = tempfile.mkdtemp(prefix="pagewright-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -43,23 +48,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/pagewright/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pagewright/{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again, which cuts its lineage.
 
-    The files outlive any executor, and their sizes let the optimizer choose join strategies.
+    The files outlive any executor, and their sizes let the optimizer choose join strategies. They stay until ``discard`` or ``release``.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._pagewright_path = path
+    return table
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Arrow batch holds, so that a worker's memory doesn't follow text lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes files or folders of the shared folder."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``materialize`` returned and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._pagewright_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that operators have written in this session and left for their results; call it when these are read."""
+    remove(spark, *_written.get(spark.sparkContext.applicationId, ()))
+
+
+def bounded(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
+    """The batches that a worker is handed, cut so that none has more than ``rows`` rows or, if it has several, ``most`` bytes."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > most:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], salts: int = 16, how: str = "left") -> DataFrame:
@@ -130,9 +164,11 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = salted_join(both.where("b > a"), low, ["a"], ["b"], how="inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.distinct(), tag)
+        before = now
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_join(large, low, ["a"], ["b"], how="inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), tag)
+        discard(large, before)
         if (is_now := mark(now)) == was:
             break
         was = is_now

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound_batches, connected_components, materialize, salted_join
+from pagewright.llm.common import bounded, connected_components, materialize, salted_join
 
 LEAST = 0.9
 WINDOW = 64
@@ -83,7 +83,7 @@ def signatures(classes: DataFrame, passes: int, bits: int = BITS) -> DataFrame:
 
         planes = {}
         weight = np.left_shift(np.int64(1), np.arange(bits - 1, -1, -1, dtype=np.int64))
-        for batch in batches:
+        for batch in bounded(batches, 10_000):
             sizes = batch.column(2).to_numpy()
             for dim in np.unique(sizes):
                 dim = int(dim)
@@ -95,7 +95,6 @@ def signatures(classes: DataFrame, passes: int, bits: int = BITS) -> DataFrame:
                     sign = ((unit @ planes[dim][k]) > 0) @ weight
                     yield pa.RecordBatch.from_arrays([pa.array([dim] * len(unit), pa.int32()), pa.array([k] * len(unit), pa.int32()), pa.array(sign), own.column(0), own.column(1)], names)
 
-    bound_batches(classes.sparkSession, 10_000)
     kind = classes.schema["vector"].dataType.simpleString()
     return classes.select("cid", "vector", F.size("vector").alias("dim")).mapInArrow(run, f"dim int, pass int, sign long, cid long, vector {kind}")
 
@@ -173,7 +172,7 @@ def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW,
 
     def slide(batches):
         held, head, joined, part = None, None, _Union(), None
-        for batch in batches:
+        for batch in bounded(batches, 10_000):
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()

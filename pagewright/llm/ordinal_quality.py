@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import bound_batches
+from pagewright.llm.common import bounded
 
 DIMENSIONS = 1 << 17
 #: Rated documents the model is fitted on, at most: those whose doc_id has the smallest hash.
@@ -163,14 +163,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
     def run(batches):
         features = Features()
-        for batch in batches:
+        for batch in bounded(batches):
             found = [features.of(text.as_py() or "") for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("doc_id is not null and grade is not null")
     chosen = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
-    bound_batches(docs.sparkSession)
     found = texts.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow()
     if not found.num_rows:
         return []
@@ -203,13 +202,12 @@ def score(docs: DataFrame, model: Model, good: int = GOOD, least_tail: float = L
         fitted = shared.value
         weights = fitted.weights.tolist()
         features = Features(weights)
-        for batch in batches:
+        for batch in bounded(batches):
             scores = [sum(map(weights.__getitem__, features.of(text.as_py() or ""))) for text in batch.column(batch.num_columns - 1)]
             tails = [fitted.tails(s) for s in scores]
             columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[bound] for t in tails], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["__pw_row", *added])
 
-    bound_batches(spark)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__pw_row"), F.col("text").cast("string").alias("__pw_text"))
     schema = T.StructType([packed.schema["__pw_row"], *[T.StructField(c, T.DoubleType()) for c in added]])
     out = packed.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound_batches, materialize
+from pagewright.llm.common import bounded, materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches):
         encoder = Encoder(tokenizer)
-        for batch in batches:
+        for batch in bounded(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = memoryview(encoder.encode(text.as_py() or "") + end)
@@ -105,7 +105,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -189,7 +188,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches):
         lookup = table.value
-        for batch in batches:
+        for batch in bounded(batches, 10_000):
             places = batch.column(5).to_numpy(zero_copy_only=False)
             i = np.searchsorted(lookup[:, 0], places, "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(lookup[i, 1] + places - lookup[i, 0]), pa.array(lookup[i, 2])], [*columns, "sequence_id", "offset"])

@@ -19,7 +19,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound_batches, connected_components, materialize, salted_join
+from pagewright.llm.common import bounded, connected_components, materialize, salted_join
 
 SEED = 42
 BITS = 64
@@ -62,11 +62,10 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in bounded(batches):
             values = [fingerprint(text.as_py(), words) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], ["doc_id", "fp", "tid"])
 
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key()).mapInArrow(run, "doc_id long, fp long, tid long")
 
 

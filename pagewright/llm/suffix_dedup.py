@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import bound_batches, materialize, salted_join
+from pagewright.llm.common import bounded, materialize, salted_join
 
 PASSAGE = 50
 GRAM = 8
@@ -136,7 +136,7 @@ def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
         import xxhash
 
         digest, hasher = xxhash.xxh3_128_digest, _Hasher()
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in batch.column(2)]
             number, place, first, last = _entries(texts, hasher, passage, gram)
             cut = np.searchsorted(number, np.arange(len(texts) + 1)).astype(np.int32)
@@ -153,7 +153,6 @@ def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
             flat = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, kinds)], [c for c, _ in kinds])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), flat)], names)
 
-    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     entry = "struct<prefix: binary, reach: binary, place: int, first: int, last: int>"
     return docs.select(_id(), F.xxhash64(text), text).mapInArrow(run, f"did long, tid long, n_words long, entries array<{entry}>")
@@ -212,7 +211,7 @@ def compare_neighbours(entries: DataFrame) -> DataFrame:
 
         held, held_out, first_group, start = None, False, None, True
         last = None
-        for batch in batches:
+        for batch in bounded(batches, 10_000):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
@@ -244,7 +243,7 @@ def reaches(candidates: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
     schema = pa.schema([("right", pa.binary()), ("left", pa.binary()), ("least", pa.int32()), ("most", pa.int32()), ("did", pa.int64()), ("tid", pa.int64()), ("place", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             rows = []
             for did, tid, text, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
@@ -258,7 +257,6 @@ def reaches(candidates: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    bound_batches(candidates.sparkSession)
     return candidates.select("did", "tid", "text", "entries").mapInArrow(run, "right binary, left binary, least int, most int, did long, tid long, place int")
 
 
@@ -352,7 +350,7 @@ def extend_matches(reached: DataFrame, passage: int = PASSAGE, gram: int = GRAM,
     def segments(batches):
         """(rows, whether the group may go on before them, whether it may go on behind them)."""
         group, rows, open_start, last = None, [], True, None
-        for batch in batches:
+        for batch in bounded(batches):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[4:] == last and row[0] == rows[-1][0]:
                     continue  # a row that the table has twice
@@ -381,7 +379,6 @@ def extend_matches(reached: DataFrame, passage: int = PASSAGE, gram: int = GRAM,
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    bound_batches(spark)
     return ranged.mapInArrow(run, "did long, tid long, from int, to int, stays_from int, stays_to int, source long, run binary, at int")
 
 
@@ -419,7 +416,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment:
     def merge(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in bounded(batches):
             spans = []
             for found, stays in zip(batch.column(2), batch.column(3)):
                 start, end = (found.values.field(k).to_numpy() for k in (0, 1))
@@ -436,7 +433,6 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, kind), batch.column(4)], ["did", "tid", "spans", "sources"])
 
     schema = "did long, tid long, spans array<struct<from: int, to: int>>, sources array<long>"
-    bound_batches(docs.sparkSession)
     partly = lists.mapInArrow(merge, schema)
     full = copies.select(*doc, F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"), F.when(F.col("first") != _NO_ID, F.array("first")).otherwise(F.array().cast("array<long>")).alias("sources"))
     return sparse.select(*doc, "n_words"), materialize(partly.where("size(spans) > 0").union(full), "suffix-spans")
@@ -486,14 +482,13 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
     joined = rows.join(spans.select("did", "tid", "spans"), ["did", "tid"], "left").select("__pw_row", F.col("__pw_row.text").cast("string").alias("__pw_text"), "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             out = []
             for text, found in zip(batch.column(1), batch.column(2)):
                 cut = remove_spans(text.as_py(), [(s["from"], s["to"]) for s in found.as_py()])
                 out.append(cut if cut.strip(" \t\n\x0b\f\r") else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["__pw_row", "__pw_left"])
 
-    bound_batches(docs.sparkSession)
     changed = joined.where("spans is not null")
     schema = T.StructType([joined.schema["__pw_row"], T.StructField("__pw_left", T.StringType())])
     left = changed.mapInArrow(run, schema).where("__pw_left is not null")

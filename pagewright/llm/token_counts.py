@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bound_batches
+from pagewright.llm.common import bounded
 
 WORD_START = "▁"
 MAX_NODES = 600_000
@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NOD
 
     def run(batches):
         trie = Trie(vocabulary(vocabulary_path), max_nodes)
-        for batch in batches:
+        for batch in bounded(batches):
             words, tokens = [], []
             for text in batch.column(1):
                 found = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
@@ -142,5 +142,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NOD
                 trie.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

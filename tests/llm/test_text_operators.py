@@ -45,65 +45,6 @@ def test_base_statistics(spark):
         assert not (r.base_failed and r.kept)
 
 
-def brute_kneser_ney(words, order):
-    """The definition, n-gram by n-gram."""
-    fold = lambda w: (0, *map(quality_rules.symbol, w), 1)
-    raw = {n: Counter() for n in range(1, order + 1)}
-    for w in words:
-        s = fold(w)
-        for i in range(1, len(s)):
-            for n in range(1, min(order, i + 1) + 1):
-                raw[n][s[i - n + 1 : i + 1]] += 1
-    a = {order: raw[order]}
-    for n in range(order - 1, 0, -1):
-        left = Counter(g[1:] for g in a[n + 1])
-        a[n] = Counter({g: raw[n][g] if g[0] == 0 else left[g] for g in raw[n]})
-    discounts = {}
-    for n in a:
-        t = [sum(1 for v in a[n].values() if v == k) for k in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1]) if t[0] + t[1] else 0.5
-        discounts[n] = [0, *[min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.05), k - 0.05) if t[k - 1] else 0.5 for k in (1, 2, 3)]]
-
-    def p(g):
-        n = len(g)
-        if n == 0:
-            return 1 / 64
-        rows = [v for h, v in a[n].items() if h[:-1] == g[:-1]]
-        if not rows:
-            return p(g[1:])
-        d = discounts[n]
-        return (max(a[n][g] - d[min(a[n][g], 3)], 0) + sum(d[min(v, 3)] for v in rows) * p(g[1:])) / sum(rows)
-
-    return lambda w: [p(fold(w)[max(0, i - order + 1) : i + 1]) for i in range(1, len(w) + 2)], p
-
-
-def test_kneser_ney(spark):
-    import math
-
-    rng = random.Random(2)
-    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(300)]
-    docs = docs_of(spark, [" ".join(words[k : k + 30]) for k in range(0, 300, 30)])
-    model = quality_rules.estimate(quality_rules.adjusted_counts(quality_rules.count_grams(docs)))
-    each, p = brute_kneser_ney(words, quality_rules.ORDER)
-    tried = [*words[:40], "zzz", "q", "abq", "aaaaaaaa"]
-    got = model.log_probability("en", tried, quality_rules._Folder())
-    for w, log in zip(tried, got):
-        assert math.isclose(log, sum(map(math.log, each(w))), rel_tol=1e-9), w
-    context = tuple(map(quality_rules.symbol, "ab"))
-    assert math.isclose(sum(p((*context, s)) for s in range(64)), 1.0)
-
-
-def test_bands_reject_noise_and_keep_prose(spark):
-    rng = random.Random(3)
-    syllables = ["the", "an", "er", "in", "tion", "re", "ou", "st"]
-    prose = [" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(80)) for _ in range(120)]
-    noise = [" ".join("".join(rng.choice("qxzjkv0#%~") for _ in range(6)) for _ in range(80)) for _ in range(3)]
-    low = [" ".join(rng.choice(["tion", "tiontion"]) + "a" * (k % 2) for k in range(80)) for _ in range(1)]
-    got = {r.doc_id: r.kept for r in quality_rules.quality(docs_of(spark, prose + noise + low)).collect()}
-    assert [got[i] for i in range(120)].count(False) == 0
-    assert [got[120 + i] for i in range(3)] == [False] * 3
-
-
 def test_empty_tables(spark):
     empty = docs_of(spark, ["x"]).where("doc_id > 5")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
