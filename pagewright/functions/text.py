@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,11 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import patterns
-from pagewright.functions.characters import SPACE
+from pagewright.functions.characters import COMBINING, SPACE, ZERO_WIDTH
 from pagewright.limits import MIN_SEGMENT_CHARACTERS
 
-_COMBINING = {"\u3099", "\u309a", "\uff9e", "\uff9f"}
-_DROPPED = {chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)}
+_DROP = re.compile(f"[{SPACE}{ZERO_WIDTH}]+")
+#: A character with the marks that compose with it, and what is dropped between them.
+_CLUSTER = re.compile(f"([^{SPACE}{ZERO_WIDTH}])((?:[{SPACE}{ZERO_WIDTH}]*[{COMBINING}])*)")
+_KEEP = re.compile(f"[^{SPACE}{ZERO_WIDTH}]+")
+_ODD = re.compile(f"[{COMBINING}Σ]")
+
+
+def _lower(text: str) -> str:
+    """Lower case letter by letter: a capital sigma has one form, wherever it stands in a word."""
+    return text.replace("Σ", "σ").lower()
 
 
 def normalize_with_offsets(text: str) -> tuple[str, list[int], list[int]]:
@@ -23,27 +32,14 @@ def normalize_with_offsets(text: str) -> tuple[str, list[int], list[int]]:
     White space and zero-width characters go; a character and the marks that compose with it are folded together by
     NFKC and lower case; white space that folding made goes too.
     """
-    if unicodedata.is_normalized("NFKC", text) and _COMBINING.isdisjoint(text) and "Σ" not in text:  # nothing to fold but case
-        starts = [i for i, c in enumerate(text) if c not in _DROPPED]
-        low = "".join([text[i] for i in starts]).lower()
+    if unicodedata.is_normalized("NFKC", text) and not _ODD.search(text):  # nothing to fold but case
+        runs = [m.span() for m in _KEEP.finditer(text)]
+        low = "".join([text[a:b] for a, b in runs]).lower()
+        starts = [i for a, b in runs for i in range(a, b)]
         if len(low) == len(starts):
             return low, starts, [i + 1 for i in starts]
-    held = [(i, c) for i, c in enumerate(text) if c not in _DROPPED]
-    out, starts, ends = [], [], []
-    at = 0
-    while at < len(held):
-        upto = at + 1
-        while upto < len(held) and held[upto][1] in _COMBINING:
-            upto += 1
-        first, last = held[at][0], held[upto - 1][0] + 1
-        folded = unicodedata.normalize("NFKC", "".join(c for _, c in held[at:upto]))
-        for c in (x for one in folded for x in (one.lower() if one != "Σ" else "σ")):
-            if c not in _DROPPED:
-                out.append(c)
-                starts.append(first)
-                ends.append(last)
-        at = upto
-    return "".join(out), starts, ends
+    clusters = [(_DROP.sub("", _lower(unicodedata.normalize("NFKC", _DROP.sub("", m[0])))), m.start(), m.end()) for m in _CLUSTER.finditer(text)]
+    return "".join(c for c, _, _ in clusters), [a for c, a, _ in clusters for _ in c], [b for c, _, b in clusters for _ in c]
 
 
 def _python_normalize():
@@ -143,14 +139,14 @@ def readable_size(size: Column) -> Column:
 
 
 def describe_pages(pages: Column, plural: str, singular: str) -> Column:
-    """[H17]"""
+    """[H17] The words Page and Pages are fixed values."""
     return F.when(F.size(pages) == 1, F.concat(F.lit("Page "), pages[0].cast("string"), F.lit(f" {singular}."))).otherwise(F.concat(F.lit("Pages "), F.array_join(pages, ", "), F.lit(f" {plural}.")))
 
 
-def empty_result_note(mode: Column, status: Column) -> Column:
-    """[H18]"""
-    near = F.lit("No passage met the relevance threshold, but some came close to the relevance threshold.")
-    return F.when(mode == "exact", "No matching text was found.").when(status == "uncertain", near).otherwise("No passage met the relevance threshold.")
+def empty_result_note(mode: Column, every_page_searched: Column) -> Column:
+    """[H18] What an empty result means. The wording is a fixed value."""
+    scope = F.when(every_page_searched, "the extracted text").otherwise("the text that could be searched")
+    return F.when(mode == "exact", F.concat(F.lit("No matching text was found in "), scope, F.lit("."))).otherwise(F.concat(F.lit("No passage in "), scope, F.lit(" met the relevance threshold.")))
 
 
 def verdict(probability: Column, matched: float, uncertain: float, names=("matched", "uncertain", "below threshold")) -> Column:

@@ -72,21 +72,28 @@ def terminal_of_body(bodies: DataFrame) -> DataFrame:
     return first.select("id", F.coalesce("e.kind", F.lit("unreadable")).alias("kind"), F.coalesce("e.value", F.lit("no_terminal_line")).alias("value"))
 
 
+#: What a panel says and what it stands for, in the order in which the wording is looked for. Fixed values.
+PANEL_WORDING = (
+    ("The search could not be completed", "error", "stream_error"),
+    ("came close to the relevance threshold", "final", "uncertain"),
+    ("met the relevance threshold|No matching text was found", "final", "no_match"),
+    (r"[0-9]+ results?\b", "final", "matched"),
+)
+#: Codes of HTTP statuses that have one of their own. Fixed values.
+PANEL_STATUS = {429: "rate_limited", 503: "capacity_exhausted"}
+#: What a panel says while its order isn't final. Fixed values.
+PROVISIONAL_WORDING = "passages judged|may still change"
+
+
 def outcome_of_panel(text: Column, http_status: Column) -> Column:
     """[K22] struct<kind, value> of a settled panel: the HTTP status first, then what the panel says."""
-    said = lambda kind, value: F.struct(F.lit(kind).alias("kind"), (value if isinstance(value, Column) else F.lit(value)).alias("value"))
-    return (
-        F.when(http_status == 429, said("error", "rate_limited"))
-        .when(http_status == 503, said("error", "capacity_exhausted"))
-        .when(http_status != 200, said("error", F.concat(F.lit("http_"), http_status.cast("string"))))
-        .when(text.contains("The search could not be completed"), said("error", "stream_error"))
-        .when(text.contains("came close to the relevance threshold"), said("final", "uncertain"))
-        .when(text.rlike("met the relevance threshold|No matching text was found"), said("final", "no_match"))
-        .when(text.rlike("[0-9]+ results?\\b"), said("final", "matched"))
-        .otherwise(said("unreadable", "no_verdict_on_screen"))
-    )
+    said = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    codes = F.create_map(*[F.lit(x) for pair in PANEL_STATUS.items() for x in pair])
+    failed = said("error", F.coalesce(codes[http_status], F.concat(F.lit("http_"), http_status.cast("string"))))
+    rules = [F.when(text.rlike(pattern), said(kind, F.lit(value))) for pattern, kind, value in PANEL_WORDING]
+    return F.coalesce(F.when(http_status != 200, failed), *rules, said("unreadable", F.lit("no_verdict_on_screen")))
 
 
 def has_settled(text: Column) -> Column:
     """[K23] A verdict stands and nothing says that it is provisional."""
-    return ~text.rlike("passages judged|may still change") & text.rlike("No matching text was found|met the relevance threshold|The search could not be completed|[0-9]+ results?\\b")
+    return ~text.rlike(PROVISIONAL_WORDING) & text.rlike("|".join(pattern for pattern, _, value in PANEL_WORDING if value != "uncertain"))

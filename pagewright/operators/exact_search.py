@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,38 +14,71 @@ from pagewright.functions.characters import SPACE
 from pagewright.functions.text import hit_key, normalize_for_search, normalize_with_offsets, trim_space
 
 
+def page_pieces(lines: Column) -> Column:
+    """[E10] The pieces of a page's lines (item_index, start, end, item_offset), placed in the page's text, whose lines are joined by line feeds."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<item_index: int, start: int, end: int, item_offset: int>>").alias("found"))
+
+    def step(acc: Column, line: Column) -> Column:
+        placed = F.transform(line["pieces"], lambda p: F.struct(p["item_index"].alias("item_index"), (p["start"] + acc["at"]).alias("start"), (p["end"] + acc["at"]).alias("end"), p["item_offset"].alias("item_offset")))
+        return F.struct((acc["at"] + F.char_length(line["text"]) + 1).alias("at"), F.concat(acc["found"], placed).alias("found"))
+
+    return F.aggregate(lines, start, step, lambda acc: acc["found"])
+
+
+def _fold():
+    """Search texts with the source range of each of their characters, as an Arrow function; what need not be folded but for case isn't looked at letter by letter."""
+    names = ["text", "source_start", "source_end"]
+
+    @F.arrow_udf(T.StructType.fromDDL("text string, source_start array<int>, source_end array<int>"))
+    def fold(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        found, starts, ends = [], [], []
+        for t in texts.to_pylist():
+            if t is None:
+                text, first, last = None, np.zeros(0, np.int32), np.zeros(0, np.int32)
+            elif t.isascii():
+                code = np.frombuffer(t.encode(), np.uint8)
+                first = np.nonzero((code != 32) & ((code < 9) | (code > 13)))[0].astype(np.int32)
+                text, last = code[first].tobytes().decode().lower(), first + 1
+            else:
+                text, *both = normalize_with_offsets(t)
+                first, last = (np.array(x, np.int32) for x in both)
+            found.append(text)
+            starts.append(first)
+            ends.append(last)
+        edges = pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (starts, ends)]
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), *lists], names)
+
+    return fold
+
+
 def page_index(pages: DataFrame) -> DataFrame:
-    """[K8, K9] (document_id, page_number, original_text, search_text, source_start, source_end, owner_item, owner_offset).
+    """[K8, K9] (document_id, page_number, original_text, search_text, source_start, source_end, pieces).
 
-    Lines are joined by line feeds, which own no item (null). ``owner_*`` has an entry for each character of the original
-    text, ``source_*`` one for each of the search text.
+    Lines are joined by line feeds, which belong to no item. ``source_*`` has an entry for each character of the search text; ``pieces`` says which
+    characters of the original text are which item's. Store it where the same pages are searched more than once.
     """
-    folded = T.StructType.fromDDL("text string, source_start array<int>, source_end array<int>")
-
-    @F.pandas_udf(folded)
-    def fold(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([normalize_with_offsets(t) for t in texts], columns=["text", "source_start", "source_end"])
-
-    def owners(line: Column) -> Column:
-        empty = F.array().cast("array<struct<item: int, at: int>>")
-        # pieces come in order; what lies between two of them, or after the last, belongs to none
-        filled = F.aggregate(
-            line["pieces"],
-            empty,
-            lambda done, p: F.concat(
-                done,
-                F.when(p["start"] > F.size(done), F.array_repeat(F.struct(F.lit(None).cast("int").alias("item"), F.lit(0).alias("at")), p["start"] - F.size(done))).otherwise(empty),
-                F.when(p["end"] > p["start"], F.transform(F.sequence(F.lit(0), F.greatest(p["end"] - p["start"] - 1, F.lit(0))), lambda k: F.struct(p["item_index"].alias("item"), k.alias("at")))).otherwise(empty),
-            ),
-        )
-        return filled
-
-    gap = F.array(F.struct(F.lit(None).cast("int").alias("item"), F.lit(0).alias("at")))
-    owned = F.flatten(F.transform("lines", lambda line, k: F.when(k > 0, F.concat(gap, owners(line))).otherwise(owners(line))))
     text = F.array_join(F.transform("lines", lambda line: line["text"]), "\n")
-    made = pages.select("document_id", "page_number", text.alias("original_text"), owned.alias("o"))
-    made = made.withColumn("f", fold.asNondeterministic()("original_text"))  # so that no filter on it moves below it
-    return made.select("document_id", "page_number", "original_text", F.col("f.text").alias("search_text"), "f.source_start", "f.source_end", F.col("o.item").alias("owner_item"), F.col("o.at").alias("owner_offset"))
+    made = pages.select("document_id", "page_number", text.alias("original_text"), page_pieces(F.col("lines")).alias("pieces"))
+    made = made.withColumn("f", _fold().asNondeterministic()("original_text"))  # so that no filter on it moves below it
+    return made.select("document_id", "page_number", "original_text", F.col("f.text").alias("search_text"), "f.source_start", "f.source_end", "pieces")
+
+
+def search_pages(pages: DataFrame, query: str) -> DataFrame:
+    """[K10] Exact search in pages that have no stored index: only pages that hold the query are indexed. Folding without places comes first, for ASCII texts in the JVM."""
+    wanted = folded_query(query)
+    text = F.array_join(F.transform("lines", lambda line: line["text"]), "\n")
+    return exact_search(page_index(pages.where(F.contains(normalize_for_search(text), F.lit(wanted)))), query)
+
+
+def folded_query(query: str) -> str:
+    """The search form of a query; one of white space alone raises ValueError (``empty_query``)."""
+    wanted = normalize_with_offsets(query)[0]
+    if not wanted:
+        raise ValueError("empty_query")
+    return wanted
 
 
 def starts_of(text: Column, query: str) -> Column:
@@ -66,19 +99,27 @@ def preview(original: Column, first: Column, last: Column) -> Column:
     return F.concat(F.when(begin > 0, "…").otherwise(""), shown, F.when(end < F.char_length(original), "…").otherwise(""))
 
 
-def item_ranges(items: Column, offsets: Column, first: Column, last: Column) -> Column:
-    """[E9] The ranges of items that the characters first to last of a page cover."""
+def item_ranges(pieces: Column, first: Column, last: Column) -> Column:
+    """[C6, E9] The ranges of items that the characters first to last of a page cover; what goes on in the same item is one range."""
     kind = "array<struct<item_index: int, start_offset: int, end_offset: int, whole_item: boolean>>"
-    owned = F.arrays_zip(F.slice(items, first + 1, last - first).alias("item"), F.slice(offsets, first + 1, last - first).alias("at"))
-    one = lambda item, start, end: F.struct(item.alias("item_index"), start.alias("start_offset"), end.alias("end_offset"), F.lit(False).alias("whole_item"))
-
-    def step(done: Column, c: Column) -> Column:
-        item, at, last_one = c["item"], c["at"], F.try_element_at(done, F.lit(-1))
-        more = (last_one["item_index"] == item) & (last_one["end_offset"] == at)
-        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(one(item, last_one["start_offset"], (at + 1).cast("int"))))
-        return F.when(item.isNull(), done).when(F.coalesce(more, F.lit(False)), merged).otherwise(F.concat(done, F.array(one(item, at, (at + 1).cast("int"))))).cast(kind)
-
-    return F.aggregate(owned, F.array().cast(kind), step)
+    touched = F.filter(pieces, lambda p: (p["start"] < last) & (p["end"] > first))
+    cut = F.transform(
+        touched,
+        lambda p: F.struct(
+            p["item_index"].alias("item_index"),
+            (p["item_offset"] + F.greatest(first - p["start"], F.lit(0))).alias("start_offset"),
+            (p["item_offset"] + F.least(last, p["end"]) - p["start"]).alias("end_offset"),
+            F.lit(False).alias("whole_item"),
+        ),
+    )
+
+    def step(done: Column, r: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))
+        goes_on = F.coalesce((before["item_index"] == r["item_index"]) & (before["end_offset"] == r["start_offset"]), F.lit(False))
+        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(before.withField("end_offset", r["end_offset"])))
+        return F.when(goes_on, merged).otherwise(F.concat(done, F.array(r))).cast(kind)
+
+    return F.when(F.size(cut) < 2, cut.cast(kind)).otherwise(F.aggregate(cut, F.array().cast(kind), step))
 
 
 def exact_search(index: DataFrame, query: str) -> DataFrame:
@@ -87,12 +128,11 @@ def exact_search(index: DataFrame, query: str) -> DataFrame:
     The query is folded as the pages are; one of white space alone raises ValueError (``empty_query``). Narrow: a page's row
     is searched by built-in functions and only rows with hits go on. Order by page_number and search_start for reading.
     """
-    wanted = normalize_with_offsets(query)[0]
-    if not wanted:
-        raise ValueError("empty_query")
+    wanted = folded_query(query)
+
     def hit(start: Column) -> Column:
         first, last = F.element_at("source_start", start + 1), F.element_at("source_end", start + len(wanted))
-        ranges = item_ranges(F.col("owner_item"), F.col("owner_offset"), first, last)
+        ranges = item_ranges(F.col("pieces"), first, last)
         return F.struct(start.alias("search_start"), ranges.alias("ranges"), preview(F.col("original_text"), first, last).alias("preview_text"))
 
     # hits are made within the page's row, so its arrays aren't repeated for each
@@ -102,17 +142,25 @@ def exact_search(index: DataFrame, query: str) -> DataFrame:
 
 
 def count_hits(texts: DataFrame, query: str) -> DataFrame:
-    """(document_id, page_number, hits) from ``texts`` (document_id, page_number, original_text) where only counts are asked for: no offsets are kept."""
-    wanted = normalize_with_offsets(query)[0]
-    if not wanted:
-        raise ValueError("empty_query")
+    """(document_id, page_number, hits) from ``texts`` (document_id, page_number, original_text) where only counts are asked for: no places are made."""
+    wanted = folded_query(query)
     found = texts.select("document_id", "page_number", normalize_for_search(F.col("original_text")).alias("t")).where(F.contains("t", F.lit(wanted)))
-    return found.select("document_id", "page_number", F.size(starts_of(F.col("t"), wanted)).alias("hits"))
+    rest = F.octet_length(F.replace(F.col("t"), F.lit(wanted), F.lit("")))
+    return found.select("document_id", "page_number", ((F.octet_length("t") - rest) / len(wanted.encode())).cast("int").alias("hits"))
 
 
 def covered_text(index: DataFrame, hits: DataFrame) -> DataFrame:
     """[K26] (document_id, page_number, hit_key, covered): the text that a hit's ranges cover, read back from the page index."""
-    both = hits.select("document_id", "page_number", "hit_key", F.explode("ranges").alias("r")).join(index.select("document_id", "page_number", "original_text", "owner_item", "owner_offset"), ["document_id", "page_number"])
-    marks = F.filter(F.sequence(F.lit(1), F.char_length("original_text")), lambda k: (F.element_at("owner_item", k) == F.col("r.item_index")) & (F.element_at("owner_offset", k) >= F.col("r.start_offset")) & (F.element_at("owner_offset", k) < F.col("r.end_offset")))
-    text = F.array_join(F.transform(marks, lambda k: F.col("original_text").substr(k, F.lit(1))), "")
-    return both.select("document_id", "page_number", "hit_key", F.struct(F.col("r.item_index"), F.col("r.start_offset"), text.alias("t")).alias("s")).groupBy("document_id", "page_number", "hit_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "").alias("covered"))
+    both = hits.select("document_id", "page_number", "hit_key", "ranges").join(index.select("document_id", "page_number", "original_text", "pieces"), ["document_id", "page_number"])
+
+    def of_range(r: Column) -> Column:
+        own = F.filter("pieces", lambda p: (p["item_index"] == r["item_index"]) & (p["item_offset"] < r["end_offset"]) & (p["item_offset"] + p["end"] - p["start"] > r["start_offset"]))
+
+        def part(p: Column) -> Column:
+            begin = F.greatest(r["start_offset"], p["item_offset"])
+            end = F.least(r["end_offset"], p["item_offset"] + p["end"] - p["start"])
+            return F.col("original_text").substr(p["start"] + begin - p["item_offset"] + 1, end - begin)
+
+        return F.array_join(F.transform(own, part), "")
+
+    return both.select("document_id", "page_number", "hit_key", F.array_join(F.transform("ranges", of_range), "").alias("covered"))

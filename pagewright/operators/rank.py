@@ -44,15 +44,22 @@ def top_results(judged: DataFrame, most: int = limits.MAX_RESULTS) -> DataFrame:
 def provisional(judged: DataFrame, most: int = limits.MAX_RESULTS) -> DataFrame:
     """[I1, C4] After each batch, the best passages so far: (document_id, request_id, upto, segment_id, rank, evaluated) of judged passages with batch_no.
 
-    Only each batch's own best can be among them, so batches are cut to these first.
+    A batch is cut to its own best, and a request's batches, as many as its passages allow, are one row: a fold in their order carries the best on.
     """
-    per_batch = Window.partitionBy(*REQUEST, "batch_no").orderBy(*best_first())
-    counts = judged.groupBy(*REQUEST, "batch_no").agg(F.count(F.lit(1)).alias("n"))
-    so_far = counts.withColumn("evaluated", F.sum("n").over(Window.partitionBy(*REQUEST).orderBy("batch_no"))).select(*REQUEST, F.col("batch_no").alias("upto"), "evaluated")
-    best = judged.where(F.col("relevant_probability") >= limits.MATCHED).withColumn("k", F.row_number().over(per_batch)).where(F.col("k") <= most)
-    met = so_far.join(best, REQUEST).where("batch_no <= upto")
-    w = Window.partitionBy(*REQUEST, "upto").orderBy(*best_first())
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*REQUEST, "upto", "segment_id", "rank", "evaluated")
+    key = F.struct((-F.col("relevant_probability")).alias("a"), (-F.col("score")).alias("b"), "doc_ordinal", "segment_id")
+    matched = F.when(F.col("relevant_probability") >= limits.MATCHED, key)
+    batch = judged.groupBy(*REQUEST, "batch_no").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(matched)), 1, most).alias("best"))
+    whole = batch.groupBy(*REQUEST).agg(F.array_sort(F.collect_list(F.struct("batch_no", "n", "best"))).alias("batches"))
+    kind = batch.schema["best"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("evaluated"), F.array().cast(kind).alias("top"), F.array().cast(f"array<struct<upto: int, evaluated: bigint, top: {kind}>>").alias("out"))
+
+    def step(acc, x):
+        evaluated, top = acc["evaluated"] + x["n"], F.slice(F.array_sort(F.concat(acc["top"], x["best"])), 1, most)
+        row = F.struct(x["batch_no"].cast("int").alias("upto"), evaluated.alias("evaluated"), top.alias("top"))
+        return F.struct(evaluated.alias("evaluated"), top.alias("top"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    rows = whole.select(*REQUEST, F.explode(F.aggregate("batches", start, step, lambda acc: acc["out"])).alias("r"))
+    return rows.select(*REQUEST, "r.upto", "r.evaluated", F.posexplode("r.top").alias("k", "t")).select(*REQUEST, "upto", "t.segment_id", (F.col("k") + 1).alias("rank"), "evaluated")
 
 
 def debug_order(segments: DataFrame, judged: DataFrame) -> DataFrame:

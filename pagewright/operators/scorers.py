@@ -90,21 +90,37 @@ def call_once_more(send: Callable, body: str, deadline_ms: float, clock: Callabl
     return None, "provider_unavailable"
 
 
-def call_batches(bodies: DataFrame, send: Callable, concurrency: int = limits.MAX_CONCURRENT_REQUESTS, deadline_ms: float = limits.SEARCH_DEADLINE_MS) -> DataFrame:
-    """[A12, K12] (document_id, request_id, batch_no, reply, error_code) of request bodies; at most ``concurrency`` are under way at once.
+def call_batches(bodies: DataFrame, send: Callable, concurrency: int = limits.MAX_CONCURRENT_REQUESTS, deadline_ms: float = limits.SEARCH_DEADLINE_MS, clock: Callable[[], float] = lambda: time.time() * 1000, sleep: Callable[[float], None] = lambda ms: time.sleep(ms / 1000)) -> DataFrame:
+    """[A12, K12, I6] (document_id, request_id, batch_no, reply, error_code) of request bodies.
 
-    ``send(body, timeout_ms) -> (status, headers, reply)`` runs on the workers. Each partition keeps one deadline. A failure is a row.
+    A search, which is a (document_id, request_id), is one group of a partition: its batches are sent in order, at most ``concurrency`` at once, and share one deadline,
+    ``deadline_ms`` after its first request; other searches have their own. ``send(body, timeout_ms) -> (status, headers, reply)`` runs on the workers. A failure is a row.
     """
     import pandas as pd
 
-    def run(frames):
-        deadline = time.time() * 1000 + deadline_ms
-        for frame in frames:
-            found = [call_once_more(send, body, deadline) for body in frame["body"]]
-            yield pd.DataFrame({"document_id": frame["document_id"], "request_id": frame["request_id"], "batch_no": frame["batch_no"], "reply": [f[0] for f in found], "error_code": [f[1] for f in found]})
+    keys = ["document_id", "request_id"]
 
-    rows = bodies.select("document_id", "request_id", "batch_no", F.to_json("body").alias("body"))
-    return rows.repartition(concurrency).mapInPandas(run, "document_id long, request_id string, batch_no int, reply string, error_code string")
+    def run(frames):
+        from concurrent.futures import ThreadPoolExecutor
+
+        search, deadline = None, 0.0
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for frame in frames:
+                found = []
+                at = 0
+                names = list(zip(frame["document_id"], frame["request_id"]))
+                while at < len(names):
+                    upto = at + 1
+                    while upto < len(names) and names[upto] == names[at]:
+                        upto += 1
+                    if names[at] != search:  # a search that fills several frames keeps its deadline
+                        search, deadline = names[at], clock() + deadline_ms
+                    found += pool.map(lambda body, until=deadline: call_once_more(send, body, until, clock, sleep), frame["body"].iloc[at:upto])
+                    at = upto
+                yield pd.DataFrame({"document_id": frame["document_id"], "request_id": frame["request_id"], "batch_no": frame["batch_no"], "reply": [f[0] for f in found], "error_code": [f[1] for f in found]})
+
+    rows = bodies.select(*keys, "batch_no", F.to_json("body").alias("body")).repartition(*keys).sortWithinPartitions(*keys, "batch_no")
+    return rows.mapInPandas(run, "document_id long, request_id string, batch_no int, reply string, error_code string")
 
 
 def parse_replies(replies: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,5 +151,3 @@ def parse_replies(replies: DataFrame, expected: DataFrame) -> tuple[DataFrame, D
     good = outcomes.where("error_code is null").select("document_id", "request_id")
     answers = met.where("came and asked").select("document_id", "request_id", "segment_id", "a.score", "a.confidence", "a.probabilities").join(good, ["document_id", "request_id"], "left_semi")
     return answers, outcomes
-
-

@@ -12,12 +12,19 @@ from pagewright.functions.text import is_finite, trim_space
 RECORD_FIELDS = ("segment_id", "score", "relevant_probability", "confidence")
 
 
-def request_error(most_body: int = limits.MAX_REQUEST_BODY_BYTES, most_characters: int = limits.MAX_EXTRACTED_CHARACTERS) -> Column:
-    """[B13] The first failure's code of a request (body_bytes, document_id, request_id, query, segments), null if there is none.
+def head_error(most_body: int = limits.MAX_REQUEST_BODY_BYTES) -> Column:
+    """[B13] The first failure of a request before its segments are looked at: of (body_bytes, document_id, request_id, query)."""
+    named = lambda c: F.coalesce(F.col(c).rlike(patterns.IDENTIFIER), F.lit(False))
+    return (
+        F.when(F.col("body_bytes") > most_body, "request_body_too_large")
+        .when(~named("document_id") | ~named("request_id") | F.col("query").isNull(), "invalid_request")
+        .when(trim_space(F.col("query")) == "", "query_empty")
+        .when(F.char_length("query") > limits.MAX_QUERY_CHARACTERS, "query_too_long")
+    )
 
-    The order is that of the columns above; within segments the first bad one in array order decides, and their summed text comes last.
-    A field of a wrong type is null once it is typed, so null stands for that.
-    """
+
+def segments_error(most_characters: int = limits.MAX_EXTRACTED_CHARACTERS) -> Column:
+    """[B13] The first failure among ``segments``: their number, then the first bad one in array order, then their summed text."""
     ids = F.transform("segments", lambda s: s["id"])
     long = limits.MAX_SEGMENT_CHARACTERS
 
@@ -33,13 +40,8 @@ def request_error(most_body: int = limits.MAX_REQUEST_BODY_BYTES, most_character
 
     bad = F.filter(F.transform("segments", of_segment), lambda c: c.isNotNull())
     total = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.char_length(s["text"]), F.lit(0)))
-    named = lambda c: F.coalesce(F.col(c).rlike(patterns.IDENTIFIER), F.lit(False))
     return (
-        F.when(F.col("body_bytes") > most_body, "request_body_too_large")
-        .when(~named("document_id") | ~named("request_id") | F.col("query").isNull(), "invalid_request")
-        .when(trim_space(F.col("query")) == "", "query_empty")
-        .when(F.char_length("query") > limits.MAX_QUERY_CHARACTERS, "query_too_long")
-        .when(F.col("segments").isNull(), "invalid_request")
+        F.when(F.col("segments").isNull(), "invalid_request")
         .when(F.size("segments") == 0, "segments_empty")
         .when(F.size("segments") > limits.MAX_SEGMENT_COUNT, "too_many_segments")
         .when(F.size(bad) > 0, F.try_element_at(bad, F.lit(1)))
@@ -47,6 +49,14 @@ def request_error(most_body: int = limits.MAX_REQUEST_BODY_BYTES, most_character
     )
 
 
+def request_error(most_body: int = limits.MAX_REQUEST_BODY_BYTES, most_characters: int = limits.MAX_EXTRACTED_CHARACTERS) -> Column:
+    """[B13] The first failure's code of a request (body_bytes, document_id, request_id, query, segments), null if there is none.
+
+    The order is that of the columns above. A field of a wrong type is null once it is typed, so null stands for that.
+    """
+    return F.coalesce(head_error(most_body), segments_error(most_characters))
+
+
 def is_valid_answer(kind: Column, score: Column, confidence: Column, probabilities: Column) -> Column:
     """[B14] Type, ranges, exactly the levels 0, 1 and 2, and probabilities that sum to 1 within the tolerance."""
     values = F.map_values(probabilities)
@@ -94,7 +104,7 @@ def limit_violations(totals: DataFrame, most: dict[str, int]) -> DataFrame:
 
 
 def describe_violation(kind: Column, actual: Column, limit: Column) -> Column:
-    """[B23]"""
+    """[B23] The wording of the four messages is a fixed value."""
     mega = lambda x: x / F.lit(1024.0 * 1024.0)
     return (
         F.when(kind == "file_size", F.concat(F.lit("This PDF is "), F.call_function("format_number", mega(actual), F.lit("0.0")), F.lit(" MB. The limit is "), F.call_function("format_number", mega(limit), F.lit("0.###")), F.lit(" MB.")))

@@ -12,7 +12,8 @@ from pagewright.functions import patterns
 from pagewright.functions import text as tx
 from pagewright.functions.statistics import median_or_zero, weighted_lower_median
 from pagewright.operators import admission, batches, evaluate, exact_search, highlight, lines, rank, segments, validate
-from pagewright.operators.scorers import term_share
+from pagewright.operators.scorers import TermScorer, term_share
+from pagewright.plans import search
 from pagewright.sources import items as item_source
 from pagewright.sources.testdata import document_lines, items_of_documents
 from pagewright.streaming import progress
@@ -41,7 +42,8 @@ def _full(spark, sf_dir):
 
     rows = _lines(spark, sf_dir).where(tx.trim_space(F.col("str")) != "")
     page = Window.partitionBy("document_id", "page_number").orderBy("k")
-    return rows.withColumn("seq", F.row_number().over(page)).withColumn("doc_ordinal", F.row_number().over(Window.partitionBy("document_id").orderBy("k")))
+    rows = rows.withColumn("doc_ordinal", F.row_number().over(Window.partitionBy("document_id").orderBy("k")))  # its exchange serves the pages too
+    return rows.withColumn("seq", F.row_number().over(page))
 
 
 def scan_documents(spark, sf_dir):
@@ -112,6 +114,31 @@ def segment_context(spark, sf_dir):
     return found.select("document_id", "segment_id", "context_before", "context_after", batches.billed(F.col("original_text"), F.col("context_before"), F.col("context_after")).alias("billed"))
 
 
+def _searches(spark, sf_dir):
+    """Two searches for every document, also those without text; what is wrong with the first follows from the document's number."""
+    n = F.col("doc_id")
+    first = F.when(n % 11 == 1, " \u3000").when(n % 11 == 2, None).when(n % 11 == 3, F.repeat(F.lit("q"), 201)).otherwise(QUERY)
+    requests = F.explode(F.array(F.struct(F.lit("r1").alias("request_id"), first.alias("query")), F.struct(F.lit("r2").alias("request_id"), F.lit("zzzzzz").alias("query")))).alias("r")
+    queries_ = table(spark, sf_dir, "documents").select(n.alias("document_id"), requests).select("document_id", "r.*")
+    return search.search(search.ingest(items_of_documents(table(spark, sf_dir, "documents"))), queries_, TermScorer())
+
+
+def search_responses(spark, sf_dir):
+    """Opening all documents, then relevance searches end to end: the outcome of every request."""
+    return _searches(spark, sf_dir)[0]
+
+
+def search_results(spark, sf_dir):
+    """The same searches' best passages."""
+    return _searches(spark, sf_dir)[1].select("document_id", "request_id", "segment_id", "rank", "relevant_probability")
+
+
+def ingest_limits(spark, sf_dir):
+    """Opening all documents under tight limits; documents with too many pages are not read."""
+    opened = search.ingest(items_of_documents(table(spark, sf_dir, "documents")), most={"page_count": 5, "extracted_characters": 4000, "segment_count": 12})
+    return opened.violations.select("document_id", "kind", "actual", "limit")
+
+
 def segment_ids(spark, sf_dir):
     return _full(spark, sf_dir).select("document_id", tx.segment_id(F.col("page_number"), F.col("seq")).alias("segment_id"), "doc_ordinal", tx.tidy(F.col("str")).alias("text"))
 
@@ -132,7 +159,7 @@ def normalize_text(spark, sf_dir):
 
 
 def exact_hits(spark, sf_dir):
-    hits = exact_search.exact_search(exact_search.page_index(_pages(spark, sf_dir)), TERM)
+    hits = exact_search.search_pages(_pages(spark, sf_dir), TERM)
     return hits.select("document_id", "page_number", "hit_key", "search_start", F.size("ranges").alias("n_ranges"))
 
 
@@ -142,13 +169,13 @@ def exact_hit_counts(spark, sf_dir):
 
 
 def exact_preview(spark, sf_dir):
-    hits = exact_search.exact_search(exact_search.page_index(_pages(spark, sf_dir)), "License")
+    hits = exact_search.search_pages(_pages(spark, sf_dir), "License")
     return hits.select("document_id", "page_number", "search_start", "preview_text")
 
 
 def exact_straddle(spark, sf_dir):
     """Occurrences that cross a line break: a full stop, then whatever starts the next line."""
-    hits = exact_search.exact_search(exact_search.page_index(_pages(spark, sf_dir)), ". th")
+    hits = exact_search.search_pages(_pages(spark, sf_dir), ". th")
     return hits.where(F.size("ranges") > 1).select("document_id", "page_number", "search_start", F.col("ranges")[0]["item_index"].alias("first_item"), F.col("ranges")[1]["item_index"].alias("second_item"))
 
 
@@ -238,7 +265,8 @@ def request_bodies(spark, sf_dir):
     packed = batches.pack_batches(rows.groupBy("document_id").agg(F.max("doc_ordinal").alias("n")), ["document_id"])
     states = packed.join(named, ["document_id", "doc_ordinal"]).withColumn("request_id", F.lit("r1")).withColumn("query", F.lit(QUERY))
     body = batches.request_bodies(states, "model-1")
-    return body.select("document_id", "batch_no", F.size(F.map_keys("body.state.passages")).alias("passages"), F.size(F.map_keys("body.questions")).alias("questions"))
+    texts = F.array_join(F.transform(F.map_values("body.state.passages"), lambda p: p["text"]), "\n")
+    return body.select("document_id", "batch_no", F.array_join(F.map_keys("body.state.passages"), ",").alias("passages"), F.array_join(F.map_keys("body.questions"), ",").alias("questions"), F.md5(texts.cast("binary")).alias("texts_md5"))
 
 
 def score_stub(spark, sf_dir):
@@ -465,7 +493,7 @@ def admission_gates(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         scan_documents, page_stats, limit_violations, file_intake, items_to_lines, line_gaps, weighted_median_length, boundary_flags, multi_column_pages, column_order,
-        all_segments, segment_context, segment_ids, range_islands, normalize_text, exact_hits, exact_hit_counts, exact_preview, exact_straddle, covered_text,
+        all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, exact_hit_counts, exact_preview, exact_straddle, covered_text,
         request_validation, answer_validation, pack_batches, batch_chars_tokens, search_tokens, question_keys, instructions, request_bodies, score_stub,
         rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, ndjson_lines, stale_results,
         rate_limit, budget_ledger, retry_after, emphasis_spans, highlight_targets, eval_rates, eval_tally, terminal_lines, settled_panels, unsearched_pages,

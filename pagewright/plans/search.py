@@ -24,13 +24,17 @@ class Corpus:
     unsearched: DataFrame
 
 
-def ingest(items: DataFrame, rotations: DataFrame | None = None) -> Corpus:
+#: What a document may have at most.
+MOST = {"page_count": limits.MAX_PAGE_COUNT, "extracted_characters": limits.MAX_EXTRACTED_CHARACTERS, "segment_count": limits.MAX_SEGMENT_COUNT}
+
+
+def ingest(items: DataFrame, rotations: DataFrame | None = None, most: dict[str, int] = MOST) -> Corpus:
     """[K19] Opens all documents of ``items``: one shuffle by page, then one by document for ordinals and totals.
 
     Documents over the page limit are refused before any line is built; pages after the character ceiling are left out; other limits only block relevance search.
     """
     counts = items.groupBy("document_id").agg(F.max("page_number").alias("page_count"))
-    small = items.join(counts.where(F.col("page_count") <= limits.MAX_PAGE_COUNT), "document_id", "left_semi")
+    small = items.join(counts.where(F.col("page_count") <= most["page_count"]), "document_id", "left_semi")
     if rotations is not None:
         small = small.join(rotations.where("rotate % 180 <> 0").select("document_id", "page_number"), ["document_id", "page_number"], "left_anti")
     found = lines.page_lines(small)
@@ -39,7 +43,6 @@ def ingest(items: DataFrame, rotations: DataFrame | None = None) -> Corpus:
     pages = lines.order_by_column(found.join(read, ["document_id", "page_number"], "left_semi"))
     passages = segments.number_segments(segments.build_segments(pages))
     totals = counts.join(passages.groupBy("document_id").agg(F.sum(F.char_length("original_text")).alias("extracted_characters"), F.count(F.lit(1)).alias("segment_count")), "document_id", "left").na.fill(0)
-    most = {"page_count": limits.MAX_PAGE_COUNT, "extracted_characters": limits.MAX_EXTRACTED_CHARACTERS, "segment_count": limits.MAX_SEGMENT_COUNT}
     return Corpus(pages, passages, exact_search.page_index(pages), validate.limit_violations(totals, most), lines.unsearched_pages(facts))
 
 
@@ -56,23 +59,36 @@ def relevance_batches(segments_: DataFrame, queries: DataFrame) -> DataFrame:
     return packed.join(named, ["document_id", "doc_ordinal"]).join(queries, "document_id")
 
 
+def document_requests(segments_: DataFrame) -> DataFrame:
+    """(document_id, segments_code, segment_bytes): what every request for a document shares: the first failure among its passages, and their bytes as JSON."""
+    one = F.struct("doc_ordinal", F.struct(F.col("segment_id").alias("id"), F.col("original_text").alias("text"), "context_before", "context_after").alias("s"))
+    lists = segments_.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("segments"))
+    return lists.select("document_id", validate.segments_error().alias("segments_code"), F.octet_length(F.to_json("segments")).alias("segment_bytes"))
+
+
 def search(corpus: Corpus, queries: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
-    """[K20] (responses, results) of relevance searches: status or error_code per request, and the best passages with ranks.
+    """[K20, A14] (responses, results) of relevance searches (document_id, request_id, query): a status or an error_code for every request, and the best passages with ranks.
 
-    Documents that exceed a limit and queries that are empty or too long aren't sent; their error stands in ``responses``.
+    Every request passes the request validation, with its document's passages as its segments: a document without a passage is ``segments_empty``, one of too
+    many ``too_many_segments``. What fails isn't sent. A request that no answer came for is ``incomplete_evaluation``. Ids name one request each.
     """
-    asked = queries.join(corpus.violations.select("document_id").distinct().withColumn("over", F.lit(True)), "document_id", "left")
-    code = F.when(F.trim("query") == "", "query_empty").when(F.char_length("query") > limits.MAX_QUERY_CHARACTERS, "query_too_long").when(F.col("over"), "extracted_text_too_long")
-    asked = asked.withColumn("code", code)
+    facts = document_requests(corpus.segments)
+    own = F.struct(F.col("document_id").cast("string").alias("document_id"), "request_id", "query")
+    asked = queries.select("document_id", "request_id", "query").join(facts, "document_id", "left")
+    asked = asked.withColumn("body_bytes", F.octet_length(F.to_json(own)) + F.coalesce("segment_bytes", F.lit(0)))
+    known = asked.select(F.col("document_id").alias("doc"), F.col("document_id").cast("string").alias("document_id"), "request_id", "query", "segments_code", "segment_bytes", "body_bytes")
+    code = F.coalesce(validate.head_error(), F.when(F.col("segment_bytes").isNull(), "segments_empty"), F.col("segments_code"))
+    asked = known.withColumn("code", code).select(F.col("doc").alias("document_id"), "request_id", "query", "code")
     good = asked.where("code is null").select("document_id", "request_id", "query")
-    rows = relevance_batches(corpus.segments, good)
-    answers = scorer.score(rows)
+    answers = scorer.score(relevance_batches(corpus.segments, good))
     sent = corpus.segments.join(good.select("document_id", "request_id"), "document_id")
     judged = rank.judge(sent, answers)
     outcomes = rank.classify(judged, answers)
     refused = asked.where("code is not null").select("document_id", "request_id", F.lit(None).cast("string").alias("status"), F.col("code").alias("error_code"), F.lit(0).cast("long").alias("evaluated_segment_count"))
+    came = good.select("document_id", "request_id").join(outcomes, ["document_id", "request_id"], "left")
+    came = came.select("document_id", "request_id", "status", F.when(F.col("status").isNull(), F.coalesce("error_code", F.lit("incomplete_evaluation"))).alias("error_code"), F.coalesce("evaluated_segment_count", F.lit(0)).cast("long").alias("evaluated_segment_count"))
     complete = outcomes.where("error_code is null").select("document_id", "request_id")
-    return outcomes.union(refused), rank.top_results(judged.join(complete, ["document_id", "request_id"], "left_semi"))
+    return came.union(refused), rank.top_results(judged.join(complete, ["document_id", "request_id"], "left_semi"))
 
 
 def search_metrics(responses: DataFrame, estimates: DataFrame) -> DataFrame:

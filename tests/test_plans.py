@@ -34,6 +34,17 @@ def test_a_passage_needs_one_shuffle_by_page(spark, sf_dir):
     assert plan.count("hashpartitioning(document_id") == 1 and "SortMergeJoin" not in plan
 
 
+def test_pages_are_filtered_before_they_are_indexed(spark, sf_dir):
+    plan = explained(catalogue.exact_preview(spark, sf_dir))
+    steps = plan.split("\n(")  # operators by number, the scan first
+    searched = next(k for k, step in enumerate(steps) if "Filter" in step.split("\n")[0] and "ontains(" in step)
+    assert any("ArrowEvalPython" in step.split("\n")[0] for step in steps[searched + 1 :])
+
+
+def test_running_bests_need_no_join(spark, sf_dir):
+    assert "Join" not in explained(catalogue.provisional_topk(spark, sf_dir))
+
+
 def test_metrics_hold_no_text(spark):
     responses = spark.createDataFrame([(1, "r", "matched", None, 3), (2, "s", None, "query_empty", 0)], "document_id long, request_id string, status string, error_code string, evaluated_segment_count long")
     estimates = spark.createDataFrame([(1, 1, 900)], "document_id long, requests long, tokens long")

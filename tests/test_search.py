@@ -174,6 +174,50 @@ def test_search_end_to_end(spark):
     assert [s.id for s in requests.segments] == ["p001-s001", "p001-s002", "p001-s003"] and requests.segments[0].context_before is None
 
 
+def test_every_request_has_an_answer(spark):
+    items = {(1, 1): [item(0, "refund notice in thirty days and more")], (2, 1): [item(0, "")]}
+    corpus = plan.ingest(frame(spark, items))
+    asked = [(1, "ok", "refund"), (1, "wide", "\u3000\u2003"), (1, "null", None), (1, "long", "q" * 201), (1, "no id!", "refund"), (1, None, "refund"), (2, "empty", "refund"), (2, "both", " "), (7, "unknown", "refund")]
+    responses, _ = plan.search(corpus, spark.createDataFrame(asked, "document_id long, request_id string, query string"), TermScorer())
+    want = {("ok", "matched", None), ("wide", None, "query_empty"), ("null", None, "invalid_request"), ("long", None, "query_too_long"), ("no id!", None, "invalid_request"), (None, None, "invalid_request"), ("empty", None, "segments_empty"), ("both", None, "query_empty"), ("unknown", None, "segments_empty")}
+    got = responses.collect()
+    assert {(r.request_id, r.status, r.error_code) for r in got} == want and len(got) == len(asked)
+
+
+def test_a_limit_has_its_own_code(spark):
+    rows = [(1, 1, k, f"p{k // 999 + 1:03d}-s{k % 999 + 1:03d}", k, "word", None, None) for k in range(1, 2002)] + [(2, 1, k, f"p001-s{k:03d}", k, "x" * 800, None, None) for k in range(1, 252)]
+    passages = spark.createDataFrame(rows, "document_id long, page_number int, segment_seq int, segment_id string, doc_ordinal int, original_text string, context_before string, context_after string")
+    corpus = plan.Corpus(None, passages, None, None, None)
+    asked = spark.createDataFrame([(1, "a", "q"), (2, "b", "q")], "document_id long, request_id string, query string")
+    responses, _ = plan.search(corpus, asked, TermScorer())
+    assert {(r.request_id, r.error_code) for r in responses.collect()} == {("a", "too_many_segments"), ("b", "extracted_text_too_long")}
+
+
+class Ticking:
+    """A clock that goes on with every request."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+    def send(self, body, timeout):
+        self.now += 600
+        return 200, {}, "ok"
+
+
+def test_every_search_has_its_own_deadline(spark):
+    clock = Ticking()
+    bodies = spark.createDataFrame([(d, "r", b) for d in (1, 2, 3) for b in range(3)], "document_id long, request_id string, batch_no int").withColumn("body", F.struct("batch_no")).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = call_batches(bodies, clock.send, concurrency=1, deadline_ms=1000, clock=clock, sleep=lambda ms: None).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.document_id, r.batch_no, r.error_code) for r in got) == [(d, b, "provider_timeout" if b == 2 else None) for d in (1, 2, 3) for b in range(3)]
+
+
 def test_one_retry_within_the_deadline():
     now = [0.0]
     clock, sleep = lambda: now[0], lambda ms: now.__setitem__(0, now[0] + ms)

@@ -108,7 +108,9 @@ def test_rounding_percent_and_wording(spark):
     assert one(spark, tx.percent(F.col("a"), F.lit(8)), a=("int", 1)) == "13%"
     assert one(spark, tx.describe_pages(F.col("p"), "are out", "is out"), p=("array<int>", [3])) == "Page 3 is out."
     assert one(spark, tx.describe_pages(F.col("p"), "are out", "is out"), p=("array<int>", [3, 4])) == "Pages 3, 4 are out."
-    assert one(spark, tx.empty_result_note(F.col("m"), F.lit("no_match")), m=("string", "exact")) == "No matching text was found."
+    assert one(spark, tx.empty_result_note(F.col("m"), F.lit(True)), m=("string", "exact")) == "No matching text was found in the extracted text."
+    assert one(spark, tx.empty_result_note(F.col("m"), F.lit(False)), m=("string", "exact")) == "No matching text was found in the text that could be searched."
+    assert one(spark, tx.empty_result_note(F.col("m"), F.lit(False)), m=("string", "meaning")) == "No passage in the text that could be searched met the relevance threshold."
     assert one(spark, tx.tidy(F.col("t")), t=("string", "　a \t b\n")) == "a b"
 
 
