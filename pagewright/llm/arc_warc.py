@@ -15,10 +15,9 @@ files, whose number follows the bytes to write, so that one file holds about ``a
 from __future__ import annotations
 
 import gzip
-import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import bounded, materialize, salted_join, shared_path
@@ -33,20 +32,25 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 _DATE = "19700101000000"
-_SPLIT = re.compile(rb"[ \t\n\x0b\f\r]+")
 
 
 class ArchiveError(ValueError):
     """An archive whose headers or declared lengths don't fit its bytes."""
 
 
-def arc_header(version: int, page_id: int | None, url: str | None, length: int, offset: int = 0, archive: str = "pages.arc") -> bytes:
-    """The header line of a record, without its line feed. White space in the URL is percent-encoded."""
-    place = _SPLIT.sub(lambda m: b"".join(b"%%%02X" % c for c in m[0]), (url or "").encode("utf-8", "surrogatepass")) or b"-"
-    name = b"page-" + (b"null" if page_id is None else str(page_id).encode())
+def header_line(version: int, page_id: Column, url: Column, length: Column) -> Column:
+    """The header line of a record, without its line feed; white space in the URL is percent-encoded.
+
+    Version 1 has no field for the page's identifier, so there the URL carries it as a fragment ``#page-N``;
+    the version 2 record names it in its checksum field.
+    """
+    place = F.coalesce(url, F.lit(""))
+    for c in " \t\n\x0b\f\r":
+        place = F.replace(place, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    name, size, fixed = F.concat(F.lit("page-"), F.coalesce(page_id.cast("string"), F.lit("null"))), length.cast("string"), map(F.lit, ("0.0.0.0", _DATE, "text/html"))
     if version == 1:
-        return b" ".join([place, b"0.0.0.0", _DATE.encode(), b"text/html", str(length).encode()])
-    return b" ".join([place, b"0.0.0.0", _DATE.encode(), b"text/html", b"200", name, b"-", str(offset).encode(), archive.encode(), str(length).encode()])
+        return F.concat_ws(" ", F.concat(place, F.lit("#"), name), *fixed, size)
+    return F.concat_ws(" ", F.when(place == "", "-").otherwise(place), *fixed, F.lit("200"), name, F.lit("-"), F.lit("0"), F.lit("pages.arc"), size)
 
 
 def version_block(version: int) -> bytes:
@@ -130,8 +134,8 @@ def record_id(digest: str, page_id: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def warc_record(kind: str, page_id: str, url: str, date: str, digest: str, payload: bytes, refers_to: str | None) -> bytes:
-    """One record. A revisit's block is empty; it names the length of the payload that it stands for."""
+def warc_record(kind: str, page_id: str, url: str, date: str, digest: str, payload: bytes, refers_to: str | None, refers_to_date: str | None = None) -> bytes:
+    """One record. A revisit's block is empty; it names the length of the payload that it stands for, and the original's identifier and date."""
     block = payload if kind == "response" else b""
     headers = [
         ("WARC-Type", kind),
@@ -145,7 +149,7 @@ def warc_record(kind: str, page_id: str, url: str, date: str, digest: str, paylo
         ("X-Payload-Length", str(len(payload))),
     ]
     if kind == "revisit":
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(digest, refers_to)), ("X-Refers-To-Page-ID", refers_to)]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(digest, refers_to)), ("WARC-Refers-To-Date", refers_to_date or date), ("X-Refers-To-Page-ID", refers_to)]
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode("utf-8", "surrogatepass") for k, v in headers) + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -163,20 +167,12 @@ def _archives(total: int, archive_bytes: int) -> int:
 
 
 def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes ``pages`` (page_id, url, html) as ARC archives: even archives in version 1, odd ones in version 2.
-
-    Version 1 has no field for the page's identifier, so there the URL carries it as a fragment
-    ``#page-N``; the version 2 record names it in its checksum field. Null html is an empty payload.
-    """
+    """Writes ``pages`` (page_id, url, html) as ARC archives: even archives in version 1, odd ones in version 2. Null html is an empty payload."""
     clean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     total = clean.agg(F.sum(F.octet_length("html") + 300).cast("long")).first()[0] or 0
     n = _archives(total, archive_bytes)
-    dealt = clean.repartition(n, F.xxhash64("page_id", "url"))
-    place = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x20\x09-\x0D]", "%20")
-    name = F.concat(F.lit("page-"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    size = F.octet_length("html").cast("string")
-    v1 = F.concat_ws(" ", F.concat(place, F.lit("#"), name), F.lit("0.0.0.0"), F.lit(_DATE), F.lit("text/html"), size)
-    v2 = F.concat_ws(" ", F.when(place == "", "-").otherwise(place), F.lit("0.0.0.0"), F.lit(_DATE), F.lit("text/html"), F.lit("200"), name, F.lit("-"), F.lit("0"), F.lit("pages.arc"), size)
+    dealt = clean.repartition(n)  # round robin, so that archives are of one size whatever ids and URLs repeat
+    v1, v2 = (header_line(v, F.col("page_id"), F.col("url"), F.octet_length("html")) for v in (1, 2))
     number = F.monotonically_increasing_id()  # partition number above, row number below
     with_place = dealt.select("*", F.shiftright(number, 33).alias("archive"), number.bitwiseAND((1 << 33) - 1).alias("row"))
     odd = F.col("archive") % 2 == 1
@@ -214,16 +210,16 @@ def read_arc(spark, path: str) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records (page_id, url, date, digest, html, kind, refers_to) as WARC archives, one for each partition."""
+    """Writes records (page_id, url, date, digest, html, kind, refers_to, refers_to_date) as WARC archives, one for each partition."""
     import pyarrow as pa
 
     def run(batches):
         for batch in bounded(batches, 200):
             rows = batch.to_pylist()
-            out = [warc_record(r["kind"], r["page_id"], r["url"], r["date"], r["digest"], r["html"], r["refers_to"])[:-1] for r in rows]
+            out = [warc_record(r["kind"], r["page_id"], r["url"], r["date"], r["digest"], r["html"], r["refers_to"], r["refers_to_date"])[:-1] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    columns = ["page_id", "url", "date", "digest", "html", "kind", "refers_to"]
+    columns = ["page_id", "url", "date", "digest", "html", "kind", "refers_to", "refers_to_date"]
     _write(records.select(columns).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record")), path)
 
 
@@ -261,7 +257,7 @@ def read_warc(spark, path: str) -> DataFrame:
 
 
 def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds kind and refers_to: of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is the response.
+    """Adds kind, refers_to and refers_to_date: of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is the response.
 
     Only digests that occur twice or more go into the join. Up to BROADCAST_DIGESTS of them are sent to the
     records; beyond that the join is salted, as one payload may be a third of all records. Repeated rows of the largest page_id are all responses, as a page doesn't
@@ -269,14 +265,14 @@ def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     number = F.expr("try_cast(page_id as bigint)")
     long_enough = F.octet_length("html") >= least_bytes
-    best = records.where(long_enough).groupBy("digest").agg(F.max(number).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").select("digest", "best")
+    best = records.where(long_enough).groupBy("digest").agg(F.max(number).alias("best"), F.max_by("date", number).alias("best_date"), F.count(F.lit(1)).alias("n")).where("n > 1 and best is not null").select("digest", "best", "best_date")
     best = materialize(best, "warc-originals")
     if best.count() <= BROADCAST_DIGESTS:
         out = records.join(F.broadcast(best), "digest", "left")
     else:
         out = salted_join(records, best, ["digest"], ["page_id", "url"])
     revisit = long_enough & F.col("best").isNotNull() & ~F.col("best").eqNullSafe(number)
-    return out.select(*records.columns, F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("best").cast("string")).alias("refers_to"))
+    return out.select(*records.columns, F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("best").cast("string")).alias("refers_to"), F.when(revisit, F.col("best_date")).alias("refers_to_date"))
 
 
 def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:

@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ SPACES = " \t\n\x0b\f\r"
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: list[str] = []
 _written: dict[str, set[str]] = {}  # by application, the paths of tables that are still there
 
@@ -53,13 +56,25 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Lets Spark remove the shuffle files of a query as it ends, and not when its plan happens to be collected as garbage."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again, which cuts its lineage.
 
     The files outlive any executor, and their sizes let the optimizer choose join strategies. They stay until ``discard`` or ``release``.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._pagewright_path = path
     return table
@@ -79,9 +94,14 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._pagewright_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all tables that operators have written in this session and left for their results; call it when these are read."""
-    remove(spark, *_written.get(spark.sparkContext.applicationId, ()))
+def written(spark: SparkSession) -> frozenset[str]:
+    """The paths of all tables that operators have written in this application and that are still there."""
+    return frozenset(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, keep: frozenset[str] = frozenset()) -> None:
+    """Removes all tables but ``keep`` that operators have written and left for their results; call it when these are read."""
+    remove(spark, *written(spark).difference(keep))
 
 
 def bounded(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):

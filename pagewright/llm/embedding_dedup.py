@@ -20,11 +20,12 @@ member, in blocks of at most ``BLOCK`` by ``BLOCK`` vectors.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bounded, connected_components, materialize, salted_join
+from pagewright.llm.common import bounded, connected_components, discard, materialize, salted_join
 
 LEAST = 0.9
 WINDOW = 64
@@ -33,6 +34,8 @@ PART_WINDOWS = 8
 BITS = 40
 RECALL = 0.98
 BLOCK = 1024
+#: Passes that are sorted at a time.
+PASSES_AT_ONCE = 2
 SEED = 7
 _MARGIN = 1e-9
 
@@ -72,8 +75,8 @@ def _runs(*columns):
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def signatures(classes: DataFrame, passes: int, bits: int = BITS) -> DataFrame:
-    """(dim, pass, sign, cid, vector): each vector of ``classes`` (cid, vector) once a pass."""
+def signatures(classes: DataFrame, passes: range, bits: int = BITS) -> DataFrame:
+    """(dim, pass, sign, cid, vector): each vector of ``classes`` (cid, vector) once for each of ``passes``."""
     import pyarrow as pa
 
     names = ["dim", "pass", "sign", "cid", "vector"]
@@ -88,11 +91,11 @@ def signatures(classes: DataFrame, passes: int, bits: int = BITS) -> DataFrame:
             for dim in np.unique(sizes):
                 dim = int(dim)
                 own = batch.take(pa.array(np.nonzero(sizes == dim)[0]))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((passes, dim, bits))
                 unit = _matrix(own.column(1))
-                for k in range(passes):
-                    sign = ((unit @ planes[dim][k]) > 0) @ weight
+                for k in passes:
+                    if (dim, k) not in planes:
+                        planes[dim, k] = np.random.default_rng([SEED, dim, k]).standard_normal((dim, bits))
+                    sign = ((unit @ planes[dim, k]) > 0) @ weight
                     yield pa.RecordBatch.from_arrays([pa.array([dim] * len(unit), pa.int32()), pa.array([k] * len(unit), pa.int32()), pa.array(sign), own.column(0), own.column(1)], names)
 
     kind = classes.schema["vector"].dataType.simpleString()
@@ -199,7 +202,9 @@ def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW,
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     between = parts.where("border is not null").select("border", *order, "vector").groupBy("border").applyInArrow(meet, "a long, b long")
-    return parts.where("a is not null").select("a", "b").union(between)
+    links = materialize(parts.where("a is not null").select("a", "b").union(between), "vector-pass")
+    discard(parts)
+    return links
 
 
 def _forest_of(linked):
@@ -220,14 +225,16 @@ def _forest_of(linked):
             yield from zip(frontier.tolist(), new[more[frontier].argmax(axis=1)].tolist() if len(frontier) else [])
 
 
-def run_links(signed: DataFrame, bits: int, least: float = LEAST, window: int = WINDOW) -> DataFrame:
-    """(a, b): verified links that connect what links within the runs of more than ``window`` vectors connect."""
+def run_links(signed: DataFrame, bits: int, least: float = LEAST, window: int = WINDOW) -> DataFrame | None:
+    """(a, b): verified links that connect what links within the runs of more than ``window`` vectors connect; None if there are no such runs."""
     import pyarrow as pa
 
     keys = ["dim", "pass", "run"]
     signed = signed.withColumn("run", F.shiftright("sign", BITS - bits))
     crowded = signed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > window)
     crowded = materialize(crowded.select(*keys, F.ceil(F.col("rows") / BLOCK).cast("int").alias("m")), "vector-runs")
+    if crowded.isEmpty():
+        return None
     met = salted_join(signed, crowded, keys, ["cid"], how="inner").withColumn("own", F.pmod(F.xxhash64("cid", "pass"), F.col("m")).cast("int"))
     dealt = met.select(*keys, "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"), "cid", "vector")
     dealt = dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "vector")
@@ -243,7 +250,22 @@ def run_links(signed: DataFrame, bits: int, least: float = LEAST, window: int =
         found = list(_forest_of(linked))
         return pa.table({"a": pa.array(ids[left][[x[0] for x in found]] if found else [], pa.int64()), "b": pa.array(ids[right][[x[1] for x in found]] if found else [], pa.int64())})
 
-    return dealt.groupBy(*keys, "i", "j").applyInArrow(compare, "a long, b long")
+    links = materialize(dealt.groupBy(*keys, "i", "j").applyInArrow(compare, "a long, b long"), "vector-run-links")
+    discard(crowded)
+    return links
+
+
+def pass_links(classes: DataFrame, count: int, passes: int, least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """(a, b): the links of all passes. PASSES_AT_ONCE of them are sorted at a time and their shuffles removed before the next, so that disk holds the vectors so many times and not once for each pass."""
+    found = []
+    for at in range(0, passes, PASSES_AT_ONCE):
+        now = range(at, min(passes, at + PASSES_AT_ONCE))
+        signed = signatures(classes.select("cid", "vector"), now)
+        found.append(window_links(signed, least, window, count * len(now)))
+        found += filter(None, [run_links(signed, run_bits(count, window), least, window)])
+    links = materialize(reduce(DataFrame.union, found), "vector-all-links")
+    discard(*found)
+    return links
 
 
 def mean_directions(members: DataFrame) -> DataFrame:
@@ -309,9 +331,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, window: int = WIND
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "vector", "first", "n"), "vector-classes")
     count = classes.count()
     passes = passes or passes_for(count, least, window)
-    signed = signatures(classes.select("cid", "vector"), passes)
-    links = window_links(signed, least, window, count * passes).union(run_links(signed, run_bits(count, window), least, window))
+    links = pass_links(classes, count, passes, least, window)
     roots = materialize(connected_components(links, "vector-components"), "vector-roots")
+    discard(links)
     members = materialize(classes.join(roots, classes.cid == roots.node).select("root", "cid", "n", "first", "vector"), "vector-members")
     lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))
     named = salted_join(members.select("root", "cid", "n", "vector"), lowest, ["root"], ["cid"], how="inner")

@@ -23,8 +23,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def draw(seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on doc_id and source alone: the first 32 bits of an MD5 digest."""
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))
+    """A number in [0, 1) that depends on doc_id, source and text alone: the first 32 bits of an MD5 digest."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), text)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
@@ -55,7 +56,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     """The columns ``keep`` of every document with size, source_size, target, rate and copies.
 
     A null text has size 0, a null source is a source of its own; a source whose sizes are all 0
-    has target 0 and its documents are not copied. Repeated rows draw alike. An empty table gives
+    has target 0 and its documents are not copied. Rows draw by doc_id, source and text, so documents
+    without a doc_id draw apart; rows that repeat all three draw alike. An empty table gives
     no rows. Up to BROADCAST_SOURCES targets are sent to the documents, which then need no shuffle;
     beyond that documents meet them in a salted join. A source may hold any share of the rows.
     """

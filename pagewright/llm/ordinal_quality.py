@@ -99,6 +99,21 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds]
 
 
+def loss_and_slopes(score, y, cuts):
+    """(mean loss, its slope by each row's score, its slope by each threshold) of rows with grades ``y``: the loss is the negative log-likelihood of the grade."""
+    import numpy as np
+
+    levels = len(cuts) + 1
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    hi, lo = logistic(edges[y + 1] - score), logistic(edges[y] - score)
+    hi[y == levels - 1], lo[y == 0] = 1.0, 0.0
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    by_cut = np.array([d_lo[y == k + 1].sum() - d_hi[y == k].sum() for k in range(len(cuts))]) / len(y)
+    return float(-np.log(p).mean()), (d_hi - d_lo) / len(y), by_cut
+
+
 def fit(features: list[list[int]], grades: list[int]) -> Model:
     """Fits weights and thresholds by Adagrad on the log-likelihood; the same rows in the same order give the same model.
 
@@ -128,7 +143,6 @@ def fit(features: list[list[int]], grades: list[int]) -> Model:
     start = np.searchsorted(owner, np.arange(n + 1))
     seen, seen_cuts = np.full(DIMENSIONS, 1e-6), np.full(len(cuts), 1e-6)
     rng = np.random.default_rng(0)
-    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
@@ -136,18 +150,12 @@ def fit(features: list[list[int]], grades: list[int]) -> Model:
             size = start[rows + 1] - start[rows]
             idx = flat[np.concatenate([np.arange(start[r], start[r + 1]) for r in rows])]
             of = np.repeat(np.arange(len(rows)), size)
-            score = np.bincount(of, weights[idx], len(rows))
-            edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-            hi, lo = logistic(edges[y[rows] + 1] - score), logistic(edges[y[rows]] - score)
-            hi[y[rows] == levels - 1], lo[y[rows] == 0] = 1.0, 0.0
-            p = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-            slope = np.bincount(idx, (d_hi - d_lo)[of], DIMENSIONS) / len(rows) + DECAY * weights  # of the loss, by weight
+            _, by_score, by_cut = loss_and_slopes(np.bincount(of, weights[idx], len(rows)), y[rows], cuts)
+            slope = np.bincount(idx, by_score[of], DIMENSIONS) + DECAY * weights
             seen += slope * slope
             weights -= RATE * slope / np.sqrt(seen)
-            slope = np.array([d_lo[y[rows] == k + 1].sum() - d_hi[y[rows] == k].sum() for k in range(len(cuts))]) / len(rows)
-            seen_cuts += slope * slope
-            cuts -= RATE * slope / np.sqrt(seen_cuts)
+            seen_cuts += by_cut * by_cut
+            cuts -= RATE * by_cut / np.sqrt(seen_cuts)
             for k in range(1, len(cuts)):
                 cuts[k] = max(cuts[k], cuts[k - 1] + 1e-3)  # thresholds stay in order
     return Model(weights, cuts.tolist())

@@ -74,7 +74,7 @@ _OP3_SQL = r"""
 with sized as (
   select doc_id, source is null as no_source, coalesce(source, '') as src,
          coalesce(len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')), 0)::bigint as size,
-         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || coalesce(source, '')), 1, 8))::bigint / 4294967296.0::double as draw
+         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))), 1, 8))::bigint / 4294967296.0::double as draw
   from documents),
 totals as (select no_source, src, sum(size)::bigint as source_size from sized group by all),
 weighed as (
@@ -112,6 +112,19 @@ from placed group by conv_id
 """
 
 
+_OP6_SQL = r"""
+with recursive
+rows_ as (select row_number() over () as r, vec_id, [x::double for x in embedding] as e from embeddings),
+sound as (
+  select * from rows_ where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.r as a, b.r as b from sound a join sound b on a.r <> b.r and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(r, other) as (select r, r from rows_ union select reach.r, links.b from reach join links on reach.other = links.a),
+lowest as (select reach.r, min(o.vec_id) as component_id from reach join rows_ o on o.r = reach.other group by 1),
+counted as (select a as r, count(*) as n from links group by 1)
+select v.vec_id, coalesce(c.n, 0)::bigint as n_links, l.component_id, v.vec_id is not distinct from l.component_id as kept
+from rows_ v join lowest l on l.r = v.r left join counted c on c.r = v.r
+"""
+
 _OP9_SQL = r"""
 with hashed as (
   select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
@@ -145,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op9_warc": _OP9_SQL}
+    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL}

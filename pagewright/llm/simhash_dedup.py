@@ -19,7 +19,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bounded, connected_components, materialize, salted_join
+from pagewright.llm.common import bounded, connected_components, discard, materialize, salted_join
 
 SEED = 42
 BITS = 64
@@ -124,6 +124,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     linked = members.where("root is not null")
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     shared = salted_join(linked.select("fp", "root"), lowest, ["root"], ["fp"], how="inner").select("fp", "component_id").union(members.where("root is null and n > 1").select("fp", F.col("first").alias("component_id")))
+    shared = materialize(shared, "simhash-shared")
+    discard(groups, found, roots)
     out = salted_join(prints, shared, ["fp"], ["doc_id"])
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), "tid")
 

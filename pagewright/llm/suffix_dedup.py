@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import bounded, materialize, salted_join
+from pagewright.llm.common import bounded, discard, materialize, salted_join
 
 PASSAGE = 50
 GRAM = 8
@@ -403,6 +403,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment:
     named = docs.select(_id().alias("did"), F.xxhash64(text).alias("tid"), text.alias("text"))
     reached = materialize(reaches(named.join(held, doc), passage, gram), "suffix-reaches")
     found = materialize(extend_matches(reached, passage, gram, segment), "suffix-matches")
+    discard(reached)
     closed = found.where("run is null").select(*doc, F.struct("from", "to").alias("gone"), F.when(F.col("stays_from").isNotNull(), F.struct(F.col("stays_from").alias("from"), F.col("stays_to").alias("to"))).alias("stays"), "source")
     opened, at = found.where("run is not null").select("run", *doc, "at"), F.struct(*doc, "at")
     firsts = materialize(opened.groupBy("run").agg(F.min(at).alias("kept"), F.max(at).alias("other")).where("kept <> other").select("run", "kept"), "suffix-firsts")
@@ -435,7 +436,9 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment:
     schema = "did long, tid long, spans array<struct<from: int, to: int>>, sources array<long>"
     partly = lists.mapInArrow(merge, schema)
     full = copies.select(*doc, F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))).alias("spans"), F.when(F.col("first") != _NO_ID, F.array("first")).otherwise(F.array().cast("array<long>")).alias("sources"))
-    return sparse.select(*doc, "n_words"), materialize(partly.where("size(spans) > 0").union(full), "suffix-spans")
+    spans = materialize(partly.where("size(spans) > 0").union(full), "suffix-spans")
+    discard(copied, copies, near, found, firsts)
+    return sparse.select(*doc, "n_words"), spans
 
 
 def find_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:

@@ -40,11 +40,10 @@ def vocabulary(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Prefixes of pre-tokens with the best score and count of pieces of each."""
+    """Prefixes of pre-tokens with the best score and count of pieces of each; memory follows the characters inserted."""
 
     def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES):
         self.scores, self.max_nodes = scores, max_nodes
-        self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - BYTE_MARGIN
         ends: dict[str, set[int]] = {}  # by the last two characters, the lengths of pieces that are worth looking up
         for piece in scores:
@@ -54,69 +53,45 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[str, int] = {}  # prefix -> node
-        self.best: list[tuple[float, int]] = [(0.0, 0)]  # of the empty prefix
+        self.children: dict[tuple[int, str], int] = {}  # (node, next character) -> node
+        self.score: list[float] = [0.0]  # of the best cut of the node's prefix, the empty one first
+        self.pieces: list[int] = [0]  # and how many pieces it has
         self.terminal: dict[bytes, int] = {}  # word -> the count at the node where it ends
 
     def count(self, pre_token: str) -> int:
-        """Pieces of the best cut; of equally good cuts, one with the fewest pieces."""
-        return self.best[self._path(pre_token)[-1]][1]
-
-    def _path(self, word: str) -> list[int]:
-        """The nodes of every prefix of ``word``, from the empty one; makes what is missing."""
-        children, best, scores = self.children, self.best, self.scores
-        depth = len(word)
-        while depth and word[:depth] not in children:  # the longest prefix that is there
-            depth -= 1
-        path = [0, *[children[word[:k]] for k in range(1, depth + 1)]]
-        for end in range(depth + 1, len(word) + 1):
-            c = word[end - 1]
-            score, n = best[path[end - 1]]
-            size = len(c.encode("utf-8", "surrogatepass"))
-            found = (score + self.byte * size, -(n + size))
-            if (own := scores.get(c)) is not None:
-                found = max(found, (score + own, -(n + 1)))
-            for length in self.ends.get(word[end - 2 : end], ()) if end > 1 else ():
-                if length > end:
-                    break
-                if (own := scores.get(word[end - length : end])) is not None:
-                    score, n = best[path[end - length]]
-                    if (option := (score + own, -(n + 1))) > found:
-                        found = option
-            best.append((found[0], -found[1]))
-            children[word[:end]] = len(best) - 1
-            path.append(len(best) - 1)
-        return path
-
-    def trim(self) -> None:
-        if max(len(self.best), len(self.terminal)) > self.max_nodes:
-            self.clear()
-
-
-#: A word longer than this is scored outside the trie, as its prefixes would fill memory with its square.
-LONG_WORD = 200
-
-
-def long_count(trie: Trie, word: str) -> int:
-    """The count of one long word by the same recurrence, in memory that follows its longest piece."""
-    best = [(0.0, 0)]
-    for end in range(1, len(word) + 1):
-        c = word[end - 1]
+        """Pieces of the best cut; of equally good cuts, one with the fewest pieces. Makes the nodes that are missing."""
+        children, node, path = self.children, 0, [0]
+        for at, c in enumerate(pre_token):
+            child = children.get((node, c))
+            if child is None:
+                child = children[node, c] = self._node(pre_token, at + 1, path)
+            node = child
+            path.append(node)
+        return self.pieces[node]
+
+    def _node(self, word: str, end: int, path: list[int]) -> int:
+        """A node for the first ``end`` characters; ``path`` has the nodes of all shorter prefixes."""
+        scores, score, pieces = self.scores, self.score, self.pieces
+        c, before = word[end - 1], path[end - 1]
         size = len(c.encode("utf-8", "surrogatepass"))
-        score, n = best[-1]
-        found = (score + trie.byte * size, -(n + size))
-        if (own := trie.scores.get(c)) is not None:
-            found = max(found, (score + own, -(n + 1)))
-        for length in trie.ends.get(word[end - 2 : end], ()) if end > 1 else ():
+        best, least = score[before] + self.byte * size, pieces[before] + size
+        if (own := scores.get(c)) is not None and (score[before] + own, -pieces[before] - 1) > (best, -least):
+            best, least = score[before] + own, pieces[before] + 1
+        for length in self.ends.get(word[end - 2 : end], ()) if end > 1 else ():
             if length > end:
                 break
-            if (own := trie.scores.get(word[end - length : end])) is not None:
-                score, n = best[-length]
-                found = max(found, (score + own, -(n + 1)))
-        best.append((found[0], -found[1]))
-        if len(best) > 4 * trie.longest:
-            del best[: -trie.longest - 1]
-    return best[-1][1]
+            if (own := scores.get(word[end - length : end])) is not None:
+                before = path[end - length]
+                option = score[before] + own
+                if option > best or option == best and pieces[before] + 1 < least:
+                    best, least = option, pieces[before] + 1
+        score.append(best)
+        pieces.append(least)
+        return len(score) - 1
+
+    def trim(self) -> None:
+        if max(len(self.score), len(self.terminal)) > self.max_nodes:
+            self.clear()
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -135,8 +110,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NOD
                 found = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 known = trie.terminal
                 for word in set(found).difference(known):
-                    mark = WORD_START + word.decode("utf-8", "surrogatepass")
-                    known[word] = trie.count(mark) if len(mark) <= LONG_WORD else long_count(trie, mark)
+                    known[word] = trie.count(WORD_START + word.decode("utf-8", "surrogatepass"))
                 words.append(len(found))
                 tokens.append(sum(map(known.__getitem__, found)))
                 trie.trim()

@@ -106,7 +106,7 @@ def test_recall_in_a_hot_group(spark, mutual):
 def test_windows_do_not_depend_on_the_number_of_partitions(spark):
     rng = np.random.default_rng(10)
     vectors = [v for _ in range(40) for v in cluster(rng, 0.22, 5)]
-    signed = embedding_dedup.signatures(spark.createDataFrame(list(enumerate(vectors)), "cid long, vector array<float>"), 2)
+    signed = embedding_dedup.signatures(spark.createDataFrame(list(enumerate(vectors)), "cid long, vector array<float>"), range(2))
     was, found = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
         for partitions in ("1", "100"):

@@ -1,9 +1,11 @@
 """Mixing, chat formatting, archives and SimHash near-duplicates on small odd tables."""
 
+import gzip
 import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("pagewright.llm")
 
@@ -131,14 +133,17 @@ def test_no_pages(spark):
 
 
 @pytest.mark.parametrize("version", [1, 2])
-def test_arc_versions(version):
+def test_arc_versions(spark, version):
+    payloads = [b"", b"one\n\n", b"filedesc://"]
+    rows = spark.createDataFrame([(k, f"http://h/ {k}\t\r\n", len(p)) for k, p in enumerate(payloads)] + [(None, None, 99)], "k long, u string, n long")
+    lines = [r.h.encode() for r in rows.select(arc_warc.header_line(version, F.col("k"), F.col("u"), F.col("n")).alias("h")).collect()]
     block = arc_warc.version_block(version)
-    records = b"".join(arc_warc.arc_header(version, k, f"http://h/ {k}", len(p)) + b"\n" + p + b"\n" for k, p in enumerate([b"", b"one\n\n", b"filedesc://"]))
+    records = b"".join(line + b"\n" + p + b"\n" for line, p in zip(lines, payloads))
     got = list(arc_warc.arc_records(block + records))
-    assert [p for _, p in got] == [b"", b"one\n\n", b"filedesc://"]
-    assert [h["URL"] for h, _ in got] == [b"http://h/%20" + str(k).encode() for k in range(3)]
+    assert [p for _, p in got] == payloads
+    assert [h["URL"].partition(b"#")[0] for h, _ in got] == [b"http://h/%20" + str(k).encode() + b"%09%0D%0A" for k in range(3)]
     assert set(got[0][0]) == set(arc_warc.ARC_FIELDS[version])
-    for bad in (records, block + b"http://h 1\n", block + arc_warc.arc_header(version, 1, "u", 99) + b"\nshort", block.replace(b"URL", b"URI")):
+    for bad in (records, block + b"http://h 1\n", block + lines[3] + b"\nshort", block.replace(b"URL", b"URI")):
         with pytest.raises(arc_warc.ArchiveError):
             list(arc_warc.arc_records(bad))
     assert arc_warc.timestamp(b"20010203040506") == "2001-02-03T04:05:06Z"
@@ -146,6 +151,26 @@ def test_arc_versions(version):
     assert arc_warc.timestamp(b"soon") == "1970-01-01T00:00:00Z"
 
 
+def test_archives_are_of_one_size_whatever_repeats(spark, tmp_path):
+    pages = spark.createDataFrame([(7, "http://h/", f"<p>{'x' * 2000}</p>")] * 400, "page_id long, url string, html string")
+    arc_warc.write_arc(pages, f"file://{tmp_path}/arc", 50_000)
+    sizes = [len(list(arc_warc.arc_records(gzip.decompress(f.read_bytes())))) for f in (tmp_path / "arc").glob("part-*.gz")]
+    assert sum(sizes) == 400 and len(sizes) > 10 and max(sizes) < 2 * 400 / len(sizes)
+
+
+def test_odd_urls_and_refers_to(spark):
+    rows = [(1, "http://h/a b\r\nWARC-Type: x", "same", 1), (2, None, "same", 1), (3, "", None, 1), (None, "u", "other", 1)]
+    got = arc_warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string, record_type int")).collect()
+    assert {(r.page_id, r.url, r.record_type, r.refers_to) for r in got if r.page_id != 3} == {(1, "http://h/a%20b%0D%0AWARC-Type:%20x", "revisit", 2), (2, next(r.url for r in got if r.page_id == 2), "response", None), (None, "u", "response", None)}
+
+
+def test_documents_without_an_id_draw_apart(spark):
+    docs = spark.createDataFrame([(None, f"w{k} " * 10, "a") for k in range(400)] + [(1, "x " * 10_000, "b"), (2, "y", "c")], "doc_id long, text string, source string")
+    rows = mixing.plan(docs, weights=(1, 1, 1), share=0.4).where("size = 10").collect()
+    taken = sum(r.size * r.copies for r in rows)
+    assert abs(taken - rows[0].target) < 0.15 * rows[0].target and 0 < rows[0].rate % 1 < 1
+
+
 def near(rng, text):
     words = text.split()
     words[rng.randrange(len(words))] = "changed"

@@ -74,7 +74,92 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert sum(bad) / len(bad) < 0.15
 
 
-def test_classifier_gradient_and_ties(spark):
+def plain_features(text):
+    """The features by their description: distinct words without edges, ends of several marks, cumulative shares, size."""
+    slot = lambda x: zlib.crc32(x.encode()) % ordinal_quality.DIMENSIONS
+    edge = ordinal_quality._EDGE.decode()
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = WORDS.findall(low)
+    if not words:
+        return {slot("empty")}
+    out = set()
+    for w in words:
+        core = w.strip(edge)
+        out.add(slot("w " + core) if core else slot("m " + w[:8]))
+        marks = w[len(w.rstrip(edge)) :]
+        if len(marks) > 1:
+            out.add(slot("t " + marks[:8]))
+    lines = [x for x in low.split("\n") if x.strip()]
+    distinct = set(words)
+    marked = sum(1 for w in distinct if (w in edge if len(w) == 1 else w[-1] in edge and w[-2] in edge))
+    shares = {"again": sum(a == b for a, b in zip(words, words[1:])) / len(words), "lines": 1 - len(set(lines)) / len(lines), "marked": marked / len(distinct), "distinct": len(distinct) / len(words) ** 0.75 / 2}
+    for name, share in shares.items():
+        for step in range(1, 11):
+            if share * 20 >= step:
+                out.add(slot(f"{name} {step}"))
+    out.add(slot(f"size {min(8, len(words).bit_length())}"))
+    return out
+
+
+def test_classifier_scores_by_its_definition(spark):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = ordinal_quality.Model(rng.normal(size=ordinal_quality.DIMENSIONS), [-0.5, 1.0])
+    texts = [None, "", "Good words, good Words here.", "a$$$ b*** *** c! !", "x\nx\ny y y", "long " * 40_000, "été À la carte"]
+    docs = spark.createDataFrame([(i, t, 1.0, True) for i, t in enumerate(texts)], "doc_id long, text string, score double, kept boolean")
+    got = {r.doc_id: r for r in ordinal_quality.score(docs, model).collect()}
+    assert len(got) == len(texts) and got[3].score == 1.0 and got[3].text == texts[3]
+    for i, t in enumerate(texts):
+        s = sum(model.weights[k] for k in plain_features(t))
+        tails = [1 / (1 + math.exp(c - s)) for c in model.thresholds]
+        assert math.isclose(got[i]["__pw_score"], s, abs_tol=1e-9), t
+        assert math.isclose(got[i]["__pw_expected"], sum(tails), abs_tol=1e-9) and math.isclose(got[i]["__pw_tail"], tails[1], abs_tol=1e-9)
+        assert got[i]["__pw_kept"] == (tails[1] >= 0.5)
+
+
+def test_likelihood_and_its_slopes():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    score, y, cuts = rng.normal(size=30), rng.integers(0, 4, 30), np.array([-1.0, 0.3, 1.2])
+
+    def loss(score, cuts):
+        below = lambda k, s: 0.0 if k < 0 else 1.0 if k > 2 else 1 / (1 + math.exp(s - cuts[k]))
+        return -sum(math.log(below(k, s) - below(k - 1, s)) for k, s in zip(y.tolist(), score.tolist())) / len(y)
+
+    own, by_score, by_cut = ordinal_quality.loss_and_slopes(score, y, cuts)
+    assert math.isclose(own, loss(score, cuts), rel_tol=1e-9)
+    for slopes, values, other in ((by_score, score, lambda v: loss(v, cuts)), (by_cut, cuts, lambda v: loss(score, v))):
+        for k in range(len(values)):
+            step = np.zeros(len(values))
+            step[k] = 1e-6
+            assert math.isclose(slopes[k], (other(values + step) - other(values - step)) / 2e-6, rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_fitting_raises_the_likelihood():
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(k % 3, sorted({rng.randrange(50), 100 + k % 3, 100 + (k + rng.randrange(8) // 7) % 3})) for k in range(600)]
+    model = ordinal_quality.fit([r[1] for r in rows], [r[0] for r in rows])
+    y = np.array([r[0] for r in rows])
+    score = np.array([sum(model.weights[k] for k in r[1]) for r in rows])
+    assert ordinal_quality.loss_and_slopes(score, y, np.array(model.thresholds))[0] < 0.6 * math_log3()
+    assert model.weights[100] < model.weights[101] < model.weights[102] and model.thresholds == sorted(model.thresholds)
+
+
+def math_log3():
+    import math
+
+    return math.log(3)
+
+
+def test_training_rows_and_ties(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None), (None, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "b a"), (1, "a a"), (3, None), (2, "c")], "doc_id long, text string")
     found = ordinal_quality.training_rows(docs, labels)
