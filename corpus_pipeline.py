@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import mixing, ordinal_quality, packing, simhash_dedup, suffix_dedup
-from pagewright.llm.common import materialize
+from pagewright.llm.common import materialize, release, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage returns is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what a stage returns is written as Parquet and read again. Nulls, empty tables, ties and repeated rows are as the stages say."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, keep=before | {docs._pagewright_path})  # what the stages before have written is read
     return STAGES[-1][1](spark, docs, sf_dir)
