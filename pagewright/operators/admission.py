@@ -14,7 +14,9 @@ def rate_limit(events: DataFrame, limit: int = limits.RATE_LIMIT, period: str =
     """[I9] Adds window_start and limited to events (ts, client, event_id): beyond the first ``limit`` of a client in a tumbling window. Without a client nothing is limited."""
     start = F.window("ts", period)["start"]
     w = Window.partitionBy("client", "window_start").orderBy("ts", "event_id")
-    return events.withColumn("window_start", start).withColumn("limited", F.col("client").isNotNull() & (F.row_number().over(w) > limit))
+    timed = events.withColumn("window_start", start)
+    known = timed.where("client is not null").withColumn("limited", F.row_number().over(w) > limit)
+    return known.union(timed.where("client is null").withColumn("limited", F.lit(False)))
 
 
 @dataclass

@@ -12,9 +12,10 @@ from pagewright.functions import patterns
 from pagewright.functions import text as tx
 from pagewright.functions.statistics import median_or_zero, weighted_lower_median
 from pagewright.operators import admission, batches, evaluate, exact_search, highlight, lines, rank, segments, validate
-from pagewright.operators.scorers import TermScorer, term_share
+from pagewright.operators.scorers import TermScorer, parse_replies, term_share
 from pagewright.plans import search
 from pagewright.sources import items as item_source
+from pagewright.sources import storage
 from pagewright.sources.testdata import document_lines, items_of_documents
 from pagewright.streaming import progress
 
@@ -325,7 +326,7 @@ def provisional_topk(spark, sf_dir):
 
 def debug_order(spark, sf_dir):
     judged = _judged(spark, sf_dir)
-    return rank.debug_order(_named(judged), _some_dropped(judged)).select("document_id", "segment_id", "position", "shown", tx.verdict(F.col("relevant_probability"), limits.MATCHED, limits.UNCERTAIN).alias("verdict"))
+    return rank.debug_order(_named(judged), _some_dropped(judged)).select("document_id", "segment_id", "position", "shown", tx.verdict(F.col("relevant_probability"), limits.MATCHED, limits.UNCERTAIN).alias("verdict"), tx.verdict(F.col("relevant_probability"), limits.MATCHED, limits.UNCERTAIN, ("confident", "unsure", "weak")).alias("tone"))
 
 
 def result_hits(spark, sf_dir):
@@ -367,15 +368,28 @@ def stream_validator(spark, sf_dir):
 
 
 def ndjson_lines(spark, sf_dir):
-    """Messages as NDJSON and back, in memory: what differs after the round trip would be missing."""
-    from pagewright import schemas
-
-    sent = _messages(spark, sf_dir).drop("seq", "sent", "expected_total")
-    line = F.to_json(F.struct(*sent.columns), {"ignoreNullFields": "true"})
-    back = sent.select(F.from_json(line, schemas.MESSAGE).alias("m"), F.char_length(line).alias("n")).select("m.*", "n")
+    """Messages written as NDJSON files and read back: what differs after the round trip would be missing."""
+    path = storage.new_path(spark, "messages")
+    item_source.write_messages(_messages(spark, sf_dir).drop("seq", "sent", "expected_total"), path)
+    back = item_source.read_messages(spark, path).where("not malformed")
     return back.groupBy("type").agg(F.count(F.lit(1)).alias("messages"), F.sum("evaluated").alias("evaluated"), F.min("results.segment_id").alias("first_ids"), F.max("elapsed_ms").alias("elapsed_ms")).select("type", "messages", "evaluated", F.array_join("first_ids", ",").alias("first_ids"), "elapsed_ms")
 
 
+def reply_outcomes(spark, sf_dir):
+    """Turns as the replies to a search's batches: some batches time out, some replies answer what wasn't asked."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.lit("r").alias("request_id"), F.col("turn").cast("int").alias("batch_no"))
+    late, odd = (F.col("document_id") % 7 == 2) & (F.col("batch_no") == 0), (F.col("document_id") % 5 == 1) & (F.col("batch_no") == 1)
+    name = F.format_string("p001_s%03d", F.when(odd, 999).otherwise(F.col("batch_no") + 1))
+    answer = F.lit('{"type": "score", "score": 1.0, "confidence": 0.5, "probabilities": {"0": 0.2, "1": 0.3, "2": 0.5}}')
+    reply = F.concat(F.lit('{"model": "m'), F.col("batch_no").cast("string"), F.lit('", "usage": {"input_tokens": '), (F.col("batch_no") + 10).cast("string"), F.lit('}, "answers": {"relevance_'), name, F.lit('": '), answer, F.lit("}}"))
+    replies = turns.select("*", F.when(~late, reply).alias("reply"), F.when(late, "provider_timeout").alias("error_code"))
+    return parse_replies(replies, turns.withColumn("segment_id", F.format_string("p001-s%03d", F.col("batch_no") + 1)))[1]
+
+
+def evaluation_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", evaluate.fold_for_evaluation(F.col("text")).alias("form"))
+
+
 def stale_results(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(40)).cast("string").alias("document_id"), F.col("event_id").cast("string").alias("request_id"), F.col("ts").alias("started_at"))
     return progress.drop_stale(events, events).select("document_id", "request_id")
@@ -478,7 +492,7 @@ def bounded_bodies(spark, sf_dir):
 
 
 def error_replies(spark, sf_dir):
-    codes = [name for name, *_ in limits.ERRORS]
+    codes = [*(name for name, *_ in limits.ERRORS), "no_such_code"]
     code = F.array(*map(F.lit, codes))[F.pmod("page_id", F.lit(len(codes))).cast("int")]
     reply = item_source.error_reply(code)
     return table(spark, sf_dir, "pages").select("page_id", code.alias("code"), reply["http_status"].alias("http_status"), validate.is_error_code(code).alias("known"))
@@ -495,7 +509,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_documents, page_stats, limit_violations, file_intake, items_to_lines, line_gaps, weighted_median_length, boundary_flags, multi_column_pages, column_order,
         all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, exact_hit_counts, exact_preview, exact_straddle, covered_text,
         request_validation, answer_validation, pack_batches, batch_chars_tokens, search_tokens, question_keys, instructions, request_bodies, score_stub,
-        rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, ndjson_lines, stale_results,
+        rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, ndjson_lines, reply_outcomes, evaluation_texts, stale_results,
         rate_limit, budget_ledger, retry_after, emphasis_spans, highlight_targets, eval_rates, eval_tally, terminal_lines, settled_panels, unsearched_pages,
         same_origin, media_type, bounded_bodies, error_replies, admission_gates,
     )

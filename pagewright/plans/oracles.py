@@ -6,7 +6,7 @@ _S = r"\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 _Z = r"\x{200b}-\x{200d}\x{2060}\x{feff}"
 
 _LINES = """
-split as (select doc_id as document_id, string_split(text, chr(10)) as l from documents where text is not null),
+split as (select doc_id as document_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 lines as (select document_id, (k - 1)::int as k, ((k - 1) // 40 + 1)::int as page_number, ((k - 1) % 40)::int as item_index, l[k] as str
           from (select document_id, l, unnest(range(1, len(l) + 1)) as k from split))
 """
@@ -164,7 +164,7 @@ scored as (
 )
 _CODES = (
     "['invalid_request','query_empty','query_too_long','segments_empty','too_many_segments','malformed_segment_id','duplicate_segment_id','segment_text_empty','segment_text_too_long',"
-    "'extracted_text_too_long','request_body_too_large','challenge_failed','rate_limited','capacity_exhausted','provider_unavailable','provider_timeout','provider_malformed_response','incomplete_evaluation','internal_error']"
+    "'extracted_text_too_long','request_body_too_large','challenge_failed','rate_limited','capacity_exhausted','provider_unavailable','provider_timeout','provider_malformed_response','incomplete_evaluation','internal_error','no_such_code']"
 )
 _STATUS = "case when bool_or(relevant_probability >= 0.65) then 'matched' when bool_or(relevant_probability >= 0.35) then 'uncertain' else 'no_match' end"
 _MESSAGES = """
@@ -294,13 +294,17 @@ def oracle_sql() -> dict[str, str]:
             select document_id, upto, segment_id, rank, evaluated from r where rank <= 3""",
         "debug_order": f"""with {_JUDGED}, a as (select *, not (document_id % 10 = 0 and doc_ordinal = 2) as met from judged), n as (select *, met and relevant_probability >= 0.35 as near from a)
             select document_id, segment_id, doc_ordinal::int as position, row_number() over (partition by document_id order by near desc, case when near then -relevant_probability end, case when near then -score end, doc_ordinal)::int as shown,
-                   case when met and relevant_probability >= 0.65 then 'matched' when near then 'uncertain' else 'below threshold' end as verdict from n""",
+                   case when met and relevant_probability >= 0.65 then 'matched' when near then 'uncertain' else 'below threshold' end as verdict, case when met and relevant_probability >= 0.65 then 'confident' when near then 'unsure' else 'weak' end as tone from n""",
         "result_hits": f"""with {_JUDGED}, r as (select *, row_number() over (partition by document_id order by relevant_probability desc, score desc, doc_ordinal)::int as rank from judged where relevant_probability >= 0.65)
             select document_id, segment_id, page_number, rank, str as text, 'confident' as tone from r where rank <= 3""",
         "stream_validator": f"""with {_MESSAGES}, s as (select *, case type when 'progress' then evaluated between 0 and 8 and id = 'a' when 'final' then id = 'a' when 'error' then true else false end as sound from m),
             w as (select *, coalesce(max(case when sound and type in ('final', 'error') then 1 else 0 end) over p, 0) as ended, coalesce(max(case when sound and type = 'progress' then evaluated end) over p, 0) as seen from s window p as (partition by document_id order by seq rows between unbounded preceding and 1 preceding))
             select document_id, seq, type, sound and ended = 0 and not (type = 'progress' and evaluated < seen) as ok from w""",
         "ndjson_lines": f"with {_MESSAGES} select type, count(*)::bigint as messages, sum(evaluated)::bigint as evaluated, min(id) as first_ids, 12.0::double as elapsed_ms from m group by 1",
+        "reply_outcomes": """with t as (select conv_id, turn, case when conv_id % 7 = 2 and turn = 0 then 'provider_timeout' when conv_id % 5 = 1 and turn = 1 then 'provider_malformed_response' end as code from conversations)
+            select conv_id as document_id, 'r' as request_id, arg_min(code, turn) as error_code, coalesce(sum(turn + 10) filter (code is distinct from 'provider_timeout'), 0)::bigint as input_tokens, 0::bigint as output_tokens,
+                   'm' || max(turn) filter (code is distinct from 'provider_timeout') as model, count(*)::bigint as request_count from t group by 1""",
+        "evaluation_texts": f"select doc_id, lower(regexp_replace(text, '[{_S}{_Z}]', '', 'g')) as form from documents",
         "stale_results": "select (user_id % 40)::varchar as document_id, arg_max(event_id::varchar, (ts, event_id::varchar)) as request_id from events group by 1",
         "rate_limit": "with r as (select user_id, row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) as n from events) select user_id as client, count(*)::bigint as events, count(*) filter (n > 5)::bigint as limited from r group by 1",
         "retry_after": """with h as (select event_id, case event_id % 5 when 0 then event_id / 2.0::double * 1000 when 1 then 80000.0::double end as ms from events)
@@ -324,8 +328,8 @@ def oracle_sql() -> dict[str, str]:
         "media_type": "select page_id, page_id % 5 in (0, 2) as is_json, page_id % 3 = 0 and octet_length(encode(html)) > 3000 as too_long from pages",
         "bounded_bodies": """select page_id, case when page_id % 9 <> 0 and page_id % 4 = 0 then url end as query,
             case when page_id % 9 = 0 then 'invalid_request' when page_id % 4 = 3 and octet_length(encode(html)) > 3000 then 'request_body_too_large' when page_id % 4 <> 0 then 'invalid_request' end as error_code from pages""",
-        "error_replies": f"""with c as (select page_id, {_CODES}[page_id % 19 + 1] as code from pages)
+        "error_replies": f"""with c as (select page_id, {_CODES}[page_id % 20 + 1] as code from pages)
             select page_id, code, (case code when 'request_body_too_large' then 413 when 'challenge_failed' then 403 when 'rate_limited' then 429 when 'capacity_exhausted' then 503 when 'provider_timeout' then 504 when 'internal_error' then 500
-              when 'provider_unavailable' then 502 when 'provider_malformed_response' then 502 when 'incomplete_evaluation' then 502 else 400 end)::int as http_status, true as known from c""",
+              when 'provider_unavailable' then 502 when 'provider_malformed_response' then 502 when 'incomplete_evaluation' then 502 when 'no_such_code' then null else 400 end)::int as http_status, code <> 'no_such_code' as known from c""",
         "admission_gates": "select event_id, case when event_id % 5 = 0 then 'invalid_request' when event_id % 3 = 0 then 'rate_limited' when not coalesce(value < 50, false) then 'capacity_exhausted' end as error_code from events",
     }

@@ -10,8 +10,8 @@ FONT = 10.5
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(document_id, k, page_number, item_index, str) of documents (doc_id, text): every line, empty ones too."""
-    lines = docs.where("text is not null").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("k", "str"))
+    """(document_id, k, page_number, item_index, str) of documents (doc_id, text): every line, empty ones too; a null text is empty."""
+    lines = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "str"))
     return lines.select("document_id", "k", F.floor(F.col("k") / LINES_PER_PAGE + 1).cast("int").alias("page_number"), F.pmod("k", F.lit(LINES_PER_PAGE)).alias("item_index"), "str")
 
 
