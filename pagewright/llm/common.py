@@ -7,16 +7,13 @@ or on the driver.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.sources.storage import new_path
+
 #: What separates words, as a Java and RE2 character class body and as the bytes that
 #: ``bytes.split()`` splits on: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -28,30 +25,12 @@ BATCH_BYTES = 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_own_dir: list[str] = []
 _written: dict[str, set[str]] = {}  # by application, the paths of tables that are still there
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one set by ``setCheckpointDir``.
-
-    Only where neither is set and all runs on one machine, as in tests, a temporary folder takes its place. On a
-    cluster that raises, as executors would not see each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own_dir:
-        folder = tempfile.mkdtemp(prefix="pagewright-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own_dir.append(f"file://{folder}")
-    return _own_dir[0]
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/pagewright/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, among those that ``release`` removes."""
+    path = new_path(spark, tag)
     _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return path
 

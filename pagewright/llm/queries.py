@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from pagewright.llm import arc_warc, chat_format, embedding_dedup, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from pagewright.llm.common import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +65,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word statistics and base rules of op1 alone, which SQL can express."""
+    found = quality_rules.measure(read(spark, sf_dir, "documents"), None)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, links and components of op10 over fingerprints that SQL can make: sixty documents share one but for two to five bits that follow from their number."""
+    n = F.col("doc_id")
+    group = F.conv(F.substring(F.md5(F.floor(n / 60).cast("long").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    bit = lambda k: F.expr(f"shiftleft(1L, cast({k} as int))")
+    own = bit("(doc_id * 7) % 59").bitwiseXOR(bit("(doc_id * 11 + 5) % 61")).bitwiseXOR(F.when(n % 3 == 0, bit("(doc_id * 13 + 1) % 53").bitwiseXOR(bit("(doc_id * 17 + 3) % 47"))).otherwise(F.lit(0).cast("long")))
+    prints = read(spark, sf_dir, "documents").select(n.cast("long").alias("doc_id"), F.when(n % 10 == 0, group).otherwise(group.bitwiseXOR(own)).alias("fp"), n.cast("long").alias("tid"))
+    return simhash_dedup.components(materialize(prints, "fingerprints")).select("doc_id", "fp", "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +129,30 @@ from placed group by conv_id
 """
 
 
+_STATISTICS_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') as w from documents),
+spans as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from spans) where n > 1),
+covered as (select doc_id, count(distinct i + j) as n from twice, (select unnest(range(0, 8)) as j) group by 1),
+lines as (select doc_id, line, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^ \t\n\x0b\f\r]') group by 1, 2),
+dup as (select doc_id, sum(n - 1) as n from lines group by 1),
+stats as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words
+  from d left join dup on dup.doc_id = d.doc_id left join covered on covered.doc_id = d.doc_id)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from stats
+"""
+
+_PRINTS_SQL = r"""
+with recursive p as (
+  select doc_id, ('0x' || substr(md5((doc_id // 60)::varchar), 1, 15))::bigint as g,
+         xor(1::bigint << ((doc_id * 7) % 59)::int, 1::bigint << ((doc_id * 11 + 5) % 61)::int) as a, xor(1::bigint << ((doc_id * 13 + 1) % 53)::int, 1::bigint << ((doc_id * 17 + 3) % 47)::int) as b from documents),
+f as (select doc_id, case when doc_id % 10 = 0 then g else xor(g, xor(a, case when doc_id % 3 = 0 then b else 0 end)) end as fp from p),
+links as (select x.doc_id as a, y.doc_id as b from f x join f y on x.doc_id <> y.doc_id where bit_count(xor(x.fp, y.fp)) <= 4),
+reach(doc_id, other) as (select doc_id, doc_id from f union select reach.doc_id, links.b from reach join links on reach.other = links.a),
+lowest as (select doc_id, min(other)::bigint as component_id from reach group by 1)
+select f.doc_id, fp, component_id from f join lowest on lowest.doc_id = f.doc_id
+"""
+
 _OP6_SQL = r"""
 with recursive
 rows_ as (select row_number() over () as r, vec_id, [x::double for x in embedding] as e from embeddings),
@@ -154,8 +195,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
         "pipeline": pipeline,
+        "quality_statistics": quality_statistics,
+        "fingerprint_components": fingerprint_components,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL}
+    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL, "quality_statistics": _STATISTICS_SQL, "fingerprint_components": _PRINTS_SQL}

@@ -116,7 +116,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     component unless it has no other; repeated rows are returned as often as they come; an empty
     table gives no rows.
     """
-    prints = materialize(fingerprints(docs, words), "simhash")
+    return components(materialize(fingerprints(docs, words), "simhash"), distance)
+
+
+def components(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id, tid) of a stored table of fingerprints (doc_id, fp, tid)."""
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-groups")
     found = materialize(links(groups.select("fp"), distance), "simhash-links")
     roots = materialize(connected_components(found, "simhash-components"), "simhash-roots")

@@ -9,6 +9,7 @@ pytest.importorskip("pagewright.llm")
 import pyarrow as pa
 
 from pagewright.llm import common, simhash_dedup
+from pagewright.sources import storage
 
 
 def test_batches_are_bounded_by_rows_and_bytes():
@@ -45,16 +46,16 @@ def test_a_cluster_needs_a_shared_folder():
         sparkContext, conf = Context(), Conf()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        common.shared_dir(Session())
+        storage.shared_dir(Session())
     Context.getCheckpointDir = lambda self: "hdfs://shared/x"
-    assert common.shared_dir(Session()) == "hdfs://shared/x"
+    assert storage.shared_dir(Session()) == "hdfs://shared/x"
     for master, local in (("local", True), ("local[*]", True), ("local[4,2]", True), ("local-cluster[3,2,100]", False), ("yarn", False)):
         Context.master, Context.getCheckpointDir = master, lambda self: None
         if local:
-            assert common.shared_dir(Session()).startswith("file://")
+            assert storage.shared_dir(Session()).startswith("file://")
         else:
             with pytest.raises(RuntimeError):
-                common.shared_dir(Session())
+                storage.shared_dir(Session())
 
 
 def test_settings_stay_as_they_were(spark):
