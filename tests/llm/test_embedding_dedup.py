@@ -134,6 +134,14 @@ def test_forest_of_a_matrix():
         assert spanning and found == roots(zip(*map(np.ndarray.tolist, np.nonzero(linked))))[1]
 
 
+def test_long_vectors(spark):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((6, 3000))
+    rows = [(k, (base[k // 2] + 0.2 * rng.standard_normal(3000) * (k % 2)).tolist(), 0, 0) for k in range(12)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: (1, k - k % 2) for k in range(12)}
+
+
 def test_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

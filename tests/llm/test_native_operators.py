@@ -103,6 +103,14 @@ def test_chat_round_trip(spark):
     assert made.where("target is not null").count() == sum(r == "assistant" for own in convs.values() for r, _ in own)
 
 
+def test_a_long_conversation_of_long_turns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"[OUT] {k} " * (20_000 if k == 3 else 50), "", 0) for k in range(60)]
+    got = chat_format.digest(chat_format.examples(spark.createDataFrame(rows, TURNS))).first()
+    loss = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (60, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows).encode()).hexdigest()
+
+
 def test_no_turns(spark):
     assert chat_format.digest(chat_format.examples(spark.createDataFrame([], TURNS))).count() == 0
 
@@ -221,6 +229,19 @@ def test_fingerprint_by_definition():
     assert simhash_dedup.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42)
 
 
+def test_a_long_text_is_hashed_whole():
+    import xxhash
+
+    words = [f"W{k % 1009}é" for k in range(simhash_dedup._BLOCK + 5000)]
+    low = [w.replace("W", "w") for w in words]
+    votes = [0] * 64
+    for k in range(len(low) - 3):
+        h = xxhash.xxh64_intdigest(" ".join(low[k : k + 4]).encode(), 42)
+        for b in range(64):
+            votes[b] += h >> b & 1
+    assert simhash_dedup.fingerprint("\n".join(words)) == sum(1 << b for b in range(64) if 2 * votes[b] > len(low) - 3)
+
+
 @pytest.mark.parametrize("distance", range(1, 7))
 def test_every_pair_within_the_distance_is_linked_once(spark, distance):
     rng = random.Random(distance)

@@ -1,6 +1,7 @@
 """The whole pipeline against a plain version of each stage."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -14,14 +15,16 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from pagewright.llm import ordinal_quality, simhash_dedup
+from pagewright.llm.common import release, written
 from tests.llm.test_native_operators import water_fill
 from tests.llm.test_suffix_dedup import brute as plain_repeats
-from tests.llm.test_text_operators import plain_best_fit
+from tests.llm.test_text_operators import plain_best_fit, plain_features
 
 
 def plain_classifier(docs, model):
-    features, weights = ordinal_quality.Features(), model.weights
-    return [d for d in docs if model.tails(sum(weights[i] for i in features.of(d["text"] or "")))[1] >= 0.5]
+    """Documents whose probability of the good grade is at least one half, by the features' description and the model's weights."""
+    score = lambda d: sum(model.weights[k] for k in plain_features(d["text"]))
+    return [d for d in docs if 1 / (1 + math.exp(model.thresholds[1] - score(d))) >= 0.5]
 
 
 def plain_simhash(docs):
@@ -85,7 +88,8 @@ def test_stages(spark, sf_dir):
     goal, want = water_fill(sizes), Counter()
     for d in plain:
         rate = goal[d["source"]] / sizes[d["source"]] if sizes[d["source"]] else 0
-        draw = int(hashlib.md5(f"mix-1|{d['doc_id']}|{d['source']}".encode()).hexdigest()[:8], 16) / 2**32
+        text = hashlib.md5((d["text"] or "").encode()).hexdigest()
+        draw = int(hashlib.md5(f"mix-1|{d['doc_id']}|{d['source']}|{text}".encode()).hexdigest()[:8], 16) / 2**32
         want[d["doc_id"]] = int(rate) + (draw < rate - int(rate))
     assert Counter(r.doc_id for r in mixed.collect()) == +want
 
@@ -105,6 +109,41 @@ def test_stages(spark, sf_dir):
     assert max(fill.values()) <= 2048 and len(fill) == plain_best_fit([r.length for r in rows], 2048)
 
 
-def test_run_equals_its_stages(spark, sf_dir):
-    digest = lambda df: sorted((r.doc_id, r.piece, r.ids_crc32) for r in df.collect())
-    assert digest(corpus_pipeline.run(spark, sf_dir)) == digest(corpus_pipeline.run(spark, sf_dir))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_tables(spark, path, rows, labels):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def digest(df):
+    return sorted(((r.doc_id, r.piece, r.ids_crc32) for r in df.collect()), key=str)
+
+
+def by_hand(spark, sf_dir, path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
+    return docs
+
+
+def test_run_equals_its_stages(spark, sf_dir, tmp_path):
+    before = written(spark)
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert digest(got) == digest(by_hand(spark, sf_dir, tmp_path))
+    release(spark, keep=before)
+
+
+def test_odd_documents_run_through(spark, tmp_path):
+    long = " ".join(f"word{k % 977}" for k in range(30_000))
+    rows = [(1, "one two three", "en", "a", 13), (1, "one two three", "en", "a", 13), (1, "other words", None, None, None), (None, None, None, None, None), (None, "no id here", "en", None, 10), (2, "", "en", "b", 0), (3, long, "en", "b", len(long)), (4, long + " end", "en", "b", None), (5, "\x00 odd \u3000", "xx", "", 9)]
+    sf_dir = odd_tables(spark, tmp_path / "sf", rows, [(1, 1, 0), (1, None, None), (None, 1, 1), (3, 1, 0), (2, 0, 1)])
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert digest(got) == digest(by_hand(spark, sf_dir, tmp_path / "out")) and got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_no_documents_run_through(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "sf", [], [])).count() == 0
