@@ -401,8 +401,8 @@ def rate_limit(spark, sf_dir):
 
 
 def budget_ledger(spark, sf_dir):
-    """Every event reserves in its user's group of budgets; purchases are released by the same user's next event. Tight limits, an hour's expiry."""
-    events = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(8)).cast("string").alias("budget"), "event_id", "ts", F.when(F.col("event_id") % 9 == 0, "release").otherwise("reserve").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), (F.abs("value") * 10).alias("tokens"), F.lit(1).alias("requests"))
+    """Every event reserves in its user's group of budgets; purchases are released by the same user's next event. Tight limits, an hour's expiry, whole tokens."""
+    events = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(8)).cast("string").alias("budget"), "event_id", "ts", F.when(F.col("event_id") % 9 == 0, "release").otherwise("reserve").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.round(F.abs("value") * 10).alias("tokens"), F.lit(1).alias("requests"))
     return admission.budget_ledger(events, 1500, 4, 3_600_000).select("budget", "event_id", "admitted", "wait_seconds", "live", F.round("held_tokens", 4).alias("held_tokens"))
 
 

@@ -273,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "emphasis_spans": f"""with {_LINES}, f as (select document_id, k, str, string_split_regex(lower(str), 'licensed|the|and') as parts from lines)
             select document_id, k, (case when str = '' then 1 else len(parts) - 1 + len(list_filter(parts, lambda x: x <> '')) end)::int as n_spans, (case when str = '' then 0 else len(parts) - 1 end)::int as n_hits, true as whole from f""",
         "budget_ledger": """with recursive e as (
-              select (user_id % 8)::varchar as budget, event_id, event_id % 9 = 0 as release, 'u' || user_id as name, abs(value) * 10 as tokens, epoch_ms(ts) as ms, row_number() over (partition by user_id % 8 order by epoch_ms(ts), event_id) as i from events),
+              select (user_id % 8)::varchar as budget, event_id, event_id % 9 = 0 as release, 'u' || user_id as name, round(abs(value) * 10) as tokens, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id % 8 order by epoch_us(ts) // 1000, event_id) as i from events),
             ledger(budget, i, event_id, release, admitted, wait_seconds, live) as (
               select distinct budget, 0::bigint, null::bigint, true, null::boolean, null::int, []::struct(name varchar, tokens double, until bigint)[] from e
               union all
