@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pagewright.functions import patterns
 from pagewright.functions import text as tx
 from pagewright.functions.statistics import median_or_zero, weighted_lower_median
 from pagewright.operators import admission, batches, evaluate, exact_search, highlight, lines, rank, segments, validate
-from pagewright.operators.scorers import TermScorer, parse_replies, term_share
+from pagewright.operators.scorers import TermScorer, call_batches, parse_replies, term_share
 from pagewright.plans import search
 from pagewright.sources import items as item_source
 from pagewright.sources import storage
@@ -72,6 +73,73 @@ def items_to_lines(spark, sf_dir):
     return lines.explode_lines(_pages(spark, sf_dir)).select("document_id", "page_number", "line_no", "text", "x", "y", "font_size")
 
 
+def words_to_lines(spark, sf_dir):
+    """Every word an item of its own, in odd documents from the last to the first: lines are put together again by place, with spaces where gaps are."""
+    from pyspark.sql import Window
+
+    rows = _lines(spark, sf_dir).select("document_id", "page_number", "item_index", F.posexplode(F.split("str", " ")).alias("w", "word"))
+    line = Window.partitionBy("document_id", "page_number", "item_index")
+    turned = F.when(F.col("document_id") % 2 == 1, F.max("w").over(line) - F.col("w")).otherwise(F.col("w"))
+    before = F.coalesce(F.sum(F.char_length("word") * 5.0 + 5.0).over(line.orderBy("w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = rows.withColumn("x", 72.0 + before).withColumn("last", turned == F.max("w").over(line)).withColumn("k", (F.col("item_index") * 100_000 + turned).cast("int"))
+    flat = F.array(F.lit(10.5), F.lit(0.0), F.lit(0.0), F.lit(10.5), F.col("x"), (700 - 16 * F.col("item_index")).cast("double"))
+    items = placed.select("document_id", "page_number", F.col("k").alias("item_index"), F.col("word").alias("str"), flat.alias("transform"), (F.char_length("word") * 5.0).alias("width"), F.lit(10.5).alias("height"), F.col("last").alias("has_eol"))
+    return lines.explode_lines(lines.page_lines(items)).select("document_id", "page_number", "line_no", "text", F.size("pieces").alias("words"))
+
+
+def stored_items(spark, sf_dir):
+    """Items written to files and read back, per page."""
+    path = storage.new_path(spark, "items")
+    items_of_documents(table(spark, sf_dir, "documents")).write.parquet(path)
+    return item_source.read_items(spark, path).groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("items"), F.sum(F.char_length("str")).alias("characters"))
+
+
+def evaluation_cases(spark, sf_dir):
+    """Labels written as an evaluation file's cases and read back."""
+    n = F.col("doc_id")
+    expect = F.struct(F.when(F.col("quality") == 1, "top3_contains").otherwise("status_not").alias("kind"), F.when(F.col("quality") == 1, F.concat(F.lit('snippet "'), n.cast("string"), F.lit('"'))).alias("snippet"), F.when(F.col("quality") != 1, "matched").alias("status"))
+    case = F.struct(n.cast("string").alias("id"), F.concat(F.lit("d"), n.cast("string")).alias("document"), F.lit("paraphrase").alias("category"), F.lit("what?\nand when").alias("query"), expect.alias("expect"))
+    path = storage.new_path(spark, "cases")
+    table(spark, sf_dir, "labels").select(F.to_json(F.struct(F.array(case).alias("cases"))).alias("value")).write.text(path)
+    return item_source.read_cases(spark, path, multi_line=False).select("id", "document", "category", "query", "expect.kind", "expect.snippet", "expect.status")
+
+
+def reveal_hits(spark, sf_dir):
+    """The first three hits of each document, and one that was selected wherever it is."""
+    hits = exact_search.search_pages(_pages(spark, sf_dir), TERM)
+    return rank.reveal(hits, 3, "p001-o000500").select("document_id", "hit_key", "place")
+
+
+def chosen_highlights(spark, sf_dir):
+    """What is highlighted for every fifth passage: a result has ranges of its own."""
+    judged = _judged(spark, sf_dir)
+    span = lambda a: F.array(F.struct(F.lit(a).alias("start_offset"), F.col("doc_ordinal").alias("end_offset")))
+    results = rank.top_results(judged).withColumn("ranges", span(0))
+    found = rank.highlighted(results, judged.withColumn("ranges", span(1)), judged.where("doc_ordinal % 5 = 1").select("document_id", "request_id", "segment_id"))
+    return found.select("document_id", "segment_id", F.col("ranges")[0]["start_offset"].alias("start_offset"), F.col("ranges")[0]["end_offset"].alias("end_offset"))
+
+
+def result_notes(spark, sf_dir):
+    n = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.empty_result_note(F.when(n % 2 == 0, "exact").otherwise("meaning"), n % 3 == 0).alias("note"))
+
+
+def _provider(body: str, timeout_ms: float):
+    """A provider whose answer follows from the batch: it answers, refuses, is too late, or is down for good."""
+    k = json.loads(body)["turn"]
+    if k % 5 == 2:
+        raise TimeoutError
+    if k % 5 == 3:
+        raise ConnectionResetError
+    return ((200, {}, f"reply {k}"), (400, {}, ""), None, None, (503, {"retry-after": "60"}, ""))[k % 5]
+
+
+def provider_calls(spark, sf_dir):
+    """Every turn a request to a provider that fails by rule; a search's batches share a deadline."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.lit("r").alias("request_id"), F.col("turn").cast("int").alias("batch_no"), F.struct("turn").alias("body"))
+    return call_batches(turns, _provider, concurrency=4, clock=lambda: 0.0, sleep=lambda ms: None)
+
+
 def line_gaps(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -506,7 +574,7 @@ def admission_gates(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        scan_documents, page_stats, limit_violations, file_intake, items_to_lines, line_gaps, weighted_median_length, boundary_flags, multi_column_pages, column_order,
+        scan_documents, page_stats, limit_violations, file_intake, items_to_lines, words_to_lines, stored_items, evaluation_cases, reveal_hits, chosen_highlights, result_notes, provider_calls, line_gaps, weighted_median_length, boundary_flags, multi_column_pages, column_order,
         all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, exact_hit_counts, exact_preview, exact_straddle, covered_text,
         request_validation, answer_validation, pack_batches, batch_chars_tokens, search_tokens, question_keys, instructions, request_bodies, score_stub,
         rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, ndjson_lines, reply_outcomes, evaluation_texts, stale_results,

@@ -199,6 +199,19 @@ def oracle_sql() -> dict[str, str]:
                    case when size = 0 then '0 KB' when size < 1024 then size || ' B' when size < 1048576 then (size // 1024) || ' KB' else (size // 1048576) || ' MB' end as shown_size from f""",
         "items_to_lines": f"""with {_LINES} select document_id, page_number, row_number() over (partition by document_id, page_number order by item_index)::int as line_no, str as text,
             72.0::double as x, (700 - 16 * item_index)::double as y, 10.5::double as font_size from lines where str <> ''""",
+        "words_to_lines": f"""with {_LINES}, w as (select document_id, page_number, item_index, list_filter(string_split(str, ' '), lambda x: x <> '') as w from lines)
+            select document_id, page_number, row_number() over (partition by document_id, page_number order by item_index)::int as line_no, array_to_string(w, ' ') as text, len(w)::int as words from w where len(w) > 0""",
+        "stored_items": f"with {_LINES} select document_id, page_number, count(*)::bigint as items, sum(length(str))::bigint as characters from lines group by 1, 2",
+        "evaluation_cases": """select doc_id::varchar as id, 'd' || doc_id as document, 'paraphrase' as category, 'what?' || chr(10) || 'and when' as query, case when quality = 1 then 'top3_contains' else 'status_not' end as kind,
+            case when quality = 1 then 'snippet "' || doc_id || '"' end as snippet, case when quality <> 1 then 'matched' end as status from labels""",
+        "reveal_hits": f"""with {_hits('the')}, r as (select document_id, printf('p%03d-o%06d', page_number, search_start) as hit_key, row_number() over (partition by document_id order by page_number, search_start)::int as place from hits)
+            select document_id, hit_key, place from r where place <= 3 or hit_key = 'p001-o000500'""",
+        "chosen_highlights": f"""with {_JUDGED}, r as (select *, row_number() over (partition by document_id order by relevant_probability desc, score desc, doc_ordinal) as rank from judged where relevant_probability >= 0.65), t as (select document_id, segment_id from r where rank <= 3)
+            select j.document_id, j.segment_id, case when t.segment_id is null then 1 else 0 end::int as start_offset, j.doc_ordinal::int as end_offset from judged j left join t on t.document_id = j.document_id and t.segment_id = j.segment_id where j.doc_ordinal % 5 = 1""",
+        "result_notes": """with n as (select doc_id, case when doc_id % 3 = 0 then 'the extracted text' else 'the text that could be searched' end as scope from documents)
+            select doc_id, case when doc_id % 2 = 0 then 'No matching text was found in ' || scope || '.' else 'No passage in ' || scope || ' met the relevance threshold.' end as note from n""",
+        "provider_calls": """select conv_id as document_id, 'r' as request_id, turn::int as batch_no, case when turn % 5 = 0 then 'reply ' || turn end as reply,
+            case turn % 5 when 1 then 'provider_unavailable' when 2 then 'provider_timeout' when 3 then 'provider_unavailable' when 4 then 'provider_timeout' end as error_code from conversations""",
         "line_gaps": f"""with {_LINES}, g as (select *, 16.0 * (item_index - lag(item_index) over (partition by document_id, page_number order by item_index)) as gap from lines where str <> '')
             select document_id, page_number, count(*)::bigint as n_lines, coalesce(median(gap), 0)::double as typical_gap from g group by 1, 2""",
         "weighted_median_length": f"""with {_LINES}, w as (select document_id, length(str) as n, sum(length(str)) as w from lines where str <> '' group by 1, 2),

@@ -64,10 +64,10 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("m.*", (F.col("m.type").isNull() | (F.length("value") > limits.STREAM_BUFFER_CHARACTERS)).alias("malformed"))
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """[A16] Evaluation cases (id, document, category, query, expect)."""
+def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """[A16] Evaluation cases (id, document, category, query, expect) of files that are one JSON value each, or one a line."""
     case = "array<struct<id: string, document: string, category: string, query: string, expect: struct<kind: string, snippet: string, status: string>>>"
-    return spark.read.schema(f"cases {case}").json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
+    return spark.read.schema(f"cases {case}").json(path, multiLine=multi_line).select(F.explode("cases").alias("c")).select("c.*")
 
 
 def page_ceiling(pages: DataFrame, ceiling: int = limits.EXTRACTION_CHARACTER_CEILING) -> DataFrame:
