@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import bounded, connected_components, discard, materialize, salted_join
 
 LEAST = 0.9
-WINDOW = 64
+WINDOW = 256
 #: Windows of rows that a task has on average, so that none has less than one although ranges are sampled.
 PART_WINDOWS = 8
 BITS = 40
