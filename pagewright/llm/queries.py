@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pagewright.llm import arc_warc, chat_format, embedding_dedup, mixing, ordinal_quality, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from pagewright.llm import arc_warc, centroid_clusters, chat_format, embedding_dedup, mixing, ordinal_quality, packing, piece_codec, quality_rules, simhash_dedup, suffix_dedup, token_counts, turn_repair
 from pagewright.llm.common import materialize
 
 
@@ -65,6 +65,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_codec.digests(piece_codec.decode_ids(piece_codec.encode_texts(read(spark, sf_dir, "documents"), path), path))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word statistics and base rules of op1 alone, which SQL can express."""
     found = quality_rules.measure(read(spark, sf_dir, "documents"), None)
@@ -182,6 +195,36 @@ from ranked
 """
 
 
+_CENTROIDS_HEAD = """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x, sha256('2:' || coalesce(vec_id::varchar, '')) as key
+  from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as (select row_number() over (order by key, x) - 1 as k, x from v order by key, x limit 40),
+"""
+_CENTROIDS_NEAREST = """
+a{n} as materialized (
+  select r, any_value(v.vec_id) as vec_id, any_value(v.x) as x, min_by(k, d * 64 + k) as k, min(d)::bigint as d
+  from (select v.*, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::hugeint as d from v cross join c{n} c) v group by r),
+"""
+_CENTROIDS_MOVED = """
+c{m} as materialized (
+  select c.k, coalesce(m.x, c.x) as x from c{n} c left join (
+    select k, list(((s - ((s % n) + n) % n) / n)::bigint order by j) as x
+    from (select k, j, sum(y)::hugeint as s, count(*)::hugeint as n from (select k, unnest(x) as y, generate_subscripts(x, 1) as j from a{n}) group by k, j) group by k) m on m.k = c.k),
+"""
+
+
+def _centroids_sql(rounds: int = 5) -> str:
+    steps = "".join(_CENTROIDS_NEAREST.format(n=n) + _CENTROIDS_MOVED.format(n=n, m=n + 1) for n in range(rounds))
+    last = f"""
+s as (select k, sum(d)::bigint as own from a{rounds} group by k)
+select a.vec_id, a.k::int as cluster, a.d as distance, s.own as cluster_inertia, (select sum(d)::bigint from a{rounds}) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from a{rounds} a join s on s.k = a.k join c{rounds} c on c.k = a.k
+"""
+    return _CENTROIDS_HEAD + steps + _CENTROIDS_NEAREST.format(n=rounds) + last
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -194,6 +237,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_simhash": op10_simhash,
+        "op11_turn_repair": op11_turn_repair,
+        "op12_centroids": op12_centroids,
+        "op13_pieces": op13_pieces,
         "pipeline": pipeline,
         "quality_statistics": quality_statistics,
         "fingerprint_components": fingerprint_components,
@@ -201,4 +247,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL, "quality_statistics": _STATISTICS_SQL, "fingerprint_components": _PRINTS_SQL}
+    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL, "op12_centroids": _centroids_sql(), "quality_statistics": _STATISTICS_SQL, "fingerprint_components": _PRINTS_SQL}
