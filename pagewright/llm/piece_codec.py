@@ -183,7 +183,9 @@ class PieceModel:
             keep[at + 1] = False
             place = np.cumsum(keep) - 1
             sym, pos, seg, rank, piece = (x[keep] for x in (sym, pos, seg, rank, piece))
-            changed = np.unique(np.concatenate([place[at], np.maximum(place[at] - 1, 0)]))
+            changed = np.zeros(len(sym), bool)
+            changed[place[at]] = changed[np.maximum(place[at] - 1, 0)] = True
+            changed = np.flatnonzero(changed)
             follow = np.minimum(changed + 1, len(sym) - 1)
             follow = np.where((changed + 1 < len(sym)) & (seg[follow] == seg[changed]), sym[follow], -1)
             rank[changed], piece[changed] = self._pairs(sym[changed], follow)
@@ -216,37 +218,35 @@ class PieceModel:
             yield text[at:end]
             at = end
 
-    def encode(self, text: str):
-        """The ids of one text."""
+    def _ids(self, lists: list[list[str]]) -> list:
+        """The ids of lists of words. Words that aren't known are merged together."""
         import numpy as np
 
-        out = [np.zeros(0, np.int32)]
-        for part in self._slices(text):
-            words = [part] if self.whole else self.words.findall(part)
-            fresh = list(dict.fromkeys(w for w in words if w not in self.known))
-            if fresh:
-                ids, sizes = self.merge(fresh)
-                self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
-                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-                self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
-                self.held += sum(map(len, fresh))
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            out.append(self.ids[_spread(self.starts[at], self.sizes[at])])
-            if self.held > MOST_KNOWN:
-                self.forget()
-        return np.concatenate(out)
-
-    def learn(self, texts: list[str]) -> None:
-        """Remembers the words of several texts, whose merge rounds then run together; ``encode`` finds the rest itself."""
-        import numpy as np
-
-        fresh = list({w for t in texts if len(t) <= SLICE and not self.whole for part in self._slices(t) for w in self.words.findall(part) if w not in self.known})
+        fresh = list(set().union(*lists).difference(self.known))
         if fresh:
             ids, sizes = self.merge(fresh)
             self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
             self.held += sum(map(len, fresh))
+        out = []
+        for words in lists:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            out.append(self.ids[_spread(self.starts[at], self.sizes[at])])
+        if self.held > MOST_KNOWN:
+            self.forget()
+        return out
+
+    def encode(self, *texts: str) -> list:
+        """The ids of each text. Texts of up to SLICE characters are looked at together, longer ones a slice at a time."""
+        import numpy as np
+
+        cut = (lambda part: [part]) if self.whole else self.words.findall
+        short = [k for k, text in enumerate(texts) if len(text) <= SLICE]
+        out = dict(zip(short, self._ids([cut("".join(self._slices(texts[k]))) for k in short])))
+        for k in set(range(len(texts))).difference(short):
+            out[k] = np.concatenate([self._ids([cut(part)])[0] for part in self._slices(texts[k])])
+        return [out[k] for k in range(len(texts))]
 
     def decode(self, ids) -> str:
         """The text of a text's ids. A mark that starts the first visible piece goes; bytes that make no character become U+FFFD, one for each."""
@@ -303,8 +303,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
         model = _model(model_path)
         for batch in bounded(batches, most=BATCH_BYTES):
             texts = [t.as_py() or "" for t in batch.column(1)]
-            model.learn(texts)
-            ids = [model.encode(t) for t in texts]
+            ids = model.encode(*texts)
             ends = np.cumsum([0, *map(len, ids)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "ids"])
