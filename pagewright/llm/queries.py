@@ -104,7 +104,8 @@ _OP3_SQL = r"""
 with sized as (
   select doc_id, source is null as no_source, coalesce(source, '') as src,
          coalesce(len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')), 0)::bigint as size,
-         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))), 1, 8))::bigint / 4294967296.0::double as draw
+         md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))) as key,
+         ('0x' || substr(key, 1, 8))::bigint / 4294967296.0::double as draw, row_number() over (partition by key) - 1 as k
   from documents),
 totals as (select no_source, src, sum(size)::bigint as source_size from sized group by all),
 weighed as (
@@ -118,7 +119,7 @@ levels as (select *, first_value(case when money / weight_left <= bound then mon
                        over (order by bound, no_source, encode(src) rows between unbounded preceding and unbounded following) as level from ordered),
 goals as (select no_source, src, source_size, least(cap, coalesce(level * weight, cap))::double as target from levels),
 rated as (select s.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate from sized s join goals g using (no_source, src)),
-copied as (select *, (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end)::bigint as copies from rated)
+copied as (select *, (floor(rate) + ceil((k + 1) * (rate - floor(rate)) - draw) - ceil(k * (rate - floor(rate)) - draw))::bigint as copies from rated)
 select doc_id, size, source_size, target, size * copies as taken, copies from copied
 """
 

@@ -23,8 +23,8 @@ from pagewright.llm.common import bounded, connected_components, discard, materi
 
 SEED = 42
 BITS = 64
-#: Pairs of longs that may be sent to all tasks, about 10 MB.
-BROADCAST_ROWS = 200_000
+#: Ids with digests that may be sent to all tasks, about 10 MB.
+BROADCAST_ROWS = 150_000
 _BLOCK = 1 << 16  # shingles whose bits are held at once
 
 
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp, tid): the fingerprint as a signed long and a hash of the text. One pass, no shuffle; null texts are empty."""
+    """(doc_id, fp, tid): the fingerprint as a signed long and a 128-bit digest of the text. One pass, no shuffle; null texts are empty."""
     import pyarrow as pa
 
     def run(batches):
@@ -66,11 +66,11 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             values = [fingerprint(text.as_py(), words) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), batch.column(2)], ["doc_id", "fp", "tid"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key()).mapInArrow(run, "doc_id long, fp long, tid long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key()).mapInArrow(run, "doc_id long, fp long, tid string")
 
 
 def _text_key():
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     ``component_id`` is the smallest doc_id that chains of links reach, itself included. Null and
     empty texts share fingerprint 0 and so one component. A null doc_id takes part, but names no
     component unless it has no other; repeated rows are returned as often as they come; an empty
-    table gives no rows.
+    table gives no rows. Texts of any length are read whole, their shingles _BLOCK at a time.
     """
     return components(materialize(fingerprints(docs, words), "simhash"), distance)
 
@@ -138,12 +138,12 @@ def keep_first(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """``docs``, all its columns, with one document of each component: that of the smallest doc_id.
 
     Rows that share this doc_id all stay, as do the rows of a component that has no doc_id at all: nothing
-    tells which of them came first. Rows that go are named by doc_id and a hash of their text; up to
-    BROADCAST_ROWS of these are sent to the documents, beyond that both sides are shuffled.
+    tells which of them came first. Rows that go are named by doc_id and a 128-bit digest of their text; up to
+    BROADCAST_ROWS of these are sent to the documents, beyond that both sides are shuffled. Columns may have any names.
     """
     found = materialize(near_duplicates(docs, words, distance), "simhash-components-of-rows")
     goes = found.where("component_id is not null and not (doc_id <=> component_id)")
-    goes = materialize(goes.select(F.col("doc_id").alias("__pw_doc"), F.col("tid").alias("__pw_tid")).distinct(), "simhash-gone")
-    small = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__pw_doc")) & (_text_key() == F.col("__pw_tid"))
-    return docs.join(small, same, "left_anti")
+    goes = materialize(goes.select("doc_id", "tid").distinct(), "simhash-gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("tid")).alias("d")
+    small = (F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes).alias("g")
+    return rows.join(small, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.tid") == F.col("g.tid")), "left_anti").select("row.*")

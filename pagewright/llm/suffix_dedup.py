@@ -121,14 +121,14 @@ def _id(column: str = "doc_id"):
 
 
 def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(did, tid, n_words, entries array<struct<prefix, reach, place, first, last>>): each text's retained suffixes. One pass, no shuffle.
+    """(did, tid, whole, n_words, entries array<struct<prefix, reach, place, first, last>>): each text's retained suffixes. One pass, no shuffle.
 
-    ``did`` is the doc_id, null as the largest number; ``tid`` is a hash of the text. ``prefix`` is the suffix's first
+    ``did`` is the doc_id, null as the largest number; ``tid`` is a hash of the text that names it beside its ``did``, ``whole`` a 128-bit digest that tells equal texts. ``prefix`` is the suffix's first
     ``gram`` words, ``reach`` a digest of the words from ``first`` to ``last + passage`` and of the anchor's place among them.
     """
     import pyarrow as pa
 
-    names = ["did", "tid", "n_words", "entries"]
+    names = ["did", "tid", "whole", "n_words", "entries"]
     kinds = [("prefix", pa.binary()), ("reach", pa.binary()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]
 
     def run(batches):
@@ -137,7 +137,7 @@ def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
 
         digest, hasher = xxhash.xxh3_128_digest, _Hasher()
         for batch in bounded(batches):
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in batch.column(2)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in batch.column(3)]
             number, place, first, last = _entries(texts, hasher, passage, gram)
             cut = np.searchsorted(number, np.arange(len(texts) + 1)).astype(np.int32)
             prefixes, reaches = [], []
@@ -151,11 +151,11 @@ def suffixes(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataF
                     reaches.append(digest(whole[at[f] : at[e + passage]], seed=p - f))
             values = [prefixes, reaches, place.astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
             flat = pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, kinds)], [c for c, _ in kinds])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), flat)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), flat)], names)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     entry = "struct<prefix: binary, reach: binary, place: int, first: int, last: int>"
-    return docs.select(_id(), F.xxhash64(text), text).mapInArrow(run, f"did long, tid long, n_words long, entries array<{entry}>")
+    return docs.select(_id(), F.xxhash64(text), F.unhex(F.md5(text.cast("binary"))), text).mapInArrow(run, f"did long, tid long, whole binary, n_words long, entries array<{entry}>")
 
 
 def compare_neighbours(entries: DataFrame) -> DataFrame:
@@ -391,9 +391,9 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, segment:
 
     sparse = materialize(suffixes(docs, passage, gram), "suffixes")
     doc = ["did", "tid"]
-    texts = sparse.groupBy("tid").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.max("n_words").alias("n_words"))
-    copied = materialize(texts.where(F.col("first") < F.col("last")).where(F.col("n_words") >= passage).select("tid", "first"), "suffix-copies")
-    copies = materialize(salted_join(sparse.select(*doc, "n_words"), copied, ["tid"], ["did"], how="inner").where("did <> first").distinct(), "suffix-copy-rows")
+    texts = sparse.groupBy("whole").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.max("n_words").alias("n_words"))
+    copied = materialize(texts.where(F.col("first") < F.col("last")).where(F.col("n_words") >= passage).select("whole", "first"), "suffix-copies")
+    copies = materialize(salted_join(sparse.select(*doc, "whole", "n_words"), copied, ["whole"], ["did"], how="inner").where("did <> first").distinct(), "suffix-copy-rows")
     # joins from here on are by stored tables: both sides are exchanged, so adaptive execution can split a hot key
     entries = sparse.join(copies.select(*doc), doc, "left_anti").select(*doc, F.explode("entries").alias("e")).select(*doc, "e.*")
     near = materialize(compare_neighbours(entries), "suffix-neighbours")

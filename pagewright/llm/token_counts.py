@@ -6,8 +6,11 @@ cut that prefix into vocabulary pieces depends on the prefix alone: it is comput
 the node is made, from the nodes on its own path, however many pre-tokens share it. The node
 where a pre-token ends stores its count of pieces, and a document's count is the sum over its words.
 
+A word's first ``DEPTH`` characters are nodes of the trie. What a longer word has beyond them no other word is likely to share: its prefixes are scored in the same
+way, but only as many as the longest piece reaches back are held, and its count is kept by the text alone.
+
 The trie lives on in the worker for the batches that follow and starts anew beyond ``max_nodes``
-nodes, so memory is bounded and nothing is dropped. Nothing is shuffled.
+nodes, so memory is bounded, whatever words there are, and nothing is dropped. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ from pagewright.llm.common import bounded
 
 WORD_START = "▁"
 MAX_NODES = 600_000
+#: Characters of a word, its mark among them, that become nodes.
+DEPTH = 256
+#: Words of a text that are summed at once.
+PART_WORDS = 50_000
 #: What a byte costs where no piece covers a character: below any piece of the vocabulary.
 BYTE_MARGIN = 10.0
 
@@ -50,6 +57,7 @@ class Trie:
             if len(piece) > 1:
                 ends.setdefault(piece[-2:], set()).add(len(piece))
         self.ends = {c: sorted(n) for c, n in ends.items()}
+        self.longest = max(map(len, scores), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -60,45 +68,69 @@ class Trie:
 
     def count(self, pre_token: str) -> int:
         """Pieces of the best cut; of equally good cuts, one with the fewest pieces. Makes the nodes that are missing."""
-        children, node, path = self.children, 0, [0]
-        for at, c in enumerate(pre_token):
+        children, node, score, pieces = self.children, 0, [0.0], [0]
+        for at, c in enumerate(pre_token[:DEPTH]):
             child = children.get((node, c))
             if child is None:
-                child = children[node, c] = self._node(pre_token, at + 1, path)
+                best, least = self._best(pre_token, at + 1, score, pieces, 0)
+                self.score.append(best)
+                self.pieces.append(least)
+                child = children[node, c] = len(self.score) - 1
             node = child
-            path.append(node)
-        return self.pieces[node]
-
-    def _node(self, word: str, end: int, path: list[int]) -> int:
-        """A node for the first ``end`` characters; ``path`` has the nodes of all shorter prefixes."""
-        scores, score, pieces = self.scores, self.score, self.pieces
-        c, before = word[end - 1], path[end - 1]
+            score.append(self.score[node])
+            pieces.append(self.pieces[node])
+        begin = 0
+        for end in range(DEPTH + 1, len(pre_token) + 1):
+            if len(score) > 4096:  # no piece reaches further back than the longest one
+                begin = end - self.longest
+                del score[: -self.longest], pieces[: -self.longest]
+            best, least = self._best(pre_token, end, score, pieces, begin)
+            score.append(best)
+            pieces.append(least)
+        return pieces[-1]
+
+    def _best(self, word: str, end: int, score: list[float], pieces: list[int], begin: int) -> tuple[float, int]:
+        """The best score of the first ``end`` characters and its count of pieces, from those of the prefixes of ``begin`` characters and more."""
+        scores, c, at = self.scores, word[end - 1], end - 1 - begin
         size = len(c.encode("utf-8", "surrogatepass"))
-        best, least = score[before] + self.byte * size, pieces[before] + size
-        if (own := scores.get(c)) is not None and (score[before] + own, -pieces[before] - 1) > (best, -least):
-            best, least = score[before] + own, pieces[before] + 1
+        best, least = score[at] + self.byte * size, pieces[at] + size
+        if (own := scores.get(c)) is not None and (score[at] + own, -pieces[at] - 1) > (best, -least):
+            best, least = score[at] + own, pieces[at] + 1
         for length in self.ends.get(word[end - 2 : end], ()) if end > 1 else ():
             if length > end:
                 break
             if (own := scores.get(word[end - length : end])) is not None:
-                before = path[end - length]
-                option = score[before] + own
-                if option > best or option == best and pieces[before] + 1 < least:
-                    best, least = option, pieces[before] + 1
-        score.append(best)
-        pieces.append(least)
-        return len(score) - 1
+                at = end - length - begin
+                option = score[at] + own
+                if option > best or option == best and pieces[at] + 1 < least:
+                    best, least = option, pieces[at] + 1
+        return best, least
 
     def trim(self) -> None:
         if max(len(self.score), len(self.terminal)) > self.max_nodes:
             self.clear()
 
+    def count_words(self, words: list[bytes]) -> int:
+        """The sum over a text's words. The trie may start anew between any two of them; the counts of a part of the text stay until the part is summed."""
+        total = 0
+        for at in range(0, len(words), PART_WORDS):
+            part, known = words[at : at + PART_WORDS], self.terminal
+            for word in set(part).difference(known):
+                known[word] = self.count(WORD_START + word.decode("utf-8", "surrogatepass"))
+                self.trim()
+            total += sum(map(known.__getitem__, part))
+            for word in part:
+                if len(word) > DEPTH:
+                    known.pop(word, None)
+        return total
+
 
 def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NODES) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null and empty texts have 0 of both. Repeated rows are counted each; null doc_ids are kept; an
-    empty table gives no rows. Whole texts are read, one batch of bounded size at a time.
+    empty table gives no rows. Whole texts are read, one batch of bounded size at a time; a word of any length
+    takes no more memory than its own characters.
     """
     import pyarrow as pa
 
@@ -108,12 +140,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, max_nodes: int = MAX_NOD
             words, tokens = [], []
             for text in batch.column(1):
                 found = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                known = trie.terminal
-                for word in set(found).difference(known):
-                    known[word] = trie.count(WORD_START + word.decode("utf-8", "surrogatepass"))
                 words.append(len(found))
-                tokens.append(sum(map(known.__getitem__, found)))
-                trie.trim()
+                tokens.append(trie.count_words(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -55,7 +55,7 @@ def test_more_sources_than_are_sent(spark, monkeypatch):
     rows = [(i, "a b", "en", f"s{i % 9}", 0, "", 0) for i in range(90)]
     docs = spark.createDataFrame(rows, DOCS)
     want = sorted(map(str, mixing.plan(docs).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
     assert sorted(map(str, mixing.plan(docs).collect())) == want
 
 
@@ -67,6 +67,26 @@ def test_copies_follow_the_rate(spark):
         assert sum(r.copies for r in own) == pytest.approx(source, rel=0.05)
 
 
+def test_repeated_rows_take_their_share(spark, monkeypatch):
+    """Also where the keys of repeated rows are too many to be sent around, and whatever the other columns hold."""
+    rows = [(1, "a", "one two three four five")] * 1000 + [(k, "b", f"w{k} " * 10) for k in range(300)] + [(None, "c", "x y")] * 7 + [(7, None, None)] * 3
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, source string, text string, k long")
+    for limit in (100_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+        got = mixing.plan(docs, keep=("source", "k")).collect()
+        assert len(got) == len(rows) and len({r.k for r in got}) == len(rows)
+        for source in ("a", "c"):
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= own[0].size and max(r.copies for r in own) <= 2
+        assert mixing.mix(docs).count() == sum(r.copies for r in got)
+    assert sorted((r.source or "", r.copies) for r in got) == sorted((r.source or "", r.copies) for r in mixing.plan(docs.repartition(5), keep=("source",)).collect())
+
+
+def test_long_texts_are_mixed_whole(spark):
+    docs = spark.createDataFrame([(1, "a", "word " * 400_000), (2, "a", "w")], "doc_id long, source string, text string")
+    assert sorted(r.size for r in mixing.plan(docs).collect()) == [1, 400_000]
+
+
 def test_empty_mix(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0

@@ -125,3 +125,14 @@ def test_neighbours_are_compared_word_by_word():
     rows = sorted([row("a b c d ", "x y ", 0, 2, 1), row("a b c d ", "x z ", 0, 2, 2), row("a b d d ", "x y ", 0, 2, 0)])
     found = sorted(suffix_dedup.settle(rows, 4, False, False))
     assert found == [(1, 0, 20, (2, 2), (0, 0, 20)), (2, 0, 20, (0, 1), (1, 0, 20))]
+
+
+def test_texts_whose_hashes_collide_stay_apart(spark, monkeypatch):
+    """With one hash for all texts, only their digests tell them apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_dedup.F, "xxhash64", lambda *c: F.length(c[0]).cast("long") * 0 if len(c) == 1 else F.hash(*c).cast("long"))
+    texts = [" ".join(f"{name}{k}" for k in range(60)) for name in "abc"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.find_repeats(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 60}

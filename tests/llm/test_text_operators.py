@@ -197,6 +197,38 @@ def test_a_small_trie_starts_anew_with_the_same_counts(spark):
     assert pick(token_counts.token_counts(docs, path, 50)) == pick(token_counts.token_counts(docs, path))
 
 
+def test_a_word_without_end_takes_bounded_memory():
+    import random
+    import resource
+
+    from pagewright.llm.token_counts import Trie
+
+    rng = random.Random(5)
+    scores = {p: -float(k + 1) for k, p in enumerate(["▁a", "ab", "abc", "bca", "c", "ca", "▁", "a", "b", "cabcab"])}
+    word = "▁" + "".join(rng.choices("abcd", k=3000))
+    trie = Trie(scores)
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):  # a plain search
+        options = [(best[end - 1][0] + trie.byte * len(word[end - 1].encode()), -best[end - 1][1] - len(word[end - 1].encode()))]
+        options += [(best[end - len(p)][0] + s, -best[end - len(p)][1] - 1) for p, s in scores.items() if word[:end].endswith(p)]
+        score, pieces = max(options)
+        best.append((score, -pieces))
+    assert trie.count(word) == best[-1][1] and len(trie.score) == 257
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert trie.count("▁" + "abcd" * 500_000) > 0
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 100 and len(trie.score) < 600
+
+
+def test_a_text_of_many_long_words_starts_the_trie_anew():
+    from pagewright.llm.token_counts import Trie
+
+    scores = {"▁": -1.0, "a": -2.0, "aa": -2.5, "b": -3.0}
+    words = [b"a" * k + b"b" * (k % 5) for k in range(1, 400)] * 2
+    small, large = Trie(scores, 50), Trie(scores)
+    assert small.count_words(words) == large.count_words(words) == sum(Trie(scores).count("▁" + w.decode()) for w in words)
+    assert all(len(w) <= 256 for w in large.terminal)
+
+
 def test_packing(spark):
     import numpy as np
     from tokenizers import Tokenizer
