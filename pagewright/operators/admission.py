@@ -12,11 +12,10 @@ from pagewright import limits
 
 def rate_limit(events: DataFrame, limit: int = limits.RATE_LIMIT, period: str = f"{limits.RATE_PERIOD_SECONDS} seconds") -> DataFrame:
     """[I9] Adds window_start and limited to events (ts, client, event_id): beyond the first ``limit`` of a client in a tumbling window. Without a client nothing is limited."""
-    start = F.window("ts", period)["start"]
-    w = Window.partitionBy("client", "window_start").orderBy("ts", "event_id")
-    timed = events.withColumn("window_start", start)
-    known = timed.where("client is not null").withColumn("limited", F.row_number().over(w) > limit)
-    return known.union(timed.where("client is null").withColumn("limited", F.lit(False)))
+    alone = F.when(F.col("client").isNull(), F.col("event_id"))  # so that events without a client are no group
+    w = Window.partitionBy("client", "window_start", alone).orderBy("ts", "event_id")
+    timed = events.withColumn("window_start", F.window("ts", period)["start"])
+    return timed.withColumn("limited", (F.row_number().over(w) > limit) & F.col("client").isNotNull())
 
 
 @dataclass

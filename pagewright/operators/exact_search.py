@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagewright import limits
 from pagewright.functions.characters import SPACE
+from pagewright.functions.intervals import overlaps
 from pagewright.functions.text import hit_key, normalize_for_search, normalize_with_offsets, trim_space
 
 
@@ -99,27 +100,36 @@ def preview(original: Column, first: Column, last: Column) -> Column:
     return F.concat(F.when(begin > 0, "…").otherwise(""), shown, F.when(end < F.char_length(original), "…").otherwise(""))
 
 
-def item_ranges(pieces: Column, first: Column, last: Column) -> Column:
-    """[C6, E9] The ranges of items that the characters first to last of a page cover; what goes on in the same item is one range."""
-    kind = "array<struct<item_index: int, start_offset: int, end_offset: int, whole_item: boolean>>"
-    touched = F.filter(pieces, lambda p: (p["start"] < last) & (p["end"] > first))
-    cut = F.transform(
-        touched,
-        lambda p: F.struct(
-            p["item_index"].alias("item_index"),
-            (p["item_offset"] + F.greatest(first - p["start"], F.lit(0))).alias("start_offset"),
-            (p["item_offset"] + F.least(last, p["end"]) - p["start"]).alias("end_offset"),
-            F.lit(False).alias("whole_item"),
-        ),
-    )
+RANGES = "array<struct<item_index: int, start_offset: int, end_offset: int, whole_item: boolean>>"
 
-    def step(done: Column, r: Column) -> Column:
-        before = F.try_element_at(done, F.lit(-1))
-        goes_on = F.coalesce((before["item_index"] == r["item_index"]) & (before["end_offset"] == r["start_offset"]), F.lit(False))
-        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(before.withField("end_offset", r["end_offset"])))
-        return F.when(goes_on, merged).otherwise(F.concat(done, F.array(r))).cast(kind)
 
-    return F.when(F.size(cut) < 2, cut.cast(kind)).otherwise(F.aggregate(cut, F.array().cast(kind), step))
+def _cover():
+    """[C6, C11, E9] For a page's pieces and its hits' first and last characters, each hit's ranges of items, as an Arrow function; what goes on in the same item is one range.
+
+    All hits of a batch of pages meet all its pieces at once, by place, so the work follows the ranges that come out.
+    """
+
+    @F.arrow_udf(f"array<{RANGES}>")
+    def cover(pieces: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        flat, sizes, hits = pieces.flatten(), pieces.value_lengths().fill_null(0).to_numpy(), firsts.value_lengths().fill_null(0).to_numpy()
+        item, start, end, offset = (flat.field(flat.type.get_field_index(c)).to_numpy().astype(np.int64) for c in ("item_index", "start", "end", "item_offset"))
+        first, last = (x.flatten().to_numpy().astype(np.int64) for x in (firsts, lasts))
+        page = max(end.max(initial=0), last.max(initial=0)) + 1  # pages one after the other, none reaching into the next
+        lift, raised = np.repeat(np.arange(len(sizes)) * page, sizes), np.repeat(np.arange(len(hits)) * page, hits)
+        hit, piece, a, b = overlaps(start + lift, end + lift, first + raised, last + raised)
+        shift = offset[piece] - start[piece] - lift[piece]
+        item, a, b = item[piece], a + shift, b + shift
+        new = np.ones(len(hit), bool)
+        new[1:] = (hit[1:] != hit[:-1]) | (item[1:] != item[:-1]) | (a[1:] != b[:-1])
+        ends = np.append(new[1:], True)[: len(new)]
+        values = [pa.array(x, pa.int32()) for x in (item[new], a[new], b[ends])]
+        found = pa.StructArray.from_arrays([*values, pa.array(np.zeros(len(values[0]), bool))], ["item_index", "start_offset", "end_offset", "whole_item"])
+        inner = np.append(0, np.cumsum(np.bincount(hit[new], minlength=len(first))))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hits)), pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), found))
+
+    return cover
 
 
 def exact_search(index: DataFrame, query: str) -> DataFrame:
@@ -129,15 +139,12 @@ def exact_search(index: DataFrame, query: str) -> DataFrame:
     is searched by built-in functions and only rows with hits go on. Order by page_number and search_start for reading.
     """
     wanted = folded_query(query)
-
-    def hit(start: Column) -> Column:
-        first, last = F.element_at("source_start", start + 1), F.element_at("source_end", start + len(wanted))
-        ranges = item_ranges(F.col("pieces"), first, last)
-        return F.struct(start.alias("search_start"), ranges.alias("ranges"), preview(F.col("original_text"), first, last).alias("preview_text"))
-
+    pages = index.where(F.contains("search_text", F.lit(wanted))).withColumn("starts", starts_of(F.col("search_text"), wanted))
+    pages = pages.withColumn("firsts", F.transform("starts", lambda s: F.element_at("source_start", s + 1))).withColumn("lasts", F.transform("starts", lambda s: F.element_at("source_end", s + len(wanted))))
+    pages = pages.withColumn("covered", _cover()("pieces", "firsts", "lasts"))
     # hits are made within the page's row, so its arrays aren't repeated for each
-    pages = index.where(F.contains("search_text", F.lit(wanted)))
-    hits = pages.select("document_id", "page_number", F.explode(F.transform(starts_of(F.col("search_text"), wanted), hit)).alias("h"))
+    hit = lambda x: F.struct(x["starts"].alias("search_start"), x["covered"].alias("ranges"), preview(F.col("original_text"), x["firsts"], x["lasts"]).alias("preview_text"))
+    hits = pages.select("document_id", "page_number", F.explode(F.transform(F.arrays_zip("starts", "covered", "firsts", "lasts"), hit)).alias("h"))
     return hits.select("document_id", "page_number", hit_key(F.col("page_number"), F.col("h.search_start")).alias("hit_key"), "h.search_start", "h.ranges", "h.preview_text")
 
 

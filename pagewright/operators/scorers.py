@@ -66,7 +66,7 @@ def parse_retry_after(header: str | None, now_ms: float) -> float | None:
 
 
 def call_once_more(send: Callable, body: str, deadline_ms: float, clock: Callable[[], float] = lambda: time.time() * 1000, sleep: Callable[[float], None] = lambda ms: time.sleep(ms / 1000)) -> tuple[str | None, str | None]:
-    """[I6, I7] (reply, error code) of one request: a retryable status or a lost connection is tried once more, if the wait ends before the deadline."""
+    """[I6, I7] (reply, error code) of one request: a retryable status is tried once more, if the wait ends before the deadline, a lost connection at once."""
     for attempt in (0, 1):
         left = deadline_ms - clock()
         if left <= 0:
@@ -83,7 +83,7 @@ def call_once_more(send: Callable, body: str, deadline_ms: float, clock: Callabl
         except TimeoutError:
             return None, "provider_timeout"
         except OSError:
-            pass
+            wait = 0
         if attempt or clock() + wait >= deadline_ms:
             return None, "provider_unavailable" if attempt else "provider_timeout"
         sleep(wait)

@@ -12,13 +12,13 @@ from pagewright import limits
 from pagewright.functions import patterns
 from pagewright.functions import text as tx
 from pagewright.functions.statistics import median_or_zero, weighted_lower_median
-from pagewright.operators import admission, batches, evaluate, exact_search, highlight, lines, rank, segments, validate
+from pagewright.operators import admission, batches, evaluate, exact_search, gram_index, highlight, lines, rank, segments, validate
 from pagewright.operators.scorers import TermScorer, call_batches, parse_replies, term_share
 from pagewright.plans import search
 from pagewright.sources import items as item_source
 from pagewright.sources import storage
 from pagewright.sources.testdata import document_lines, items_of_documents
-from pagewright.streaming import progress
+from pagewright.streaming import framing, leases, progress
 
 QUERY = "the and"
 TERM = "the"
@@ -232,6 +232,26 @@ def exact_hits(spark, sf_dir):
     return hits.select("document_id", "page_number", "hit_key", "search_start", F.size("ranges").alias("n_ranges"))
 
 
+def _indexed(spark, sf_dir, query):
+    """A search of all pages through an index that is written first."""
+    path = storage.new_path(spark, "grams")
+    gram_index.write_index(exact_search.page_index(_pages(spark, sf_dir)), path, buckets=16, shares=1)
+    return gram_index.indexed_search(spark, path, query, buckets=16)
+
+
+def indexed_hits(spark, sf_dir):
+    return _indexed(spark, sf_dir, QUERY).select("document_id", "page_number", "hit_key", "search_start", F.size("ranges").alias("n_ranges"))
+
+
+def indexed_preview(spark, sf_dir):
+    return _indexed(spark, sf_dir, "License").select("document_id", "page_number", "search_start", "preview_text")
+
+
+def indexed_pairs(spark, sf_dir):
+    """A query shorter than a gram."""
+    return _indexed(spark, sf_dir, "Th").select("document_id", "page_number", "hit_key", "search_start", F.size("ranges").alias("n_ranges"))
+
+
 def exact_hit_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("text").alias("original_text"))
     return exact_search.count_hits(docs, TERM)
@@ -328,14 +348,36 @@ def _split(spark, sf_dir):
     return rows.withColumn("seq", F.row_number().over(page)).withColumn("doc_ordinal", F.row_number().over(Window.partitionBy("document_id").orderBy("k", "part")))
 
 
-def request_bodies(spark, sf_dir):
+def _bodies(spark, sf_dir):
     rows = _split(spark, sf_dir)
     named = rows.select("document_id", "doc_ordinal", F.format_string("p%03d-s%03d", F.col("page_number"), F.col("seq")).alias("id"), F.col("str").alias("text"), F.lit(None).cast("string").alias("context_before"), F.lit(None).cast("string").alias("context_after"))
     packed = batches.pack_batches(rows.groupBy("document_id").agg(F.max("doc_ordinal").alias("n")), ["document_id"])
     states = packed.join(named, ["document_id", "doc_ordinal"]).withColumn("request_id", F.lit("r1")).withColumn("query", F.lit(QUERY))
-    body = batches.request_bodies(states, "model-1")
+    return batches.request_bodies(states, "model-1")
+
+
+def request_bodies(spark, sf_dir):
     texts = F.array_join(F.transform(F.map_values("body.state.passages"), lambda p: p["text"]), "\n")
-    return body.select("document_id", "batch_no", F.array_join(F.map_keys("body.state.passages"), ",").alias("passages"), F.array_join(F.map_keys("body.questions"), ",").alias("questions"), F.md5(texts.cast("binary")).alias("texts_md5"))
+    return _bodies(spark, sf_dir).select("document_id", "batch_no", F.array_join(F.map_keys("body.state.passages"), ",").alias("passages"), F.array_join(F.map_keys("body.questions"), ",").alias("questions"), F.md5(texts.cast("binary")).alias("texts_md5"))
+
+
+def request_criteria(spark, sf_dir):
+    """Every question of every body: its type, and what its levels mean."""
+    asked = _bodies(spark, sf_dir).select("document_id", "batch_no", F.explode("body.questions").alias("question", "q"))
+    return asked.select("document_id", "batch_no", "question", "q.type", F.posexplode("q.criteria").alias("level", "meaning"))
+
+
+def search_requests(spark, sf_dir):
+    """What leaves for a search: ids, texts and the neighbours that a passage has on its page, in document order."""
+    from pyspark.sql import Window
+
+    page = Window.partitionBy("document_id", "page_number").orderBy("doc_ordinal")
+    name = F.format_string("p%03d-s%03d", F.col("page_number"), F.col("seq"))
+    passages = _full(spark, sf_dir).select("document_id", "doc_ordinal", name.alias("segment_id"), F.col("str").alias("original_text"), F.lag("str").over(page).alias("context_before"), F.lead("str").over(page).alias("context_after"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("r1").alias("request_id"), F.lit(QUERY).alias("query"))
+    sent = batches.search_requests(passages, asked)
+    digest = lambda c: F.md5(F.array_join(F.transform("segments", lambda s: s[c]), "|", "-").cast("binary"))
+    return sent.select("document_id", "query", F.array_join("segments.id", ",").alias("ids"), digest("text").alias("texts"), digest("context_before").alias("before"), digest("context_after").alias("after"))
 
 
 def score_stub(spark, sf_dir):
@@ -435,6 +477,23 @@ def stream_validator(spark, sf_dir):
     return progress.validate_batch(_messages(spark, sf_dir)).select("document_id", "seq", "type", "ok")
 
 
+def search_outcomes(spark, sf_dir):
+    """Each search's one outcome."""
+    return progress.search_outcomes(_messages(spark, sf_dir)).select("document_id", "kind", "error_code")
+
+
+def framed_lines(spark, sf_dir):
+    """Conversations as bodies, a line for each turn, cut into chunks at bytes that have nothing to do with lines or characters; some bodies end without a line feed, and a line of over 300 characters ends its body."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.col("turn").cast("string"), "role", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))).alias("line"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = F.concat("body", F.when(F.col("conv_id") % 2 == 0, "\n \n").otherwise("")).cast("binary")
+    step = (F.col("conv_id") % 37 + 1).cast("int")
+    cut = whole.select("conv_id", body.alias("body"), step.alias("step")).select("conv_id", "body", "step", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("body") / F.col("step")).cast("int"))).alias("k"))
+    begin, last = F.col("k") * F.col("step"), (F.col("k") + 1) * F.col("step") > F.octet_length("body")
+    chunks = cut.select(F.col("conv_id").cast("string").alias("document_id"), F.lit("r").alias("request_id"), begin.cast("long").alias("begin"), F.col("body").substr(begin + 1, F.col("step")).alias("bytes"), last.alias("last"))
+    return framing.frame_chunks(chunks, 300).select("document_id", "line_no", "line", "error_code")
+
+
 def ndjson_lines(spark, sf_dir):
     """Messages written as NDJSON files and read back: what differs after the round trip would be missing."""
     path = storage.new_path(spark, "messages")
@@ -443,7 +502,7 @@ def ndjson_lines(spark, sf_dir):
     return back.groupBy("type").agg(F.count(F.lit(1)).alias("messages"), F.sum("evaluated").alias("evaluated"), F.min("results.segment_id").alias("first_ids"), F.max("elapsed_ms").alias("elapsed_ms")).select("type", "messages", "evaluated", F.array_join("first_ids", ",").alias("first_ids"), "elapsed_ms")
 
 
-def reply_outcomes(spark, sf_dir):
+def _replies(spark, sf_dir):
     """Turns as the replies to a search's batches: some batches time out, some replies answer what wasn't asked."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.lit("r").alias("request_id"), F.col("turn").cast("int").alias("batch_no"))
     late, odd = (F.col("document_id") % 7 == 2) & (F.col("batch_no") == 0), (F.col("document_id") % 5 == 1) & (F.col("batch_no") == 1)
@@ -451,7 +510,24 @@ def reply_outcomes(spark, sf_dir):
     answer = F.lit('{"type": "score", "score": 1.0, "confidence": 0.5, "probabilities": {"0": 0.2, "1": 0.3, "2": 0.5}}')
     reply = F.concat(F.lit('{"model": "m'), F.col("batch_no").cast("string"), F.lit('", "usage": {"input_tokens": '), (F.col("batch_no") + 10).cast("string"), F.lit('}, "answers": {"relevance_'), name, F.lit('": '), answer, F.lit("}}"))
     replies = turns.select("*", F.when(~late, reply).alias("reply"), F.when(late, "provider_timeout").alias("error_code"))
-    return parse_replies(replies, turns.withColumn("segment_id", F.format_string("p001-s%03d", F.col("batch_no") + 1)))[1]
+    return parse_replies(replies, turns.withColumn("segment_id", F.format_string("p001-s%03d", F.col("batch_no") + 1)))
+
+
+def reply_outcomes(spark, sf_dir):
+    return _replies(spark, sf_dir)[1]
+
+
+def reply_answers(spark, sf_dir):
+    """The answers of all batches of the searches that didn't fail."""
+    return _replies(spark, sf_dir)[0].select("document_id", "segment_id", "score", "confidence", F.col("probabilities")["2"].alias("relevant_probability"))
+
+
+def search_metrics(spark, sf_dir):
+    """What may be logged of searches: counts and outcomes."""
+    judged = _judged(spark, sf_dir)
+    answers = _as_answers(_some_dropped(judged))
+    responses = rank.classify(rank.judge(_named(judged), answers), answers)
+    return search.search_metrics(responses, search_tokens(spark, sf_dir)).select("document_id", "outcome", "evaluated_segment_count", "requests", "tokens")
 
 
 def evaluation_texts(spark, sf_dir):
@@ -468,10 +544,38 @@ def rate_limit(spark, sf_dir):
     return admission.rate_limit(events, 5, "1 day").groupBy("client").agg(F.count(F.lit(1)).alias("events"), F.count_if("limited").alias("limited"))
 
 
+def _reservations(spark, sf_dir):
+    """Every event reserves in its user's group of budgets, whole tokens; every ninth event releases what the same user reserved last."""
+    return table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(8)).cast("string").alias("budget"), "event_id", "ts", F.when(F.col("event_id") % 9 == 0, "release").otherwise("reserve").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.round(F.abs("value") * 10).alias("tokens"), F.lit(1).alias("requests"))
+
+
 def budget_ledger(spark, sf_dir):
-    """Every event reserves in its user's group of budgets; purchases are released by the same user's next event. Tight limits, an hour's expiry, whole tokens."""
-    events = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(8)).cast("string").alias("budget"), "event_id", "ts", F.when(F.col("event_id") % 9 == 0, "release").otherwise("reserve").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), F.round(F.abs("value") * 10).alias("tokens"), F.lit(1).alias("requests"))
-    return admission.budget_ledger(events, 1500, 4, 3_600_000).select("budget", "event_id", "admitted", "wait_seconds", "live", F.round("held_tokens", 4).alias("held_tokens"))
+    """Tight limits, and an hour's expiry."""
+    return admission.budget_ledger(_reservations(spark, sf_dir), 1500, 4, 3_600_000).select("budget", "event_id", "admitted", "wait_seconds", "live", F.round("held_tokens", 4).alias("held_tokens"))
+
+
+def _leased(spark, sf_dir, shards):
+    """The same reservations in three micro-batches, one after the other, with leases dealt anew between them."""
+    path, events = storage.new_path(spark, "leases"), _reservations(spark, sf_dir)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    serve = leases.lease_batches(path, shards, 1500, 4, 3_600_000)
+    for k in range(3 if low is not None else 1):
+        until = F.lit(low) + F.expr(f"interval {int((high - low).total_seconds() / 3 * (k + 1)) + 1 if low is not None else 0} seconds")
+        since = F.lit(low) + F.expr(f"interval {int((high - low).total_seconds() / 3 * k) + 1 if low is not None and k else 0} seconds")
+        serve(events.where((F.col("ts") >= since) & (F.col("ts") < until)), k)
+    return leases.outcomes(spark, path)
+
+
+def leased_ledger(spark, sf_dir):
+    """One shard, which has the whole budget: the ledger itself."""
+    return _leased(spark, sf_dir, 1).select("budget", "event_id", "admitted", "wait_seconds", "live", F.round("held_tokens", 4).alias("held_tokens"))
+
+
+def leased_shards(spark, sf_dir):
+    """Four shards: how many reservations each budget was asked for, and whether what its shards held at most in a micro-batch, all at once, went over its limits."""
+    most = _leased(spark, sf_dir, 4).groupBy("budget", "batch", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("held_tokens").alias("t"), F.max("held_requests").alias("r"))
+    whole = most.groupBy("budget", "batch").agg(F.sum("n").alias("n"), ((F.sum("t") > 1500) | (F.sum("r") > 4)).alias("over"))
+    return whole.groupBy("budget").agg(F.sum("n").alias("reservations"), F.bool_or("over").alias("over"))
 
 
 def retry_after(spark, sf_dir):
@@ -575,10 +679,10 @@ def admission_gates(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         scan_documents, page_stats, limit_violations, file_intake, items_to_lines, words_to_lines, stored_items, evaluation_cases, reveal_hits, chosen_highlights, result_notes, provider_calls, line_gaps, weighted_median_length, boundary_flags, multi_column_pages, column_order,
-        all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, exact_hit_counts, exact_preview, exact_straddle, covered_text,
-        request_validation, answer_validation, pack_batches, batch_chars_tokens, search_tokens, question_keys, instructions, request_bodies, score_stub,
-        rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, ndjson_lines, reply_outcomes, evaluation_texts, stale_results,
-        rate_limit, budget_ledger, retry_after, emphasis_spans, highlight_targets, eval_rates, eval_tally, terminal_lines, settled_panels, unsearched_pages,
+        all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, indexed_hits, indexed_preview, indexed_pairs, exact_hit_counts, exact_preview, exact_straddle, covered_text,
+        request_validation, answer_validation, pack_batches, batch_chars_tokens, search_tokens, question_keys, instructions, request_bodies, request_criteria, search_requests, score_stub,
+        rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, search_outcomes, framed_lines, ndjson_lines, reply_outcomes, reply_answers, search_metrics, evaluation_texts, stale_results,
+        rate_limit, budget_ledger, leased_ledger, leased_shards, retry_after, emphasis_spans, highlight_targets, eval_rates, eval_tally, terminal_lines, settled_panels, unsearched_pages,
         same_origin, media_type, bounded_bodies, error_replies, admission_gates,
     )
     return {{"all_segments": "segments"}.get(f.__name__, f.__name__): f for f in every}

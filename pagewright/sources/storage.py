@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _own_dir: list[str] = []
+_written: dict[str, set[str]] = {}  # by application, the paths that were given out and are still there
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,5 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing else has."""
-    return f"{shared_dir(spark)}/pagewright/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else has, among those that ``release`` removes."""
+    path = f"{shared_dir(spark)}/pagewright/{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes files or folders."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def written(spark: SparkSession) -> frozenset[str]:
+    """The paths in the shared folder that were given out in this application and are still there."""
+    return frozenset(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, keep: frozenset[str] = frozenset()) -> None:
+    """Removes all that was written and left for results, but for ``keep``; call it when these are read."""
+    remove(spark, *written(spark).difference(keep))

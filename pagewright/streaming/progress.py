@@ -42,6 +42,18 @@ def validate_batch(messages: DataFrame) -> DataFrame:
     return shaped.withColumn("ok", ~F.col("__bad") & ~ended & ~F.coalesce(falls, F.lit(False))).drop("__bad")
 
 
+def search_outcomes(messages: DataFrame) -> DataFrame:
+    """[I2, I4] (document_id, request_id, kind, error_code): the one outcome of each search whose messages (as ``validate_batch`` takes them) came: its first good terminal message.
+
+    A malformed message before it ends the search as ``provider_malformed_response``, as does a body without a terminal message; what comes after the outcome changes nothing.
+    """
+    told = validate_batch(messages)
+    stops = F.when(~F.col("ok") | F.col("type").isin("final", "error"), F.struct("seq", "ok", "type", F.col("error.code").alias("code")))
+    first = told.groupBy(*SEARCH).agg(F.min(stops).alias("m"))
+    good = F.coalesce(F.col("m.ok"), F.lit(False))
+    return first.select(*SEARCH, F.when(good & (F.col("m.type") == "final"), "final").otherwise("error").alias("kind"), F.when(~good, "provider_malformed_response").when(F.col("m.type") == "error", F.col("m.code")).alias("error_code"))
+
+
 def _search_state():
     from pyspark.sql.streaming.state import GroupStateTimeout
 
