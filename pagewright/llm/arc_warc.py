@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bounded, materialize, salted_join, shared_path
+from pagewright.llm.common import bounded, materialize, salted_join, new_path
 
 ARCHIVE_BYTES = 16 << 20
 #: Rows of a 32-character digest and a number, about 10 MB.
@@ -287,7 +287,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = A
     rows are records of their own; an empty table gives no rows. Other columns are ignored.
     """
     spark = pages.sparkSession
-    arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
+    arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc, archive_bytes)
     convert(spark, arc, warc, least_bytes)
     return read_warc(spark, warc)

@@ -12,28 +12,16 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.sources.storage import new_path
+from pagewright.functions.arrow import bounded  # noqa: F401  (for the operators)
+from pagewright.sources.storage import new_path, release, remove, written  # noqa: F401
 
 #: What separates words, as a Java and RE2 character class body and as the bytes that
 #: ``bytes.split()`` splits on: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
-#: Rows and bytes of text that a Python worker is handed at once.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_written: dict[str, set[str]] = {}  # by application, the paths of tables that are still there
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, among those that ``release`` removes."""
-    path = new_path(spark, tag)
-    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
-    return path
-
 
 @contextmanager
 def _shuffles_removed(spark: SparkSession):
@@ -51,7 +39,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     The files outlive any executor, and their sizes let the optimizer choose join strategies. They stay until ``discard`` or ``release``.
     """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     with _shuffles_removed(spark):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -59,42 +47,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return table
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Removes files or folders of the shared folder."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _written.get(spark.sparkContext.applicationId, set()).discard(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Removes the files of tables that ``materialize`` returned and that nothing reads any more."""
     for table in tables:
         remove(table.sparkSession, table._pagewright_path)
 
 
-def written(spark: SparkSession) -> frozenset[str]:
-    """The paths of all tables that operators have written in this application and that are still there."""
-    return frozenset(_written.get(spark.sparkContext.applicationId, ()))
-
-
-def release(spark: SparkSession, keep: frozenset[str] = frozenset()) -> None:
-    """Removes all tables but ``keep`` that operators have written and left for their results; call it when these are read."""
-    remove(spark, *written(spark).difference(keep))
-
-
-def bounded(batches, rows: int = BATCH_ROWS, most: int = BATCH_BYTES):
-    """The batches that a worker is handed, cut so that none has more than ``rows`` rows or, if it has several, ``most`` bytes."""
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            n = min(rows, batch.num_rows - at)
-            while n > 1 and batch.slice(at, n).nbytes > most:
-                n //= 2
-            yield batch.slice(at, n)
-            at += n
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], salts: int = 16, how: str = "left") -> DataFrame:
     """Equality join of a large ``left`` whose keys may be hot with a ``right`` that has one row a key.
 
