@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions.characters import SPACE
+from pagewright.operators.literals import longest
 
 _SPLIT = re.compile(f"[{SPACE}、。,.!?！？]+")
 
@@ -52,21 +53,12 @@ def apply_targets(resolved: DataFrame) -> DataFrame:
 
 def emphasis(text: str, query: str) -> list[tuple[str, bool]]:
     """[K18, F8] A text in parts, those that are literally terms of the query marked; the earliest hit first, of those the longest."""
-    terms = {t for t in _SPLIT.split(query) if len(t.encode("utf-16-le")) >= 4}
-    parts: list[tuple[str, bool]] = []
-    low, at = text.lower(), 0
+    terms = tuple(sorted({t.lower() for t in _SPLIT.split(query) if len(t.encode("utf-16-le")) >= 4}))
+    low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: compare one by one
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    while at < len(text):
-        hits = [(i, -len(t)) for t in terms if (i := low.find(t.lower(), at)) >= 0]
-        if not hits:
-            parts.append((text[at:], False))
-            break
-        start, minus = min(hits)
-        if start > at:
-            parts.append((text[at:start], False))
-        at = start - minus
-        parts.append((text[start:at], True))
+    edges = [0, *(x for span in (longest(terms, low) if terms else ()) for x in span), len(text)]
+    parts = [(text[a:b], bool(k % 2)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     return parts or [(text, False)]
 
 

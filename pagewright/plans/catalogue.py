@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright import limits
-from pagewright.functions import patterns
+from pagewright.functions import patterns, sql
 from pagewright.functions import text as tx
 from pagewright.functions.statistics import median_or_zero, weighted_lower_median
-from pagewright.operators import admission, batches, evaluate, exact_search, gram_index, highlight, lines, rank, segments, validate
+from pagewright.operators import admission, batches, evaluate, exact_search, gram_index, highlight, lines, literals, rank, segments, validate
 from pagewright.operators.scorers import TermScorer, call_batches, parse_replies, term_share
 from pagewright.plans import search
 from pagewright.sources import items as item_source
@@ -252,6 +252,20 @@ def indexed_pairs(spark, sf_dir):
     return _indexed(spark, sf_dir, "Th").select("document_id", "page_number", "hit_key", "search_start", F.size("ranges").alias("n_ranges"))
 
 
+def literal_hits(spark, sf_dir):
+    """The first twelve characters of every benchmark item, and a frequent word, searched for in all pages at once."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("literal_id"), F.substring("text", 1, 12).alias("query"))
+    asked = items.union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(TERM)))
+    return literals.search_literals(exact_search.page_index(_pages(spark, sf_dir)), asked).select("literal_id", "document_id", "page_number", "hit_key", "search_start")
+
+
+def lateral_hits(spark, sf_dir):
+    """Exact search in SQL, by a table function in a lateral join."""
+    sql.register(spark)
+    exact_search.page_index(_pages(spark, sf_dir)).select("document_id", "page_number", "original_text").createOrReplaceTempView("pagewright_pages")
+    return spark.sql(f"select p.document_id, p.page_number, h.search_start from pagewright_pages p, lateral exact_hits(p.original_text, '{QUERY}') h")
+
+
 def exact_hit_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.col("text").alias("original_text"))
     return exact_search.count_hits(docs, TERM)
@@ -679,7 +693,7 @@ def admission_gates(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         scan_documents, page_stats, limit_violations, file_intake, items_to_lines, words_to_lines, stored_items, evaluation_cases, reveal_hits, chosen_highlights, result_notes, provider_calls, line_gaps, weighted_median_length, boundary_flags, multi_column_pages, column_order,
-        all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, indexed_hits, indexed_preview, indexed_pairs, exact_hit_counts, exact_preview, exact_straddle, covered_text,
+        all_segments, segment_context, ingest_limits, search_responses, search_results, segment_ids, range_islands, normalize_text, exact_hits, indexed_hits, indexed_preview, indexed_pairs, literal_hits, lateral_hits, exact_hit_counts, exact_preview, exact_straddle, covered_text,
         request_validation, answer_validation, pack_batches, batch_chars_tokens, search_tokens, question_keys, instructions, request_bodies, request_criteria, search_requests, score_stub,
         rank_top3, classify_status, incomplete_evaluation, unmatched_answers, provisional_topk, debug_order, result_hits, stream_validator, search_outcomes, framed_lines, ndjson_lines, reply_outcomes, reply_answers, search_metrics, evaluation_texts, stale_results,
         rate_limit, budget_ledger, leased_ledger, leased_shards, retry_after, emphasis_spans, highlight_targets, eval_rates, eval_tally, terminal_lines, settled_panels, unsearched_pages,

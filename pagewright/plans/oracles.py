@@ -270,6 +270,11 @@ def oracle_sql() -> dict[str, str]:
         "exact_hits": _hit_rows("the"),
         "indexed_hits": _hit_rows("theand"),
         "indexed_pairs": _hit_rows("th"),
+        "literal_hits": f"""with {_PAGES}, q as (select item_id::bigint as literal_id, lower(regexp_replace(substr(text, 1, 12), '[{_S}{_Z}]', '', 'g')) as w from benchmark union all select -1, 'the'),
+            parts as (select literal_id, w, document_id, page_number, string_split(t, w) as p from pages_of join q on w <> '' and contains(t, w)),
+            h as (select *, (list_sum([length(x) for x in p[1:i]]) + (i - 1) * length(w))::int as search_start from (select *, unnest(range(1, len(p))) as i from parts))
+            select literal_id, document_id, page_number, printf('p%03d-o%06d', page_number, search_start) as hit_key, search_start from h""",
+        "lateral_hits": f"with {_hits('theand')} select document_id, page_number, search_start from hits",
         "exact_hit_counts": f"with t as (select doc_id, lower(regexp_replace(text, '[{_S}{_Z}]', '', 'g')) as t from documents) select doc_id as document_id, 1::int as page_number, (len(string_split(t, 'the')) - 1)::int as hits from t where contains(t, 'the')",
         "exact_preview": f"""with {_hits('license')}, k as (select * from hits join kept_of using (document_id, page_number)),
             w as (select *, greatest(kept[search_start + 1] - 1 - 60, 0) as a, least(kept[search_start + 7] + 60, length(o)) as b from k)

@@ -11,6 +11,7 @@ from pagewright import limits
 from pagewright.operators import batches, exact_search, lines, rank, segments, validate
 from pagewright.operators.scorers import Scorer
 from pagewright.sources.items import page_ceiling
+from pagewright.sources.storage import store
 
 
 @dataclass
@@ -29,7 +30,7 @@ MOST = {"page_count": limits.MAX_PAGE_COUNT, "extracted_characters": limits.MAX_
 
 
 def ingest(items: DataFrame, rotations: DataFrame | None = None, most: dict[str, int] = MOST) -> Corpus:
-    """[K19] Opens all documents of ``items``: one shuffle by page, then one by document for ordinals and totals.
+    """[K19] Opens all documents of ``items``: one shuffle by page, then one by document for ordinals and totals. Pages and passages are stored as they are made, so that all searches read them and none makes them again.
 
     Documents over the page limit are refused before any line is built; pages after the character ceiling are left out; other limits only block relevance search.
     """
@@ -37,11 +38,11 @@ def ingest(items: DataFrame, rotations: DataFrame | None = None, most: dict[str,
     small = items.join(counts.where(F.col("page_count") <= most["page_count"]), "document_id", "left_semi")
     if rotations is not None:
         small = small.join(rotations.where("rotate % 180 <> 0").select("document_id", "page_number"), ["document_id", "page_number"], "left_anti")
-    found = lines.page_lines(small)
+    found = store(lines.page_lines(small), "pages")
     facts = lines.page_facts(small, found, rotations)
     read = page_ceiling(facts).where("extracted").select("document_id", "page_number")
     pages = lines.order_by_column(found.join(read, ["document_id", "page_number"], "left_semi"))
-    passages = segments.number_segments(segments.build_segments(pages))
+    passages = store(segments.number_segments(segments.build_segments(pages)), "passages")
     totals = counts.join(passages.groupBy("document_id").agg(F.sum(F.char_length("original_text")).alias("extracted_characters"), F.count(F.lit(1)).alias("segment_count")), "document_id", "left").na.fill(0)
     return Corpus(pages, passages, exact_search.page_index(pages), validate.limit_violations(totals, most), lines.unsearched_pages(facts))
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
 _written: dict[str, set[str]] = {}  # by application, the paths that were given out and are still there
@@ -39,6 +39,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def store(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it again: what is used several times is made once, and an executor's loss costs none of it. It stays until ``release``."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Removes files or folders."""
     for path in paths:

@@ -50,3 +50,14 @@ def test_metrics_hold_no_text(spark):
     estimates = spark.createDataFrame([(1, 1, 900)], "document_id long, requests long, tokens long")
     got = search.search_metrics(responses, estimates).orderBy("document_id").collect()
     assert [tuple(r) for r in got] == [(1, "r", "matched", 3, 1, 900), (2, "s", "query_empty", 0, 0, 0)]
+
+
+def test_searches_read_stored_pages_and_passages(spark, sf_dir):
+    """Opening builds pages and passages once; no search builds them again."""
+    for name in ("search_responses", "search_results"):
+        plan = explained(catalogue.queries()[name](spark, sf_dir))
+        assert "MapInArrow" not in plan and "MapInPandas" not in plan
+
+
+def test_rate_limits_read_events_once(spark, sf_dir):
+    assert explained(catalogue.rate_limit(spark, sf_dir)).count("\nLocation:") == 1
