@@ -34,6 +34,8 @@ PART_WINDOWS = 8
 BITS = 40
 RECALL = 0.98
 BLOCK = 1024
+#: Vectors that say where ranges are cut, for each range.
+SAMPLE = 32
 #: Passes that are sorted at a time.
 PASSES_AT_ONCE = 2
 SEED = 7
@@ -75,11 +77,25 @@ def _runs(*columns):
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def signatures(classes: DataFrame, passes: range, bits: int = BITS) -> DataFrame:
-    """(dim, pass, sign, cid, vector): each vector of ``classes`` (cid, vector) once for each of ``passes``."""
+def _place(dim: int, turn: int, sign, cid, cuts: list[tuple]):
+    """For each (dim, pass, sign, cid) of one dim and pass how many of the sorted ``cuts`` are not above it: the range that it belongs to."""
+    import numpy as np
+
+    before = sum(c[:2] < (dim, turn) for c in cuts)
+    own = [c for c in cuts if c[:2] == (dim, turn)]
+    signs = np.array([c[2] for c in own], np.int64)
+    place = np.searchsorted(signs, sign, side="left")
+    for value in np.unique(signs[np.isin(signs, sign)]):  # cuts inside a run of one signature
+        here = np.flatnonzero(sign == value)
+        place[here] += np.searchsorted(np.array([c[3] for c in own if c[2] == value], np.int64), cid[here], side="right")
+    return place + before
+
+
+def signatures(classes: DataFrame, passes: range, bits: int = BITS, cuts: list[tuple] | None = None) -> DataFrame:
+    """(dim, pass, sign, cid, vector, place): each vector of ``classes`` (cid, vector) once for each of ``passes``, with the number of the range between ``cuts`` that it belongs to."""
     import pyarrow as pa
 
-    names = ["dim", "pass", "sign", "cid", "vector"]
+    names = ["dim", "pass", "sign", "cid", "vector", "place"]
 
     def run(batches):
         import numpy as np
@@ -91,15 +107,23 @@ def signatures(classes: DataFrame, passes: range, bits: int = BITS) -> DataFrame
             for dim in np.unique(sizes):
                 dim = int(dim)
                 own = batch.take(pa.array(np.nonzero(sizes == dim)[0]))
-                unit = _matrix(own.column(1))
+                unit, cid = _matrix(own.column(1)), own.column(0).to_numpy()
                 for k in passes:
                     if (dim, k) not in planes:
                         planes[dim, k] = np.random.default_rng([SEED, dim, k]).standard_normal((dim, bits))
                     sign = ((unit @ planes[dim, k]) > 0) @ weight
-                    yield pa.RecordBatch.from_arrays([pa.array([dim] * len(unit), pa.int32()), pa.array([k] * len(unit), pa.int32()), pa.array(sign), own.column(0), own.column(1)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim] * len(unit), pa.int32()), pa.array([k] * len(unit), pa.int32()), pa.array(sign), own.column(0), own.column(1), pa.array(_place(dim, k, sign, cid, cuts or []), pa.int32())], names)
 
     kind = classes.schema["vector"].dataType.simpleString()
-    return classes.select("cid", "vector", F.size("vector").alias("dim")).mapInArrow(run, f"dim int, pass int, sign long, cid long, vector {kind}")
+    return classes.select("cid", "vector", F.size("vector").alias("dim")).mapInArrow(run, f"dim int, pass int, sign long, cid long, vector {kind}, place int")
+
+
+def cut_points(classes: DataFrame, count: int, passes: range, parts: int) -> list[tuple]:
+    """Sorted (dim, pass, sign, cid) that cut the vectors of all ``passes`` into ``parts`` ranges of about the same size, from the signatures of about SAMPLE vectors for each range; the driver holds no more than these."""
+    stride = max(1, count // (SAMPLE * parts))
+    some = signatures(classes.where(F.pmod(F.xxhash64("cid"), F.lit(stride)) == 0), passes).select("dim", "pass", "sign", "cid")
+    rows = sorted(map(tuple, some.collect()))
+    return sorted({rows[len(rows) * k // parts] for k in range(1, parts)}) if rows else []
 
 
 class _Union:
@@ -135,21 +159,22 @@ def _compare(ids, unit, least: float, window: int, joined: _Union):
                 yield a, b
 
 
-def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW, rows: int | None = None) -> DataFrame:
-    """(a, b): verified links that connect what the windows of all passes connect; ``rows`` is how many ``signed`` has.
+def window_links(classes: DataFrame, count: int, passes: range, least: float = LEAST, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(links, crowded) of ``classes`` (cid, vector), ``count`` rows, in ``passes``: links (a, b) are verified and connect what the windows of all passes connect, crowded (dim, pass, run, rows) are runs of more than ``window`` vectors.
 
-    Vectors are range-partitioned and sorted by dimension, pass and signature. A task slides its window over its
-    sorted rows, in parts with an overlap of one window; its first and last rows are set aside and
+    Vectors are dealt to ranges, cut by a sample, and sorted by dimension, pass and signature; their signatures are computed in the same pass over them that deals them, and only there. A task slides its window over its
+    sorted rows, in parts with an overlap of one window, and counts the rows of each run; its first and last rows are set aside and
     meet those of the neighbouring tasks afterwards, two windows at a time. Tasks are so few that each has
     several windows of rows, as only neighbours meet.
     """
     import pyarrow as pa
 
-    spark = signed.sparkSession
-    kind = signed.schema["vector"].dataType.simpleString()
-    order = ["dim", "pass", "sign", "cid"]
-    tasks = (signed.count() if rows is None else rows) // (PART_WINDOWS * window)
-    ranged = signed.repartitionByRange(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)), *order).sortWithinPartitions(*order)
+    spark = classes.sparkSession
+    kind = classes.schema["vector"].dataType.simpleString()
+    order, bits = ["dim", "pass", "sign", "cid"], run_bits(count, window)
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(passes) // (PART_WINDOWS * window)))
+    cuts = cut_points(classes, count, passes, tasks) if tasks > 1 else []
+    ranged = signatures(classes, passes, cuts=cuts).repartitionById(len(cuts) + 1, F.col("place")).sortWithinPartitions(*order)
     names = ["a", "b", "border", "dim", "pass", "sign", "cid", "vector"]
     schema = f"a long, b long, border long, dim int, pass int, sign long, cid long, vector {kind}"
 
@@ -173,13 +198,27 @@ def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW,
         rows = rows.combine_chunks()
         return pa.RecordBatch.from_arrays([*fixed, *[rows.column(c).combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in order], rows.column("vector").combine_chunks()], names)
 
+    def counted(rows, vector_type):
+        n = len(rows)
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *columns, pa.nulls(n, vector_type)], names)
+
     def slide(batches):
-        held, head, joined, part = None, None, _Union(), None
+        held, head, joined, part, run = None, None, _Union(), None, None
         for batch in bounded(batches, 10_000):
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
             table = pa.Table.from_batches([batch.select(["dim", "pass", "sign", "cid", "vector"])])
+            keys = [batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy() >> (BITS - bits)]
+            own = [[*(int(k[a]) for k in keys), b - a] for a, b in _runs(*keys)]
+            if run and run[:3] == own[0][:3]:
+                own[0][3] += run[3]
+            elif run:
+                own.insert(0, run)
+            run = own.pop()
+            if own:
+                yield counted(own, table.schema.field("vector").type)
             if head is None or head.num_rows < window:
                 more = table.slice(0, window - (head.num_rows if head is not None else 0))
                 head = more if head is None else pa.concat_tables([head, more])
@@ -191,6 +230,7 @@ def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW,
             if len(joined.up) > 500_000:
                 joined = _Union()
         if held is not None:
+            yield counted([run], held.schema.field("vector").type)
             yield borders(head, part)  # met by the end of the task before
             yield borders(held, part + 1)
 
@@ -203,8 +243,10 @@ def window_links(signed: DataFrame, least: float = LEAST, window: int = WINDOW,
 
     between = parts.where("border is not null").select("border", *order, "vector").groupBy("border").applyInArrow(meet, "a long, b long")
     links = materialize(parts.where("a is not null").select("a", "b").union(between), "vector-pass")
+    runs = parts.where("a is null and border is null").groupBy("dim", "pass", F.col("sign").alias("run")).agg(F.sum("cid").alias("rows"))
+    crowded = materialize(runs.where(F.col("rows") > window), "vector-runs")
     discard(parts)
-    return links
+    return links, crowded
 
 
 def _forest_of(linked):
@@ -225,17 +267,16 @@ def _forest_of(linked):
             yield from zip(frontier.tolist(), new[more[frontier].argmax(axis=1)].tolist() if len(frontier) else [])
 
 
-def run_links(signed: DataFrame, bits: int, least: float = LEAST, window: int = WINDOW) -> DataFrame | None:
-    """(a, b): verified links that connect what links within the runs of more than ``window`` vectors connect; None if there are no such runs."""
+def run_links(classes: DataFrame, passes: range, crowded: DataFrame, bits: int, least: float = LEAST) -> DataFrame | None:
+    """(a, b): verified links that connect what links within the runs of ``crowded`` (dim, pass, run, rows) connect; None if there are no such runs."""
     import pyarrow as pa
 
     keys = ["dim", "pass", "run"]
-    signed = signed.withColumn("run", F.shiftright("sign", BITS - bits))
-    crowded = signed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > window)
-    crowded = materialize(crowded.select(*keys, F.ceil(F.col("rows") / BLOCK).cast("int").alias("m")), "vector-runs")
     if crowded.isEmpty():
         return None
-    met = salted_join(signed, crowded, keys, ["cid"], how="inner").withColumn("own", F.pmod(F.xxhash64("cid", "pass"), F.col("m")).cast("int"))
+    wanted = crowded.select(*keys, F.ceil(F.col("rows") / BLOCK).cast("int").alias("m"))
+    signed = signatures(classes, passes).drop("place").withColumn("run", F.shiftright("sign", BITS - bits))
+    met = salted_join(signed, wanted, keys, ["cid"], how="inner").withColumn("own", F.pmod(F.xxhash64("cid", "pass"), F.col("m")).cast("int"))
     dealt = met.select(*keys, "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"), "cid", "vector")
     dealt = dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "vector")
 
@@ -250,9 +291,7 @@ def run_links(signed: DataFrame, bits: int, least: float = LEAST, window: int =
         found = list(_forest_of(linked))
         return pa.table({"a": pa.array(ids[left][[x[0] for x in found]] if found else [], pa.int64()), "b": pa.array(ids[right][[x[1] for x in found]] if found else [], pa.int64())})
 
-    links = materialize(dealt.groupBy(*keys, "i", "j").applyInArrow(compare, "a long, b long"), "vector-run-links")
-    discard(crowded)
-    return links
+    return materialize(dealt.groupBy(*keys, "i", "j").applyInArrow(compare, "a long, b long"), "vector-run-links")
 
 
 def pass_links(classes: DataFrame, count: int, passes: int, least: float = LEAST, window: int = WINDOW) -> DataFrame:
@@ -260,9 +299,9 @@ def pass_links(classes: DataFrame, count: int, passes: int, least: float = LEAST
     found = []
     for at in range(0, passes, PASSES_AT_ONCE):
         now = range(at, min(passes, at + PASSES_AT_ONCE))
-        signed = signatures(classes.select("cid", "vector"), now)
-        found.append(window_links(signed, least, window, count * len(now)))
-        found += filter(None, [run_links(signed, run_bits(count, window), least, window)])
+        links, crowded = window_links(classes.select("cid", "vector"), count, now, least, window)
+        found += [links, *filter(None, [run_links(classes.select("cid", "vector"), now, crowded, run_bits(count, window), least)])]
+        discard(crowded)
     links = materialize(reduce(DataFrame.union, found), "vector-all-links")
     discard(*found)
     return links

@@ -1,6 +1,7 @@
 """Embedding near-duplicates against all pairs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("pagewright.llm")
 
@@ -106,20 +107,48 @@ def test_recall_in_a_hot_group(spark, mutual):
 def test_windows_do_not_depend_on_the_number_of_partitions(spark):
     rng = np.random.default_rng(10)
     vectors = [v for _ in range(40) for v in cluster(rng, 0.22, 5)]
-    signed = embedding_dedup.signatures(spark.createDataFrame(list(enumerate(vectors)), "cid long, vector array<float>"), range(2))
+    classes = spark.createDataFrame(list(enumerate(vectors)), "cid long, vector array<float>")
     was, found = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
         for partitions in ("1", "100"):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
             joined = embedding_dedup._Union()
-            for a, b in embedding_dedup.window_links(signed).collect():
+            links, crowded = embedding_dedup.window_links(classes, len(vectors), range(2))
+            for a, b in links.collect():
                 joined.join(a, b)
+            rows = embedding_dedup.signatures(classes, range(2)).groupBy("dim", "pass", F.shiftright("sign", embedding_dedup.BITS - embedding_dedup.run_bits(len(vectors))).alias("run")).count()
+            assert sorted(map(tuple, crowded.collect())) == sorted(tuple(r) for r in rows.collect() if r["count"] > embedding_dedup.WINDOW)
             found.append([joined.find(x) for x in range(len(vectors))])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert found[0] == found[1] and len(set(found[0])) < len(vectors)
 
 
+def test_places_are_ranges():
+    rng = np.random.default_rng(12)
+    cuts = sorted({(2, int(k), int(s), int(c)) for k, s, c in zip(rng.integers(0, 3, 40), rng.integers(0, 4, 40), rng.integers(0, 9, 40))})
+    for k in range(3):
+        sign, cid = rng.integers(0, 4, 60), rng.integers(0, 9, 60)
+        got = embedding_dedup._place(2, k, sign, cid, cuts)
+        assert got.tolist() == [sum(c <= (2, k, s, i) for c in cuts) for s, i in zip(sign.tolist(), cid.tolist())]
+
+
+def test_signatures_are_computed_once(spark):
+    """Apart from the sample, each vector is signed once for the windows, whatever the number of ranges."""
+    signed, n = spark.sparkContext.accumulator(0), 12_000
+    plain = spark.range(n).select(F.col("id").alias("cid"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.hash("id", k).cast("double")).alias("vector"))
+
+    def count(batches):
+        for batch in batches:
+            signed.add(batch.num_rows)
+            yield batch
+
+    counted = plain.mapInArrow(count, plain.schema)
+    links, _ = embedding_dedup.window_links(counted, n, range(2))
+    assert signed.value == 2 * n  # once for the sample, once for all
+    assert links.count() >= 0
+
+
 def test_forest_of_a_matrix():
     rng = np.random.default_rng(3)
     for density in (0.0, 0.005, 0.02, 0.3, 1.0):
