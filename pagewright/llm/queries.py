@@ -226,6 +226,58 @@ from a{rounds} a join s on s.k = a.k join c{rounds} c on c.k = a.k
     return _CENTROIDS_HEAD + steps + _CENTROIDS_NEAREST.format(n=rounds) + last
 
 
+#: Conversations with faults by CRC-32 of conv_id:turn, their rows' first faults, the least cost from every state before every row (backwards), then the edits (forwards).
+#: States: 0 nothing yet, 1 after s, 2 after u, 3 after a.
+_OP11_SQL = r"""
+with recursive
+steps as (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as i)),
+crc as (select list(v order by i) as tab from steps),
+src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+                         lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::int])), 4294967295::bigint) % 20 as f
+  from conversations, crc),
+hit as (
+  select conv_id, turn, case when f = 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(range(case f when 0 then 0 when 3 then 2 else 1 end)) as again from src)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n, rtrim(text, E' \t\n\x0b\f\r') as seen from hit),
+r as (
+  select *, left(role, 1) as kind,
+         case when seen = '' then 1 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when right(seen, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+         lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from placed),
+back(conv_id, i, c0, c1, c2, c3) as (
+  select distinct conv_id, n + 1, 0, 4, 2, 0 from r
+  union all
+  select conv_id, i, least(b0, 2 + b2, 4 + b3), least(b1, 2 + b2, 4 + b3), least(b2, 2 + b3), least(b3, 2 + b2) from (
+    select conv_id, i, least(3 + c0, more + 2 + c2, case kind when 's' then more + c1 when 'u' then more + c2 else 999999 end) as b0, least(3 + c1, more + 2 + c2, case kind when 'u' then more + c2 else 999999 end) as b1,
+           least(3 + c2, more + 2 + c3, case kind when 'a' then more + c3 else 999999 end) as b2, least(3 + c3, more + 2 + c2, case kind when 'u' then more + c2 else 999999 end) as b3
+    from (select r.conv_id, r.i, r.kind, case r.fault when 1 then 999999 when 2 then 999999 when 3 then 1 else 0 end as more, b.c0, b.c1, b.c2, b.c3 from back b join r on r.conv_id is not distinct from b.conv_id and r.i = b.i - 1))),
+costs as (
+  select r.*, [h.c0, h.c1, h.c2, h.c3] as now, [b.c0, b.c1, b.c2, b.c3] as after, case fault when 1 then 999999 when 2 then 999999 when 3 then 1 else 0 end as more,
+         case kind when 's' then [1, -1, -1, -1] when 'u' then [2, 2, -1, 2] when 'a' then [-1, -1, 3, -1] else [-1, -1, -1, -1] end as keeps
+  from r join back h on h.conv_id is not distinct from r.conv_id and h.i = r.i join back b on b.conv_id is not distinct from r.conv_id and b.i = r.i + 1),
+walk(conv_id, i, state, audit, lines) as (
+  select distinct conv_id, 1::bigint, 0, '', []::varchar[] from r
+  union all
+  select conv_id, case when letter = 'I' then i else i + 1 end, case letter when 'D' then state when 'K' then keeps[state + 1] else written end, audit || letter,
+         case letter when 'D' then lines when 'I' then list_append(lines, said || ':') when 'K' then list_append(lines, role || ':' || text) else list_append(lines, said || ':' || text) end
+  from (
+    select *, case when 3 + after[state + 1] = now[state + 1] then 'D' when 2 + now[written + 1] = now[state + 1] then 'I' when keeps[state + 1] >= 0 and more + after[keeps[state + 1] + 1] = now[state + 1] then 'K' else 'R' end as letter
+    from (
+      select c.*, w.state, w.audit, w.lines, case w.state when 2 then 3 else 2 end as written, case w.state when 2 then 'assistant' else 'user' end as said
+      from walk w join costs c on c.conv_id is not distinct from w.conv_id and c.i = w.i))),
+ended as (
+  select w.conv_id, audit || ['', 'II', 'I', ''][state + 1] as audit, list_concat(lines, case state when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end) as lines
+  from walk w join (select distinct conv_id, n from r) t on t.conv_id is not distinct from w.conv_id and w.i = t.n + 1),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from r group by 1)
+select s.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0)::bigint as blank, coalesce(c.duplicate, 0)::bigint as duplicate, coalesce(c.truncated, 0)::bigint as truncated, coalesce(c.illegal, 0)::bigint as illegal,
+       coalesce(b.c0, 0)::bigint as cost, coalesce(e.audit, '') as audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) s left join counts c on c.conv_id is not distinct from s.conv_id left join back b on b.conv_id is not distinct from s.conv_id and b.i = 1 left join ended e on e.conv_id is not distinct from s.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -248,4 +300,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL, "op12_centroids": _centroids_sql(), "quality_statistics": _STATISTICS_SQL, "fingerprint_components": _PRINTS_SQL}
+    return {"op3_mix": _OP3_SQL, "op5_chat": _OP5_SQL, "op6_embeddings": _OP6_SQL, "op9_warc": _OP9_SQL, "op11_turn_repair": _OP11_SQL, "op12_centroids": _centroids_sql(), "quality_statistics": _STATISTICS_SQL, "fingerprint_components": _PRINTS_SQL}
