@@ -47,6 +47,7 @@ def examples(turns: DataFrame) -> DataFrame:
     assistant's gets one row more with target null and no trainable span, so that no turn is lost;
     in training it is skipped. Turns come by ``turn`` (null first), ties by role and text. Null roles
     and texts are empty, null conv_ids form one conversation, repeated rows are turns of their own.
+    Other columns are ignored, whatever their names; texts of any length are formatted whole.
     An empty table gives no rows. The examples of a conversation lie in the rows of its own size
     squared: that is what the expansion asks for; they are made from one array, row by row.
     """

@@ -114,6 +114,17 @@ def test_all_edits_are_searched(spark):
     assert sorted(map(tuple, got), key=key) == sorted(expected(broken(rows)), key=key)
 
 
+def test_its_sql_is_the_search_of_all_edits():
+    import duckdb
+
+    rows = conversations(random.Random(21), 200)
+    rows += rows[:60]
+    db = duckdb.connect()
+    db.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(db.execute(queries.oracle_sql()["op11_turn_repair"]).fetchall(), key=key) == sorted(expected(broken(rows)), key=key)
+
+
 def test_long_conversations_in_blocks_and_segments(spark, monkeypatch):
     rng = random.Random(9)
     rows = []
