@@ -187,3 +187,19 @@ def test_limits_block_but_do_not_hide(spark):
 def test_empty_tables(spark):
     empty = ingest(frame(spark, {(1, 1): []}))
     assert empty.segments.count() == empty.index.count() == empty.violations.count() == 0
+
+
+def test_pages_are_made_in_bounded_parts():
+    """A worker never turns a whole Arrow batch of pages into Python values at once."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL("document_id long, page_number int, items array<struct<item_index: int, str: string, transform: array<double>, width: double, height: double, has_eol: boolean>>"))
+    pages = [{"document_id": d, "page_number": 1, "items": [item(k, f"word{k}", x=72.0 + 40 * k) for k in range(500)]} for d in range(64)]
+    batch = pa.RecordBatch.from_pylist(pages, schema=kind)
+    parts = list(lines.lines_of_batches([batch], to_arrow_schema(StructType.fromDDL(schemas.PAGE_LINES))))
+    most = max(1, lines.PAGE_BYTES * 64 // batch.nbytes)
+    assert batch.nbytes > lines.PAGE_BYTES and max(p.num_rows for p in parts) <= most
+    assert [r["document_id"] for p in parts for r in p.to_pylist()] == list(range(64))
+    assert parts[0].to_pylist()[0]["lines"][0]["text"] == lines.lines_of_page(pages[0]["items"])[1][0]["text"]

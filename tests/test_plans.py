@@ -61,3 +61,9 @@ def test_searches_read_stored_pages_and_passages(spark, sf_dir):
 
 def test_rate_limits_read_events_once(spark, sf_dir):
     assert explained(catalogue.rate_limit(spark, sf_dir)).count("\nLocation:") == 1
+
+
+def test_words_are_shuffled_as_lines(spark, sf_dir):
+    """Pages get their lines by one shuffle, before they are cut into words."""
+    plan = explained(catalogue.words_to_lines(spark, sf_dir))
+    assert plan.count("hashpartitioning(document_id") == 1
