@@ -69,7 +69,7 @@ def search_literals(index: DataFrame, literals: DataFrame, most: int = MOST_LITE
         def run(batches):
             import numpy as np
 
-            for batch in bounded(batches):
+            for batch in bounded(batches, most=1 << 20):
                 rows = [(row, k, start) for row, text in enumerate(batch.column(2)) if text.is_valid for k, start in occurrences(words, text.as_py())]
                 row, k, start = np.array(rows, np.int64).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays([pa.array([words[n] for n in k], pa.string()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start, pa.int32())], ["word", "document_id", "page_number", "search_start"])
