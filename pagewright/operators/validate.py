@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright import limits
 from pagewright.functions import patterns
+from pagewright.functions.characters import SPACE
 from pagewright.functions.text import is_finite, trim_space
 
 RECORD_FIELDS = ("segment_id", "score", "relevant_probability", "confidence")
@@ -23,22 +24,23 @@ def head_error(most_body: int = limits.MAX_REQUEST_BODY_BYTES) -> Column:
     )
 
 
+def segment_error(s: Column, repeated: Column) -> Column:
+    """[B13] The first failure of one segment; ``repeated`` says whether an earlier one has its id."""
+    long = limits.MAX_SEGMENT_CHARACTERS
+    return (
+        F.when(s.isNull(), "invalid_request")
+        .when(s["id"].isNull() | ~s["id"].rlike(patterns.SEGMENT_ID), "malformed_segment_id")
+        .when(repeated, "duplicate_segment_id")
+        .when(s["text"].isNull(), "invalid_request")
+        .when(~s["text"].rlike(f"[^{SPACE}]"), "segment_text_empty")
+        .when((F.char_length(s["text"]) > long) | (F.coalesce(F.char_length(s["context_before"]), F.lit(0)) > long) | (F.coalesce(F.char_length(s["context_after"]), F.lit(0)) > long), "segment_text_too_long")
+    )
+
+
 def segments_error(most_characters: int = limits.MAX_EXTRACTED_CHARACTERS) -> Column:
     """[B13] The first failure among ``segments``: their number, then the first bad one in array order, then their summed text."""
     ids = F.transform("segments", lambda s: s["id"])
-    long = limits.MAX_SEGMENT_CHARACTERS
-
-    def of_segment(s: Column, k: Column) -> Column:
-        return (
-            F.when(s.isNull(), "invalid_request")
-            .when(s["id"].isNull() | ~s["id"].rlike(patterns.SEGMENT_ID), "malformed_segment_id")
-            .when(F.array_position(ids, s["id"]) <= k, "duplicate_segment_id")
-            .when(s["text"].isNull(), "invalid_request")
-            .when(trim_space(s["text"]) == "", "segment_text_empty")
-            .when((F.char_length(s["text"]) > long) | (F.coalesce(F.char_length(s["context_before"]), F.lit(0)) > long) | (F.coalesce(F.char_length(s["context_after"]), F.lit(0)) > long), "segment_text_too_long")
-        )
-
-    bad = F.filter(F.transform("segments", of_segment), lambda c: c.isNotNull())
+    bad = F.filter(F.transform("segments", lambda s, k: segment_error(s, F.array_position(ids, s["id"]) <= k)), lambda c: c.isNotNull())
     total = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.char_length(s["text"]), F.lit(0)))
     return (
         F.when(F.col("segments").isNull(), "invalid_request")

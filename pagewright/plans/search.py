@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright import limits
@@ -61,10 +61,14 @@ def relevance_batches(segments_: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def document_requests(segments_: DataFrame) -> DataFrame:
-    """(document_id, segments_code, segment_bytes): what every request for a document shares: the first failure among its passages, and their bytes as JSON."""
-    one = F.struct("doc_ordinal", F.struct(F.col("segment_id").alias("id"), F.col("original_text").alias("text"), "context_before", "context_after").alias("s"))
-    lists = segments_.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("segments"))
-    return lists.select("document_id", validate.segments_error().alias("segments_code"), F.octet_length(F.to_json("segments")).alias("segment_bytes"))
+    """(document_id, segments_code, segment_bytes): what every request for a document shares: the first failure among its passages, as ``validate.segments_error`` has it, and their bytes as a JSON array. Texts are neither shuffled nor gathered."""
+    s = F.struct(F.col("segment_id").alias("id"), F.col("original_text").alias("text"), "context_before", "context_after")
+    rows = segments_.withColumn("s", s).select("document_id", "segment_id", "doc_ordinal", F.char_length("original_text").alias("chars"), F.octet_length(F.to_json("s")).cast("long").alias("bytes"), validate.segment_error(F.col("s"), F.lit(False)).alias("code"))
+    repeated = F.row_number().over(Window.partitionBy("document_id", "segment_id").orderBy("doc_ordinal")) > 1
+    coded = rows.withColumn("code", F.when(repeated & ~F.col("code").eqNullSafe("malformed_segment_id"), "duplicate_segment_id").otherwise(F.col("code")))
+    n, first = F.count(F.lit(1)), F.min_by("code", F.when(F.col("code").isNotNull(), F.col("doc_ordinal")))
+    code = F.when(n > limits.MAX_SEGMENT_COUNT, "too_many_segments").when(first.isNotNull(), first).when(F.sum("chars") > limits.MAX_EXTRACTED_CHARACTERS, "extracted_text_too_long")
+    return coded.groupBy("document_id").agg(code.alias("segments_code"), (F.sum("bytes") + n + 1).alias("segment_bytes"))  # brackets, and commas between
 
 
 def search(corpus: Corpus, queries: DataFrame, scorer: Scorer) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +83,7 @@ def search(corpus: Corpus, queries: DataFrame, scorer: Scorer) -> tuple[DataFram
     asked = asked.withColumn("body_bytes", F.octet_length(F.to_json(own)) + F.coalesce("segment_bytes", F.lit(0)))
     known = asked.select(F.col("document_id").alias("doc"), F.col("document_id").cast("string").alias("document_id"), "request_id", "query", "segments_code", "segment_bytes", "body_bytes")
     code = F.coalesce(validate.head_error(), F.when(F.col("segment_bytes").isNull(), "segments_empty"), F.col("segments_code"))
-    asked = known.withColumn("code", code).select(F.col("doc").alias("document_id"), "request_id", "query", "code")
+    asked = store(known.withColumn("code", code).select(F.col("doc").alias("document_id"), "request_id", "query", "code"), "asked")  # passages are checked once, not for each use
     good = asked.where("code is null").select("document_id", "request_id", "query")
     answers = scorer.score(relevance_batches(corpus.segments, good))
     sent = corpus.segments.join(good.select("document_id", "request_id"), "document_id")

@@ -1,6 +1,7 @@
 """Plans that the code counts on."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.plans import catalogue, search
 
@@ -59,6 +60,49 @@ def test_searches_read_stored_pages_and_passages(spark, sf_dir):
         assert "MapInArrow" not in plan and "MapInPandas" not in plan
 
 
+def test_passages_are_checked_once(spark, sf_dir):
+    """What was checked is stored, so that no use of it gathers or renders passages again."""
+    for name in ("search_responses", "search_results"):
+        plan = explained(catalogue.queries()[name](spark, sf_dir))
+        assert "collect_list" not in plan and "to_json" not in plan and "StructsToJson" not in plan
+
+
+def test_checked_passages_are_those_of_the_request_validation(spark):
+    """The first failure and the bytes are what the gathered segments have, and the plan gathers none."""
+    from pagewright.operators import validate
+
+    x = "x" * 801
+    docs = {
+        1: [("p001-s001", "a", None, "b\u00e9"), ("p001-s002", "b\u00e9", "a", None)],
+        2: [("p001-s001", "a", None, None), ("p1", "b", None, None), ("p001-s001", "c", None, None)],
+        3: [("p001-s001", " \u3000\ufeff", None, None), ("p001-s001", "c", None, None)],
+        4: [("p001-s001", "a", None, None), ("p001-s001", x, None, None)],
+        5: [("p001-s001", "a", None, x)],
+        6: [("p001-s001", None, None, None)],
+        7: [(f"p001-s{k:03d}", "z" * 800, None, None) for k in range(1, 252)],
+        8: [("p1", "a", None, None), ("p1", "b", None, None)],
+        9: [(f"p{k // 999 + 1:03d}-s{k % 999 + 1:03d}", "a", None, None) for k in range(2001)],
+    }
+    rows = spark.createDataFrame([(d, k, *s) for d, own in docs.items() for k, s in enumerate(own, 1)], "document_id long, doc_ordinal int, segment_id string, original_text string, context_before string, context_after string")
+    got = search.document_requests(rows)
+    assert "collect_list" not in explained(got)
+    one = F.struct("doc_ordinal", F.struct(F.col("segment_id").alias("id"), F.col("original_text").alias("text"), "context_before", "context_after").alias("s"))
+    lists = rows.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("segments"))
+    want = lists.select("document_id", validate.segments_error().alias("code"), F.octet_length(F.to_json("segments")).alias("bytes"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert dict(got.select("document_id", "segments_code").collect()) == {1: None, 2: "malformed_segment_id", 3: "segment_text_empty", 4: "duplicate_segment_id", 5: "segment_text_too_long", 6: "invalid_request", 7: "extracted_text_too_long", 8: "malformed_segment_id", 9: "too_many_segments"}
+
+
+def test_values_are_made_by_column():
+    import pyarrow as pa
+
+    from pagewright.functions.arrow import python_rows
+
+    batch = pa.RecordBatch.from_pylist([{"a": None, "b": [{"x": 1.5, "y": [None, 2]}, None], "c": "s"}, {"a": 3, "b": None, "c": None}, {"a": 4, "b": [], "c": ""}, {"a": 5, "b": [{"x": None, "y": None}], "c": "\u00e9"}])
+    for part in (batch, batch.slice(1), batch.slice(1, 2), batch.slice(0, 0)):
+        assert python_rows(part) == part.to_pylist()
+
+
 def test_rate_limits_read_events_once(spark, sf_dir):
     assert explained(catalogue.rate_limit(spark, sf_dir)).count("\nLocation:") == 1
 
