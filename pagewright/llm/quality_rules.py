@@ -37,10 +37,11 @@ MODEL_BYTES = 256 << 20
 
 #: Digests that may be sent to all tasks, about 10 MB.
 BROADCAST_ROWS = 150_000
-#: N-grams of so many symbols or more must stand so often to be in a model, and be so large a share of all that taught it: so no order has more n-grams than one over that share, whatever the corpus.
+#: N-grams of so many symbols or more must stand so often to be in a model, whatever the corpus. A least share of all that taught it can be asked for too, as a bound for workers' memory;
+#: none is by default, as what is in a model would then depend on the corpus's size.
 PRUNED = 3
 LEAST_COUNT = 2
-LEAST_SHARE = 2.0**-26
+LEAST_SHARE = 0.0
 
 #: A document teaches if it has no more than one mark in so many words.
 MARK_WORDS = 20

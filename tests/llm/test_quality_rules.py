@@ -208,3 +208,17 @@ def test_extra_columns_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, low double, kept double, value string")
     got = quality_rules.quality(docs).collect()
     assert sorted((r.n_words, r.base_failed, r.kept) for r in got) == [(0, True, False), (25, False, True), (25, False, True)]
+
+
+def test_what_is_in_a_model_does_not_depend_on_its_size(spark):
+    """N-grams that stand as often as LEAST_COUNT stay beside any number of others."""
+    def kept(most):
+        rows = [(1, k, k, count) for k, count in ((70, most), (80, quality_rules.LEAST_COUNT), (90, quality_rules.LEAST_COUNT - 1))]
+        values, tables = quality_rules.estimate(quality_rules.materialize(spark.createDataFrame(rows, "lang long, a long, b long, count long"), "grams"))
+        found = {(r.n, r.a, r.b) for r in values.where("kind = 0 and n >= 3").select("n", "a", "b").collect()}
+        quality_rules.discard(*tables)
+        return found
+
+    small = kept(5)
+    assert (quality_rules.ORDER, 80, 80) in small and (quality_rules.ORDER, 90, 90) not in small
+    assert kept(1 << 40) == small
