@@ -18,9 +18,12 @@ tokenizing, the range sort, ranks, and giving each piece its sequence and offset
 from __future__ import annotations
 
 import re
+import struct
+import sys
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +32,42 @@ from pagewright.llm.common import bounded, materialize
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct pre-tokens whose ids a worker remembers; then it starts anew.
+#: Distinct pre-tokens whose ids a worker remembers; longer ones than these characters it doesn't.
 CACHE_ENTRIES = 400_000
+CACHE_CHARACTERS = 64
 
 #: The pre-tokens of byte-level BPE for texts without the characters below. Python's classes of letters
 #: and digits differ from the tokenizer's for numbers that aren't decimal digits and for four controls.
 _PRE_TOKENS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Unknown(Exception):
+    """The fast cut may differ from the tokenizer's own."""
+
+
+class _Remembered(dict):
+    """What ``make`` gives, by its argument. Half of what may be remembered is the older half, which is forgotten when the newer one is full, but for what was asked for again."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > CACHE_CHARACTERS:
+                return value
+        if len(self) >= CACHE_ENTRIES // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Little-endian 32-bit ids of texts, by the ``tokenizers`` file at ``path``.
 
@@ -53,34 +84,32 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.known: dict[str, bytes | None] = {}
-
-    def _of(self, pre_token: str) -> bytes | None:
-        if pre_token.isascii():
-            if any("\x1c" <= c <= "\x1f" for c in pre_token):
-                return None
-        elif any(unicodedata.category(c) in ("No", "Nl", "Cs") for c in pre_token):
-            return None
+        self.odd = frozenset("\x1c\x1d\x1e\x1f").union(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl", "Cs"))
+        self.known = _Remembered(self._of)
+
+    def _of(self, pre_token: str) -> bytes:
+        if not self.odd.isdisjoint(pre_token):
+            raise _Unknown
         mapped = pre_token.encode().decode("latin-1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+        return _little([t.id for t in self.model.tokenize(mapped)])
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._slow(text)
-        known, found = self.known, _PRE_TOKENS.findall(text)
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        for p in found:
-            if p not in known:
-                known[p] = self._of(p)
         try:
-            return b"".join(map(known.__getitem__, found))
-        except TypeError:
+            return b"".join(map(self.known.__getitem__, _PRE_TOKENS.findall(text)))
+        except _Unknown:
             return self._slow(text)
 
     def _slow(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return _little(ids)
+
+
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """This process's encoder: what one task remembers, the next one knows."""
+    return Encoder(path)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -97,11 +126,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in bounded(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encoder.encode(text.as_py() or "") + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = memoryview(encoder.encode(text or "") + end)
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)

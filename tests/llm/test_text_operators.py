@@ -229,6 +229,16 @@ def test_a_text_of_many_long_words_starts_the_trie_anew():
     assert all(len(w) <= 256 for w in large.terminal)
 
 
+def test_ids_are_the_tokenizers_own(monkeypatch):
+    """Also where controls stand beside white space that isn't ASCII, and when what is remembered is forgotten."""
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 20)
+    odd = ["\n  \u2028\x1c\x85\u65e5", "_\x85\t \x85\x1c\x85''s\u2028", "\u2028\x1c", "a\x1cb", "\u00bd cup", "w" * 100]
+    for text in [*odd, *(f"some {k} words, {k % 7} again's \u00e9\n  x{k}" for k in range(100)), *odd]:
+        assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in encoder.whole.encode(text, add_special_tokens=False).ids), text
+    assert len(encoder.known) <= 10 and len(encoder.known.older) <= 10 and "w" * 100 not in encoder.known
+
+
 def test_packing(spark):
     import numpy as np
     from tokenizers import Tokenizer
