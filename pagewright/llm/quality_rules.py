@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from contextlib import suppress
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +29,9 @@ ORDER = 6
 _BITS, _ONE = 21, (1 << 21) - 1
 #: Symbols that are no characters; texts that hold these code points have the third in their place.
 _BEFORE, _END, _OTHER = 0, 1, 2
-#: Symbols that are looked at at once, n-grams that a worker holds before it sums equal ones, and twice as many before it passes them on; bytes of texts that are handed to it at once.
+#: Symbols that are looked at at once, and scored at once; n-grams that a worker holds before it sums equal ones, and twice as many before it passes them on; bytes of texts that are handed to it at once.
 SLICE = 1 << 20
+SCORED = 1 << 18
 MOST_GRAMS = 1 << 20
 BATCH_BYTES = 4 << 20
 #: Bytes of models that a worker keeps beside the one it needs.
@@ -61,6 +63,17 @@ LEAST_SPREAD = 0.02
 PRIOR = 30
 
 
+def _give_back() -> None:
+    """Returns to the system what this process has freed and still keeps; Spark's workers live on between tasks, beside whatever comes next."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def symbols(texts: list[str]):
     """(code points as uint32, the number of each text's symbols): texts laid end to end, ORDER - 1 times _BEFORE before each, _END behind it."""
     import numpy as np
@@ -78,12 +91,13 @@ def symbols(texts: list[str]):
     return code[~again], size - np.add.reduceat(again, begins, dtype=np.int64) if len(size) else size
 
 
-def windows(code):
-    """(place, older, newer) of slices: for every predicted symbol its place and the two longs of the n-gram that ends there."""
+def windows(code, most: int | None = None):
+    """(place, older, newer) of slices of ``most`` symbols (SLICE): for every predicted symbol its place and the two longs of the n-gram that ends there."""
     import numpy as np
 
-    for at in range(0, max(0, len(code) - ORDER + 1), SLICE):
-        part = code[at : at + SLICE + ORDER - 1].astype(np.uint64)
+    most = most or SLICE
+    for at in range(0, max(0, len(code) - ORDER + 1), most):
+        part = code[at : at + most + ORDER - 1].astype(np.uint64)
         three = part[:-2] << np.uint64(2 * _BITS) | part[1:-1] << np.uint64(_BITS) | part[2:]
         told = np.nonzero(part[ORDER - 1 :] != _BEFORE)[0]
         yield at + ORDER - 1 + told, three[:-3][told], three[3:][told]
@@ -180,6 +194,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        _held.clear()  # models of an earlier fit
         held: dict[str, list] = {}
 
         def compact(lang):
@@ -212,7 +227,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         compact(lang)
             if sum(len(x[0]) for parts in held.values() for x in parts) > 2 * MOST_GRAMS:
                 yield from passed()
+            _give_back()
         yield from passed()
+        _give_back()
 
     parts = distinct_texts(docs).mapInArrow(run, "lang long, a long, b long, count long")
     return parts.groupBy("lang", "a", "b").agg(F.sum("count").alias("count"))
@@ -329,7 +346,7 @@ def _handed_out(spark: SparkSession, names: list[str]) -> dict[str, str]:
     return {name: name.rsplit("/", 1)[1] for name in names}
 
 
-#: Arrays that this process has read, by their model and files; the last one used comes last.
+#: Arrays that this process has read, by their model and files, all of one fit; the last one used comes last.
 _held: dict[tuple, tuple] = {}
 
 
@@ -351,6 +368,8 @@ class Model:
         from pyspark import SparkFiles
 
         files = self.files.get(model, ())
+        for other in [x for x in _held if self.files.get(x[0]) != x[1]]:  # of an earlier fit
+            del _held[other]
         if (model, files) in _held:
             _held[model, files] = _held.pop((model, files))
             return _held[model, files]
@@ -408,7 +427,7 @@ class Model:
         code, size = symbols(texts)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         total = np.zeros(len(texts))
-        for place, a, b in windows(code):
+        for place, a, b in windows(code, min(SLICE, SCORED)):
             index, first = distinct(hashed(0, ORDER, 0, a, b))
             total += np.bincount(owner[place], self.log_probability(lang, a[first], b[first])[index], len(texts))
         return -total / (size - ORDER + 1)
@@ -469,6 +488,7 @@ def measure(docs: DataFrame, model: Model | None) -> DataFrame:
                     perplexity[with_words] = model.log_perplexity(lang, [texts[k] for k in with_words])
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(whole, pa.binary()), *columns, pa.array(repeated), pa.array(perplexity, pa.float64(), mask=~some)], ["doc_id", "model", "whole", *numbers, "log_perplexity"])
+            _give_back()
 
     source = docs.select(F.col("doc_id").cast("long"), _language(), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, model string, whole binary, " + "".join(f"{c} long, " for c in numbers) + "log_perplexity double")

@@ -222,3 +222,61 @@ def test_what_is_in_a_model_does_not_depend_on_its_size(spark):
     small = kept(5)
     assert (quality_rules.ORDER, 80, 80) in small and (quality_rules.ORDER, 90, 90) not in small
     assert kept(1 << 40) == small
+
+
+def test_a_worker_keeps_no_model_of_an_earlier_fit(spark):
+    first, second = [quality_rules.fit(docs_of(spark, prose_of(random.Random(k), 20))) for k in (1, 2)]
+    text = prose_of(random.Random(3), 1)
+    for model in (first, second):
+        for half in (0, 1):
+            model.log_perplexity(f"en\x1f{half}", text)
+        assert set(quality_rules._held) == set(model.files.items())
+    assert [quality_rules.Model(first.files).log_perplexity("en\x1f0", text)[0]] == [first.log_perplexity("en\x1f0", text)[0]]
+
+
+def test_scoring_takes_little_memory(spark):
+    import tracemalloc
+
+    model = quality_rules.fit(docs_of(spark, prose_of(random.Random(1), 20)))
+    text = " ".join(prose_of(random.Random(2), 2500))
+    model.log_perplexity("en\x1f0", ["a"])
+    tracemalloc.start()
+    model.log_perplexity("en\x1f0", [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 1_000_000 and peak < 50 * len(text)
+
+
+IDLE = """
+import random, re
+from pyspark.sql import SparkSession
+from pagewright.llm import quality_rules
+
+def anonymous(batches):
+    import pyarrow as pa
+    for _ in batches:
+        kb = sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())))
+        yield pa.RecordBatch.from_pydict({"kb": pa.array([kb], pa.int64())})
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rng = random.Random(1)
+texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=5)) for _ in range(600)) for _ in range(1500)]
+docs = spark.createDataFrame([(k, texts[k % 1500] + " " + str(k), "en") for k in range(6000)], "doc_id long, text string, lang string").coalesce(1)
+kb = lambda: spark.range(1).mapInArrow(anonymous, "kb long").first().kb
+quality_rules.count_grams(docs).count()
+print("KEPT", kb())
+"""
+
+
+def test_an_idle_worker_keeps_little_memory():
+    """Workers live on beside the stages that follow, in which Spark itself needs the room."""
+    import os
+    import subprocess
+    import sys
+
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", IDLE], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("KEPT")[1]) < 130_000
