@@ -7,7 +7,7 @@ predicted from the ORDER - 1 before it, across the borders of words; before a te
 An n-gram is exact: two longs of three code points each. Workers count the n-grams of the highest order and send each once with its
 count; Spark sums them, derives continuation counts, counts of counts, discounts, probabilities and back-off weights. The result is
 written as sorted arrays of 64-bit hashes with their values, in files by model. A worker reads the files of the models that
-it meets, and finds n-grams by binary search. Nothing of the model passes through the driver, and it grows with the corpus.
+it meets, and finds n-grams by their hashes' first bits. Nothing of the model passes through the driver, and it grows with the corpus.
 
 A document's log-perplexity is the mean over its symbols. Each model has its own band around the
 median of what it scores: documents above it (noise) or below it (repetition) are rejected.
@@ -29,7 +29,7 @@ ORDER = 6
 _BITS, _ONE = 21, (1 << 21) - 1
 #: Symbols that are no characters; texts that hold these code points have the third in their place.
 _BEFORE, _END, _OTHER = 0, 1, 2
-#: Symbols that are looked at at once, and scored at once; n-grams that a worker holds before it sums equal ones, and twice as many before it passes them on; bytes of texts that are handed to it at once.
+#: Symbols that are looked at at once, and scored at once; n-grams that a worker holds before it sums equal ones, and sums, twice as many, before it passes them on; bytes of texts that are handed to it at once.
 SLICE = 1 << 20
 SCORED = 1 << 18
 MOST_GRAMS = 1 << 20
@@ -91,8 +91,8 @@ def symbols(texts: list[str]):
     return code[~again], size - np.add.reduceat(again, begins, dtype=np.int64) if len(size) else size
 
 
-def windows(code, most: int | None = None):
-    """(place, older, newer) of slices of ``most`` symbols (SLICE): for every predicted symbol its place and the two longs of the n-gram that ends there."""
+def triples(code, most: int | None = None):
+    """(place, told, three) of slices of ``most`` symbols (SLICE): the longs of all runs of three, and which of them begin the n-gram of a predicted symbol; three runs later, its newer half. ``place`` is where the symbol of the first would be."""
     import numpy as np
 
     most = most or SLICE
@@ -100,7 +100,13 @@ def windows(code, most: int | None = None):
         part = code[at : at + most + ORDER - 1].astype(np.uint64)
         three = part[:-2] << np.uint64(2 * _BITS) | part[1:-1] << np.uint64(_BITS) | part[2:]
         told = np.nonzero(part[ORDER - 1 :] != _BEFORE)[0]
-        yield at + ORDER - 1 + told, three[:-3][told], three[3:][told]
+        yield at + ORDER - 1, told, three
+
+
+def windows(code, most: int | None = None):
+    """(place, older, newer) of slices of ``most`` symbols (SLICE): for every predicted symbol its place and the two longs of the n-gram that ends there."""
+    for place, told, three in triples(code, most):
+        yield place + told, three[:-3][told], three[3:][told]
 
 
 def hashed(lang: int, n: int, kind: int, a, b):
@@ -129,6 +135,41 @@ def distinct(h):
     return index, place
 
 
+def _runs(key):
+    """Where each value of sorted ``key`` begins."""
+    import numpy as np
+
+    return np.nonzero(np.append(True, key[1:] != key[:-1])[: len(key)])[0]
+
+
+def counted(told, three):
+    """(a, b, count): the n-grams of a slice's ``triples``, each once, in their order."""
+    import numpy as np
+    import pandas as pd
+
+    number, values = pd.factorize(three, sort=True)
+    key = (number[:-3] << 32 | number[3:])[told]
+    key.sort()
+    first = _runs(key)
+    return values[key[first] >> 32], values[key[first] & 0xFFFFFFFF], np.diff(first, append=len(key))
+
+
+def summed(parts: list[tuple]):
+    """What ``counted`` gives of several slices, as one."""
+    import numpy as np
+    import pandas as pd
+
+    a, b, count = map(np.concatenate, zip(*parts))
+    (i, older), (j, newer) = pd.factorize(a, sort=True), pd.factorize(b, sort=True)
+    i <<= 32
+    i |= j
+    del j
+    order = np.argsort(i)
+    key = i[order]
+    first = _runs(key)
+    return older[key[first] >> 32], newer[key[first] & 0xFFFFFFFF], np.add.reduceat(count[order], first) if len(key) else count
+
+
 def _by_language(langs: list[str], texts: list[str]):
     """(language, numbers of its texts) in parts of about SLICE characters."""
     groups: dict[str, list[int]] = {}
@@ -196,42 +237,43 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         _held.clear()  # models of an earlier fit
         held: dict[str, list] = {}
-
-        def compact(lang):
-            h, a, b, count = map(np.concatenate, zip(*held[lang]))
-            index, place = distinct(h)
-            held[lang] = [(h[place], a[place], b[place], np.bincount(index, count, len(place)).astype(np.int64))]
-            return held[lang][0]
+        done = new = 0  # n-grams that are summed, and those that aren't
 
         def passed():
-            for lang in list(held):
-                _, a, b, count = compact(lang)
-                order = np.lexsort((b, a))  # neighbours share symbols, so what is shuffled takes less room
-                a, b, count = a[order], b[order], count[order]
+            for lang, parts in held.items():
+                a, b, count = parts[0]  # in order: neighbours share symbols, so what is shuffled takes less room
                 for at in range(0, len(a), 200_000):
                     part = slice(at, at + 200_000)
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number_of(lang), pa.int64()), len(a[part])), pa.array(a[part].view(np.int64)), pa.array(b[part].view(np.int64)), pa.array(count[part])], schema=schema)
             held.clear()
 
+        def compact():
+            for lang, parts in held.items():
+                if len(parts) > 1:
+                    held[lang] = [summed(parts)]
+            return sum(len(parts[0][0]) for parts in held.values()), 0
+
         for batch in bounded(batches, most=BATCH_BYTES):
             langs, texts = batch.column(0).to_pylist(), [t.as_py() for t in batch.column(1)]
             fit = [k for k, good in enumerate(_teaches(texts)) if good]
             langs, texts = [f"{langs[k]}{_OF}{half_of(texts[k])}" for k in fit], [texts[k] for k in fit]
             for lang, numbers in _by_language(langs, texts):
                 code, _ = symbols([texts[k] for k in numbers])
-                for _, a, b in windows(code):
-                    h = hashed(0, ORDER, 0, a, b)
-                    index, place = distinct(h)
-                    held.setdefault(lang, []).append((h[place], a[place], b[place], np.bincount(index, minlength=len(place)).astype(np.int64)))
-                    if sum(len(x[0]) for x in held[lang]) > MOST_GRAMS:
-                        compact(lang)
-            if sum(len(x[0]) for parts in held.values() for x in parts) > 2 * MOST_GRAMS:
-                yield from passed()
+                for _, told, three in triples(code):
+                    held.setdefault(lang, []).append(counted(told, three))
+                    new += len(held[lang][-1][0])
+                    if new > MOST_GRAMS:
+                        done, new = compact()
+                        if done > 2 * MOST_GRAMS:
+                            yield from passed()
+                            done = 0
             _give_back()
+        compact()
         yield from passed()
         _give_back()
 
     parts = distinct_texts(docs).mapInArrow(run, "lang long, a long, b long, count long")
+    parts = parts.repartition("lang", "a", "b")  # they are summed in their tasks, which needn't be tried again before they are shuffled
     return parts.groupBy("lang", "a", "b").agg(F.sum("count").alias("count"))
 
 
@@ -346,6 +388,42 @@ def _handed_out(spark: SparkSession, names: list[str]) -> dict[str, str]:
     return {name: name.rsplit("/", 1)[1] for name in names}
 
 
+def indexed(parts: list[tuple]):
+    """(keys, values, first) of arrays of keys with their values, sorted by key. ``first`` has for every value of the keys' first bits, of which there are as many as keys or up to twice that, where such
+    keys begin. A last key is added, beyond which no search goes."""
+    import numpy as np
+
+    keys = np.concatenate([*[p[0] for p in parts], np.full(1, np.iinfo(np.int64).max)])
+    values = np.concatenate([*[p[1] for p in parts], np.zeros(1, np.float32)])
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+    bits = len(keys).bit_length()
+    ends = np.zeros((1 << bits) + 1, np.uint32 if len(keys) < 1 << 32 else np.int64)
+    for at in range(0, len(keys) - 1, SLICE):
+        bucket = (keys[:-1][at : at + SLICE] >> 64 - bits) + (1 << bits - 1)
+        n = np.bincount(bucket - bucket[0]).astype(ends.dtype)
+        ends[bucket[0] + 1 : bucket[0] + 1 + len(n)] += n
+    return keys, values, np.cumsum(ends, dtype=ends.dtype, out=ends)[:-1]
+
+
+def look_up(arrays: tuple, h):
+    """(whether it is there, its value or 0) of each hash."""
+    import numpy as np
+
+    keys, values, first = arrays
+    bits = len(first).bit_length() - 1
+    at = first[(h >> 64 - bits) + (1 << bits - 1)].astype(np.int64)
+    near = keys[at]
+    hit, more = near == h, np.nonzero(near < h)[0]
+    while len(more):
+        at[more] += 1
+        near = keys[at[more]]
+        hit[more] = near == h[more]
+        more = more[near < h[more]]
+    return hit, np.where(hit, values[at], np.float32(0))
+
+
 #: Arrays that this process has read, by their model and files, all of one fit; the last one used comes last.
 _held: dict[tuple, tuple] = {}
 
@@ -361,8 +439,7 @@ class Model:
         return number_of(lang) in self.files
 
     def arrays(self, model: int):
-        """(keys, values) of a model, sorted by key."""
-        import numpy as np
+        """A model's keys and values as ``indexed`` gives them."""
         import pyarrow.parquet as pq
         from pyarrow import fs
         from pyspark import SparkFiles
@@ -378,46 +455,40 @@ class Model:
             system, path = fs.FileSystem.from_uri(name) if self.copies is None else (fs.LocalFileSystem(), SparkFiles.get(self.copies[name]))
             table = pq.read_table(path, columns=["key", "value"], filters=[("model", "=", model)], filesystem=system)
             parts.append((table.column("key").to_numpy(), table.column("value").to_numpy()))
-        keys = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
-        values = np.concatenate([np.zeros(0, np.float32), *[p[1] for p in parts]])
-        if len(keys) and (keys[1:] < keys[:-1]).any():
-            order = np.argsort(keys)
-            keys, values = keys[order], values[order]
-        while _held and sum(k.nbytes + v.nbytes for k, v in _held.values()) + keys.nbytes + values.nbytes > MODEL_BYTES:
+        own = indexed(parts)
+        while _held and sum(x.nbytes for arrays in (*_held.values(), own) for x in arrays) > MODEL_BYTES:
             _held.pop(next(iter(_held)))
-        _held[model, files] = keys, values
-        return keys, values
+        _held[model, files] = own
+        return own
 
     def log_probability(self, lang: str, a, b):
         """Natural logarithms of the probabilities of n-grams' newest symbols, given the others. Unknown languages know no n-gram."""
         import numpy as np
 
         number = number_of(lang)
-        keys, values = self.arrays(number)
-
-        def found(n, kind, a, b):
-            h = hashed(number, n, kind, a, b).view(np.int64)
-            if not len(keys):
-                return np.zeros(len(h), bool), np.zeros(len(h))
-            order = np.argsort(h)  # so that neighbouring searches touch the same memory
-            at = np.empty(len(h), np.int64)
-            at[order] = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
-            hit = keys[at] == h
-            return hit, np.where(hit, values[at], 0.0)
-
-        out, left = np.zeros(len(a)), np.arange(len(a))
-        for n in range(ORDER, -1, -1):
+        arrays = self.arrays(number)
+        whole = hashed(number, ORDER, 0, a, b).view(np.int64)
+        hit, out = look_up(arrays, whole)
+        out, missed = out.astype(np.float64), np.nonzero(~hit)[0]
+        index, place = distinct(whole[missed])
+        a, b = [np.asarray(x, np.uint64)[missed[place]] for x in (a, b)]
+        rest, left = np.zeros(len(a)), np.arange(len(a))
+        for n in range(ORDER, 0, -1):  # what has no probability of n symbols has its context's weight, if there is one, and that of n - 1 symbols
             if not len(left):
                 break
-            zero = np.zeros(len(left), np.uint64)
-            own = [np.asarray(x, np.uint64) for x in _newest(n, a[left], b[left], zero)]
-            hit, value = found(n, 0, *own)
-            out[left] += value
-            left, own = left[~hit], [x[~hit] for x in own]
+            own = _newest(n, a[left], b[left], np.zeros(len(left), np.uint64))
+            if n < ORDER:
+                hit, value = look_up(arrays, hashed(number, n, 0, *own).view(np.int64))
+                rest[left] += value
+                left, own = left[~hit], [x[~hit] for x in own]
             if n > 1:
                 older, newer = own[0] >> np.uint64(_BITS), own[1] >> np.uint64(_BITS) | (own[0] & np.uint64(_ONE)) << np.uint64(2 * _BITS)
-                out[left] += found(n - 1, 1, older, newer)[1]
-        out[left] -= math.log(1 << _BITS)
+                rest[left] += look_up(arrays, hashed(number, n - 1, 1, older, newer).view(np.int64))[1]
+        if len(left):
+            zero = np.zeros(len(left), np.uint64)
+            hit, value = look_up(arrays, hashed(number, 0, 0, zero, zero).view(np.int64))
+            rest[left] += np.where(hit, value, -math.log(1 << _BITS))
+        out[missed] = rest[index]
         return out
 
     def log_perplexity(self, lang: str, texts: list[str]):
@@ -428,8 +499,7 @@ class Model:
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         total = np.zeros(len(texts))
         for place, a, b in windows(code, min(SLICE, SCORED)):
-            index, first = distinct(hashed(0, ORDER, 0, a, b))
-            total += np.bincount(owner[place], self.log_probability(lang, a[first], b[first])[index], len(texts))
+            total += np.bincount(owner[place], self.log_probability(lang, a, b), len(texts))
         return -total / (size - ORDER + 1)
 
 

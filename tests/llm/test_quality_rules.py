@@ -247,6 +247,67 @@ def test_scoring_takes_little_memory(spark):
     assert len(text) > 1_000_000 and peak < 50 * len(text)
 
 
+def test_a_task_sends_every_ngram_once(spark, monkeypatch):
+    """As long as it can hold those that differ, however many slices they stand in; what it can't hold is sent in parts. They are in order, and not summed again before they are shuffled."""
+    import pyarrow as pa
+
+    made = []
+    docs = docs_of(spark, [])
+    original = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or original(self, run, schema))
+    monkeypatch.setattr(quality_rules, "SLICE", 1 << 11)
+    rng = random.Random(7)
+    texts = [t for t in prose_of(rng, 150) + [" ".join(rng.choices(["日本語", "ab", "\U0001f600x"], k=60))] if quality_rules._teaches([t])[0]]
+    langs = [rng.choice(["en", "de"]) for _ in texts]
+    want = Counter()
+    for text, lang in zip(texts, langs):
+        s = spell(text)
+        want.update((quality_rules.number_of(f"{lang}\x1f{quality_rules.half_of(text)}"), *s[k - 5 : k + 1]) for k in range(5, len(s)))
+    letter = lambda code: {0: "<", 1: ">"}.get(code, chr(code))
+    batches = [pa.RecordBatch.from_pydict({"lang": langs[k : k + 10], "text": texts[k : k + 10]}) for k in range(0, len(texts), 10)]
+    for most, once in ((len(want) // 2 + 1, True), (len(want) // 8, False)):
+        monkeypatch.setattr(quality_rules, "MOST_GRAMS", most)
+        plan = quality_rules.count_grams(docs)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("Aggregate") < plan.index("Exchange") < plan.index("MapInArrow") and "Aggregate" not in plan[plan.index("Exchange") : plan.index("MapInArrow")]
+        rows = [tuple(r.values()) for b in made[-1](iter(batches)) for r in b.to_pylist()]
+        got = Counter()
+        for lang, a, b, count in rows:
+            got[lang, *[letter(x >> 21 * k & (1 << 21) - 1) for x in (a, b) for k in (2, 1, 0)]] += count
+        assert got == want and (len(rows) == len(want)) == once
+        if once:
+            keys = [(a, b) for lang, a, b, _ in rows if lang == rows[0][0]]
+            assert keys == sorted(keys)
+
+
+def test_look_ups_find_what_is_there():
+    """Also with keys that share their first bits, at both ends, in parts out of order, and without keys."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    for keys in (np.zeros(0, np.int64), rng.integers(least, most, 5000), np.append(rng.integers(least, most, 50), np.arange(300) + (1 << 40)), np.array([least, -1, 0, 1, most - 1]), np.array([7])):
+        keys = np.unique(keys)
+        rng.shuffle(keys)
+        value = dict(zip(keys.tolist(), range(1, len(keys) + 1)))
+        half = len(keys) // 2
+        values = np.arange(1, len(keys) + 1).astype(np.float32)
+        arrays = quality_rules.indexed([(keys[:half], values[:half]), (keys[half:], values[half:])] if half else [(keys, values)] if len(keys) else [])
+        tried = np.unique(np.concatenate([keys, np.where(keys < most - 1, keys + 1, 0), np.where(keys > least, keys - 1, 0), rng.integers(least, most, 1000), [least, 0, most - 1]]))
+        hit, found = quality_rules.look_up(arrays, tried)
+        assert hit.tolist() == [k in value for k in tried.tolist()]
+        assert found.tolist() == [value.get(k, 0) for k in tried.tolist()]
+
+
+def test_scoring_hashes_every_ngram_once(spark, monkeypatch):
+    """What the model has is found at its first search; only what it hasn't is searched again."""
+    model = quality_rules.fit(docs_of(spark, prose_of(random.Random(1), 200)))
+    text = prose_of(random.Random(2), 1, 4000)[0]
+    sizes, original = [], quality_rules.hashed
+    monkeypatch.setattr(quality_rules, "hashed", lambda lang, n, kind, a, b: sizes.append((n, len(a))) or original(lang, n, kind, a, b))
+    model.log_perplexity("en\x1f0", [text])
+    assert sum(size for n, size in sizes if n == quality_rules.ORDER) == len(text) + 1
+
+
 IDLE = """
 import random, re
 from pyspark.sql import SparkSession
