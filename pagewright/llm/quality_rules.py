@@ -398,10 +398,11 @@ def indexed(parts: list[tuple]):
     if (keys[1:] < keys[:-1]).any():
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
+        del order
     bits = len(keys).bit_length()
     ends = np.zeros((1 << bits) + 1, np.uint32 if len(keys) < 1 << 32 else np.int64)
-    for at in range(0, len(keys) - 1, SLICE):
-        bucket = (keys[:-1][at : at + SLICE] >> 64 - bits) + (1 << bits - 1)
+    for at in range(0, len(keys) - 1, SCORED):
+        bucket = (keys[:-1][at : at + SCORED] >> 64 - bits) + (1 << bits - 1)
         n = np.bincount(bucket - bucket[0]).astype(ends.dtype)
         ends[bucket[0] + 1 : bucket[0] + 1 + len(n)] += n
     return keys, values, np.cumsum(ends, dtype=ends.dtype, out=ends)[:-1]
