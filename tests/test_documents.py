@@ -203,3 +203,80 @@ def test_pages_are_made_in_bounded_parts():
     assert batch.nbytes > lines.PAGE_BYTES and max(p.num_rows for p in parts) <= most
     assert [r["document_id"] for p in parts for r in p.to_pylist()] == list(range(64))
     assert parts[0].to_pylist()[0]["lines"][0]["text"] == lines.lines_of_page(pages[0]["items"])[1][0]["text"]
+
+
+ITEMS_OF_PAGE = "document_id long, page_number int, items array<struct<item_index: int, str: string, transform: array<double>, width: double, height: double, has_eol: boolean>>"
+
+
+def arrow_schema(spark, ddl):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(lines._schema(spark, ddl))
+
+
+def odd_page(rng):
+    """Heights that drift, items out of order, sizes and line ends of all sorts, letters with and without word spaces."""
+    n, ends, y, found = rng.choice([0, 1, 2, 3, 8, 60]), rng.choice([0, 0.1, 0.5, 0.95, 1]), 700.0, []
+    for k in sorted(rng.sample(range(1000), n)):
+        y += rng.choice([0, 0, 0, -16, -3, 3.9, 4.2, 16])
+        text = rng.choice(["", "a", "word", "\u4e2d\u9014", "\u00e9t\u00e9", "\u89e3a", "a\u89e3", " x", "x ", " ", "\U0001f600", "\U00020000", "tail\u3000"])
+        one = item(k, text, x=rng.choice([72, 80, 90.5, 200, 72 + 1.7 * k]), y=y, size=rng.choice([10.0, 10.0, 9.0, 0.0]), width=rng.choice([0, 3.3, 5 * len(text)]), eol=rng.random() < ends)
+        one["transform"][2] = rng.choice([0.0, 0.0, 1.3])
+        found.append(one | {"height": rng.choice([10.0, 0.0])})
+    return found
+
+
+def test_lines_by_column_are_the_lines_of_each_page(spark):
+    import pyarrow as pa
+
+    rng, kind, out = random.Random(5), arrow_schema(spark, ITEMS_OF_PAGE), arrow_schema(spark, schemas.PAGE_LINES)
+    for k in range(60):
+        pages = [{"document_id": d, "page_number": 1, "items": odd_page(rng)} for d in range(1, 25)]
+        batch = pa.RecordBatch.from_pylist(pages, schema=kind).slice(k % 3)
+        assert lines._columns(batch.column("items")) is not None
+        got = lines.lines_of_batch(batch, out)
+        got.validate(full=True)
+        want = [lines.lines_of_page(p["items"]) for p in batch.to_pylist()]
+        assert [(p["font_size"], p["lines"]) for p in got.to_pylist()] == want
+
+
+def test_what_columns_do_not_hold_is_left_to_rows(spark):
+    import pyarrow as pa
+
+    kind, out = arrow_schema(spark, ITEMS_OF_PAGE), arrow_schema(spark, schemas.PAGE_LINES)
+    for odd in ({"has_eol": None}, {"width": float("inf")}, {"height": None}):
+        pages = [{"document_id": 1, "page_number": 1, "items": [item(0, "a"), item(1, "b", x=90) | odd]}]
+        batch = pa.RecordBatch.from_pylist(pages, schema=kind)
+        assert lines._columns(batch.column("items")) is None
+        (got,) = lines.lines_of_batch(batch, out).to_pylist()
+        assert [one["text"] for one in got["lines"]] == ["a b"]
+
+
+def test_words_become_items_a_part_at_a_time(spark):
+    """A worker has the words of a small part of a batch as items, and hands on lines without their pieces."""
+    import pyarrow as pa
+
+    from pagewright.sources import testdata
+
+    kind = arrow_schema(spark, "document_id long, page_number int, lines array<struct<item_index: int, str: string>>")
+    pages = [{"document_id": d, "page_number": 1, "lines": [{"item_index": k, "str": f"w{k} \u00e9  {d} " * 20} for k in range(40)]} for d in range(100)]
+    batch = pa.RecordBatch.from_pylist(pages, schema=kind)
+    parts = list(testdata.words_of_batches([batch]))
+    assert batch.nbytes > 4 * testdata.LINE_BYTES and max(p.nbytes for p in parts) < 32 * testdata.LINE_BYTES
+    first, second = (p["items"] for p in parts[0].to_pylist()[:2])
+    assert [i["str"] for i in first[:4]] == ["w0", "\u00e9", "", "0"] and [i["str"] for i in second[:5]] == ["", "1", "", "\u00e9", "w0"]
+    assert [i["transform"][4] for i in first[:4]] == [72.0, 87.0, 97.0, 102.0] and [i["item_index"] for i in second] == list(range(len(second)))
+    out = arrow_schema(spark, "document_id long, page_number int, line_no int, text string, words int")
+    rows = [r for b in lines.rows_of_lines(lines.lines_of_batches(parts, arrow_schema(spark, schemas.PAGE_LINES)), out) for r in b.to_pylist()]
+    want = [(p["document_id"], 1, k + 1, " ".join(line["str"].split()), len(line["str"].split())) for p in pages for k, line in enumerate(p["lines"])]
+    assert [tuple(r.values()) for r in rows] == want
+
+
+def test_a_line_of_very_many_words_does_not_run_into_the_next(spark, tmp_path):
+    from pagewright.plans import catalogue
+
+    n = 100_004
+    spark.createDataFrame([(1, "a " * n + "\nb c"), (2, "a " * n + "\nb c"), (3, None), (4, "\n \n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.words_to_lines(spark, str(tmp_path)).orderBy("document_id", "line_no").collect()
+    assert [(r.document_id, r.page_number, r.line_no, r.words) for r in got] == [(d, 1, k, w) for d in (1, 2) for k, w in ((1, n), (2, 2))]
+    assert {r.text for r in got} == {" ".join("a" * n), "b c"}

@@ -111,3 +111,9 @@ def test_words_are_shuffled_as_lines(spark, sf_dir):
     """Pages get their lines by one shuffle, before they are cut into words."""
     plan = explained(catalogue.words_to_lines(spark, sf_dir))
     assert plan.count("hashpartitioning(document_id") == 1
+
+
+def test_words_are_items_in_workers_only(spark, sf_dir):
+    """Spark has lines and what comes of them: no row, no window and no list for words."""
+    plan = explained(catalogue.words_to_lines(spark, sf_dir))
+    assert "Window" not in plan and "transform" not in plan and "pieces" not in plan
