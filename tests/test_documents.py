@@ -280,3 +280,17 @@ def test_a_line_of_very_many_words_does_not_run_into_the_next(spark, tmp_path):
     got = catalogue.words_to_lines(spark, str(tmp_path)).orderBy("document_id", "line_no").collect()
     assert [(r.document_id, r.page_number, r.line_no, r.words) for r in got] == [(d, 1, k, w) for d in (1, 2) for k, w in ((1, n), (2, 2))]
     assert {r.text for r in got} == {" ".join("a" * n), "b c"}
+
+
+def test_pages_are_whole_wherever_batches_of_lines_end(spark):
+    import pyarrow as pa
+
+    from pagewright.sources import testdata
+
+    kind = arrow_schema(spark, "document_id long, page_number int, item_index int, str string")
+    want = [(d, p, [{"item_index": k, "str": f"{d} {p} {k}"} for k in range(n)]) for d, p, n in ((None, 1, 3), (0, 1, 1), (0, 2, 7), (1, 2, 40), (5, 1, 2))]
+    whole = pa.RecordBatch.from_pylist([{"document_id": d, "page_number": p} | line for d, p, found in want for line in found], schema=kind)
+    for size in (1, 2, 3, 7, 11, 53, 100):
+        parts = [whole.slice(0, 0)] + [whole.slice(k, size) for k in range(0, whole.num_rows, size)]
+        assert [tuple(r.values()) for b in testdata.pages_of_lines(parts) for r in b.to_pylist()] == want
+    assert list(testdata.pages_of_lines([])) == []
